@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets
+from spanloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, suffix_dedup
 from spanloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda total, n: total + n)
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.groups(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -47,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
@@ -56,6 +65,27 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP1_SQL = """
+WITH coded AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS k
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM coded WHERE length(x) >= 100)),
+firsts AS (SELECT k, min(doc_id) AS least FROM strings GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM strings JOIN firsts USING (k) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM hit),
+numbered AS (SELECT doc_id, i, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked),
+gone AS (SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, island),
+cuts AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_
+  FROM (SELECT doc_id, a, b FROM gone UNION ALL SELECT doc_id, length(x) // 2, NULL FROM coded)),
+rest AS (
+  SELECT doc_id, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a, b NULLS LAST) AS kept
+  FROM cuts JOIN coded USING (doc_id) GROUP BY doc_id)
+SELECT c.doc_id, (length(x) // 2)::bigint AS n_bytes, coalesce(sum(b - a), 0)::bigint AS n_removed, count(b) AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256
+FROM coded c LEFT JOIN gone USING (doc_id) JOIN rest USING (doc_id) GROUP BY c.doc_id, x, kept
+"""
+
 OP2_SQL = r"""
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -121,4 +151,4 @@ FROM ranked
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}

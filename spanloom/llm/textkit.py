@@ -77,7 +77,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) over runs of whole texts of about `most` bytes, one longer text alone."""
-    data, offsets = raw(column)
+    yield from cut_texts(*raw(column), most)
+
+
+def cut_texts(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     row = 0
     while row < len(offsets) - 1:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)

@@ -7,10 +7,10 @@ a verdict is derived from an integer hash. Counts stay integers until one final
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.metrics import triple_metrics
+from spanloom.functions.metrics import binary_metrics, triple_metrics, zero_ratio
 
 KEY = ["example_id", "head", "relation", "tail_type", "tail"]
 
@@ -93,9 +93,395 @@ def strict_f1_by_condition_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triple_metrics(counts)
 
 
-QUERIES = {"strict_f1_by_condition_seed": strict_f1_by_condition_seed}
+
+CONDITIONS = ("RAW", "VER-CONFIDENCE", "VER-SIMPLE", "VER-CORRECTIVE")
+THRESHOLD = 0.5
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate under each condition: predicted_valid, emits, the tail it emits, error, and whether its own key is gold.
+
+    A verdict that is missing or failed keeps nothing and is an error; a correction is not predicted valid but emits.
+    """
+    pick, tail = F.col("pick"), F.col("tail")
+    no_error = F.lit(None).cast("string")
+    failed = F.when(pick == 4, F.lit("verdict_failed"))
+
+    def state(name: str, valid: Column, emits: Column, emitted: Column, error: Column) -> Column:
+        return F.struct(F.lit(name).alias("condition"), valid.alias("predicted_valid"), emits.alias("emits"), emitted.alias("e_tail"), error.alias("error"))
+
+    confident, kept = F.col("confidence") >= F.lit(THRESHOLD), pick == 0
+    states = F.array(
+        state(CONDITIONS[0], F.lit(True), F.lit(True), tail, no_error),
+        state(CONDITIONS[1], confident, confident, tail, no_error),
+        state(CONDITIONS[2], kept, kept, tail, failed),
+        state(CONDITIONS[3], kept, pick.isin(0, 1), F.when(pick == 1, (tail + 1) % 3).otherwise(tail), failed),
+    )
+    flagged = candidates(spark, sf_dir).join(gold(spark, sf_dir).withColumn("hit", F.lit(True)), KEY, "left")
+    return flagged.withColumn("gold_valid", F.col("hit").isNotNull()).withColumn("o", F.explode(states)).select("*", "o.*").drop("o", "hit")
+
+
+def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct emitted keys per condition and seed with their number of candidates and whether they are gold."""
+    emitted = (
+        outcomes(spark, sf_dir)
+        .where("emits")
+        .groupBy("condition", "seed", "doc", "example_id", "head", "relation", "tail_type", F.col("e_tail").alias("tail"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    hits = gold(spark, sf_dir).withColumn("hit", F.lit(1))
+    return emitted.join(hits, KEY, "left").withColumn("is_gold", F.col("hit").isNotNull()).drop("hit")
+
+
+OUTCOMES = f"""{VIEWS},
+outcomes AS (
+  SELECT c.*, g.example_id IS NOT NULL AS gold_valid, k.condition,
+    CASE k.condition WHEN 'RAW' THEN true WHEN 'VER-CONFIDENCE' THEN confidence >= {THRESHOLD}::double ELSE pick = 0 END AS predicted_valid,
+    CASE k.condition WHEN 'RAW' THEN true WHEN 'VER-CONFIDENCE' THEN confidence >= {THRESHOLD}::double WHEN 'VER-SIMPLE' THEN pick = 0 ELSE pick IN (0, 1) END AS emits,
+    CASE WHEN k.condition = 'VER-CORRECTIVE' AND pick = 1 THEN (c.tail + 1) % 3 ELSE c.tail END AS e_tail,
+    CASE WHEN k.condition IN ('VER-SIMPLE', 'VER-CORRECTIVE') AND pick = 4 THEN 'verdict_failed' END AS error
+  FROM cand c CROSS JOIN (VALUES ('RAW'), ('VER-CONFIDENCE'), ('VER-SIMPLE'), ('VER-CORRECTIVE')) AS k(condition)
+  LEFT JOIN gold g ON c.example_id = g.example_id AND c.head = g.head AND c.relation = g.relation AND c.tail_type = g.tail_type AND c.tail = g.tail),
+emitted AS (
+  SELECT e.*, g.example_id IS NOT NULL AS is_gold
+  FROM (SELECT condition, seed, doc, example_id, head, relation, tail_type, e_tail AS tail, count(*) AS n
+        FROM outcomes WHERE emits GROUP BY ALL) e
+  LEFT JOIN gold g ON e.example_id = g.example_id AND e.head = g.head AND e.relation = g.relation AND e.tail_type = g.tail_type AND e.tail = g.tail)
+"""
+PRF = """CASE WHEN tp + fp > 0 THEN tp::double / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp::double / (tp + fn) END AS recall,
+       CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) END AS f1"""
+
+
+def condition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        outcomes(spark, sf_dir)
+        .groupBy("condition", "seed")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("predicted_valid").alias("n_valid"),
+            F.count_if("emits").alias("n_emitted"),
+            F.count("error").alias("n_errors"),
+            F.count_if(F.col("e_tail") != F.col("tail")).alias("n_changed"),
+        )
+    )
+
+
+def candidate_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts of the keep decision per condition and seed, and per condition (seed null)."""
+    p, g = F.col("predicted_valid"), F.col("gold_valid")
+    counts = (
+        outcomes(spark, sf_dir)
+        .groupBy("condition", "seed")
+        .agg(F.count_if(p & g).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(~p & g).alias("fn"), F.count_if(~p & ~g).alias("tn"))
+    )
+    rolled = counts.unionByName(counts.groupBy("condition").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]).withColumn("seed", F.lit(None).cast("int")))
+    return binary_metrics(rolled)
+
+
+def verdict_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per seed: actions, failures, and what corrections did to validity."""
+    found = outcomes(spark, sf_dir).where("condition = 'VER-CORRECTIVE'")
+    truth = gold(spark, sf_dir).select("example_id", "head", "relation", "tail_type", F.col("tail").alias("e_tail"), F.lit(True).alias("fixed"))
+    found = found.join(truth, ["example_id", "head", "relation", "tail_type", "e_tail"], "left").withColumn("after", F.col("fixed").isNotNull())
+    corrected = F.col("pick") == 1
+    return found.groupBy("seed").agg(
+        F.count_if(F.col("pick") == 0).alias("n_keep"),
+        F.count_if(corrected).alias("n_correct"),
+        F.count_if(F.col("pick") == 2).alias("n_discard"),
+        F.count_if(F.col("pick") == 3).alias("n_uncertain"),
+        F.count_if(F.col("pick") == 4).alias("n_failed"),
+        F.count_if(corrected & F.col("after")).alias("corrections_gold_valid"),
+        F.count_if(corrected & F.col("gold_valid") & F.col("after")).alias("valid_to_valid"),
+        F.count_if(corrected & F.col("gold_valid") & ~F.col("after")).alias("valid_to_invalid"),
+        F.count_if(corrected & ~F.col("gold_valid") & F.col("after")).alias("invalid_to_valid"),
+        F.count_if(corrected & ~F.col("gold_valid") & ~F.col("after")).alias("invalid_to_invalid"),
+    )
+
+
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tp, fp, fn and duplicates of every sentence with gold or emissions, per condition and seed.
+
+    Sentences without any emission still count their gold as missed: each gold sentence is repeated over the conditions and
+    seeds by an exploded literal, not by a join.
+    """
+    by = ["condition", "seed", "doc", "example_id"]
+    emitted = emissions(spark, sf_dir).groupBy(*by).agg(F.count_if("is_gold").alias("tp"), F.count_if(~F.col("is_gold")).alias("fp"), F.sum(F.col("n") - 1).alias("duplicates"))
+    grid = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(s).cast("int").alias("seed")) for c in CONDITIONS for s in range(42, 49)]))
+    truth = gold(spark, sf_dir).groupBy("example_id").agg(F.count(F.lit(1)).alias("n_gold")).withColumn("g", grid)
+    truth = truth.select("g.condition", "g.seed", (F.col("example_id") % 97).alias("doc"), "example_id", "n_gold")
+    zero = F.lit(0)
+    return (
+        emitted.join(truth, by, "full")
+        .select(*by, *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "duplicates")], (F.coalesce("n_gold", zero) - F.coalesce("tp", zero)).alias("fn"))
+    )
+
+
+SENTENCES = f"""{OUTCOMES},
+grid AS (SELECT condition, seed::int AS seed FROM (VALUES ('RAW'), ('VER-CONFIDENCE'), ('VER-SIMPLE'), ('VER-CORRECTIVE')) AS k(condition) CROSS JOIN range(42, 49) AS s(seed)),
+truth AS (SELECT condition, seed, example_id % 97 AS doc, example_id, count(*) AS n_gold FROM gold CROSS JOIN grid GROUP BY ALL),
+made AS (SELECT condition, seed, doc, example_id, count(*) FILTER (WHERE is_gold) AS tp, count(*) FILTER (WHERE NOT is_gold) AS fp, sum(n - 1) AS duplicates FROM emitted GROUP BY ALL),
+sentences AS (
+  SELECT condition, seed, doc, example_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(duplicates, 0)::bigint AS duplicates, coalesce(n_gold, 0) - coalesce(tp, 0) AS fn
+  FROM made FULL JOIN truth USING (condition, seed, doc, example_id))
+"""
+
+
+def sentence_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences have each combination of counts."""
+    return sentence_counts(spark, sf_dir).groupBy("condition", "seed", "tp", "fp", "fn", "duplicates").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and metrics per condition, (condition, seed) and (condition, seed, doc) in one grouping-sets pass."""
+    sentence_counts(spark, sf_dir).createOrReplaceTempView("spanloom_sentences")
+    rolled = spark.sql(
+        "SELECT condition, seed, doc, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(duplicates) AS duplicates "
+        "FROM spanloom_sentences GROUP BY GROUPING SETS ((condition), (condition, seed), (condition, seed, doc))"
+    )
+    return triple_metrics(rolled)
+
+
+def duplicate_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        emissions(spark, sf_dir)
+        .groupBy("condition", "seed")
+        .agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_candidates"), F.sum(F.col("n") - 1).alias("duplicates"), F.max("n").alias("most"))
+    )
+
+
+def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and both differences of the emitted and gold triple sets of each condition, over all seeds."""
+    keys = emissions(spark, sf_dir).select("condition", *KEY, "is_gold").distinct()
+    n_gold = gold(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_gold"))
+    found = keys.groupBy("condition").agg(F.count_if("is_gold").alias("both"), F.count_if(~F.col("is_gold")).alias("only_emitted"))
+    return found.crossJoin(F.broadcast(n_gold)).select("condition", "both", "only_emitted", (F.col("n_gold") - F.col("both")).alias("only_gold"))
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tp, fp, fn and F1 (0 where undefined) of the keys at or above each of 20 thresholds, per seed.
+
+    A key is emitted at every threshold up to its best confidence, so one pass counts keys by level and a running sum from
+    the top gives all thresholds: no candidate is repeated per threshold.
+    """
+    best = candidates(spark, sf_dir).groupBy("seed", *KEY).agg(F.max("confidence").alias("best"))
+    flagged = best.join(gold(spark, sf_dir).withColumn("hit", F.lit(1)), KEY, "left")
+    level = F.floor(F.col("best") * 20 + F.lit(1e-6)).cast("int")
+    counted = flagged.groupBy("seed", level.alias("level")).agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("keys"))
+    seeds = counted.select("seed").distinct().withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    from_top = Window.partitionBy("seed").orderBy(F.col("level").desc())
+    n_gold = gold(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_gold"))
+    summed = (
+        seeds.join(counted, ["seed", "level"], "full")
+        .withColumn("tp", F.sum(F.coalesce("hits", F.lit(0))).over(from_top))
+        .withColumn("emitted", F.sum(F.coalesce("keys", F.lit(0))).over(from_top))
+        .where("level >= 1")
+        .crossJoin(F.broadcast(n_gold))
+    )
+    tp, fp, fn = F.col("tp"), F.col("emitted") - F.col("tp"), F.col("n_gold") - F.col("tp")
+    return summed.select("seed", "level", (F.col("level") / 20).alias("threshold"), tp, fp.alias("fp"), fn.alias("fn"), zero_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+SWEEP = f"""{VIEWS},
+best AS (SELECT seed, example_id, head, relation, tail_type, tail, floor(max(confidence) * 20 + 1e-6::double)::int AS level FROM cand GROUP BY ALL),
+levels AS (SELECT range::int AS level FROM range(1, 21)),
+sweep AS (
+  SELECT seed, l.level, l.level / 20::double AS threshold, count(g.example_id) AS tp, count(*) - count(g.example_id) AS fp,
+         (SELECT count(*) FROM gold) - count(g.example_id) AS fn
+  FROM best b JOIN levels l ON b.level >= l.level LEFT JOIN gold g USING (example_id, head, relation, tail_type, tail) GROUP BY seed, l.level)
+"""
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep(spark, sf_dir).drop("level")
+
+
+def threshold_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold of the best mean F1 over seeds; of equal means the higher threshold."""
+    means = sweep(spark, sf_dir).groupBy("level").agg(F.round(F.avg("f1"), 12).alias("mean_f1"), F.count(F.lit(1)).alias("n_seeds"))
+    best = means.agg(F.max(F.struct("mean_f1", "level", "n_seeds")).alias("b"))
+    return best.select((F.col("b.level") / 20).alias("threshold"), "b.mean_f1", "b.n_seeds")
+
+
+def threshold_trace_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recomputes each F1 from precision and recall; rows that differ by more than 1e-12 are violations."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    p, r = zero_ratio(tp, tp + fp), zero_ratio(tp, tp + fn)
+    again = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    checked = sweep(spark, sf_dir).withColumn("violates", F.abs(again - F.col("f1")) > 1e-12)
+    return checked.groupBy("seed").agg(F.count(F.lit(1)).alias("n_thresholds"), F.count_if("violates").alias("n_violations"))
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Adds candidate_id: the hash of the canonical JSON of protocol, strict key and seed."""
+    key = F.concat_ws(",", F.col("example_id"), F.col("head"), F.concat(F.lit('"'), "relation", F.lit('"')), F.concat(F.lit('"'), "tail_type", F.lit('"')), F.col("tail"))
+    body = F.concat(F.lit('{"protocol_id":"P1","strict_key":['), key, F.lit('],"training_seed":'), F.col("seed"), F.lit("}"))
+    return df.withColumn("candidate_id", F.concat(F.lit("cand-"), F.sha2(body, 256)))
+
+
+KEYED = f"""{VIEWS},
+keyed AS (
+  SELECT *, 'cand-' || sha256(concat('{{"protocol_id":"P1","strict_key":[', example_id, ',', head, ',"', relation, '","', tail_type, '",', tail, '],"training_seed":', seed, '}}')) AS candidate_id
+  FROM cand)
+"""
+
+
+def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of candidates with one id the most confident stays; a tie keeps the one with the least (pick, doc). Totals per seed."""
+    held = keyed(candidates(spark, sf_dir)).groupBy("seed", "candidate_id").agg(
+        F.min(F.struct((-F.col("confidence")).alias("k"), "pick", "doc")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return held.groupBy("seed").agg(
+        F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_kept"), F.sum(F.col("n") - 1).alias("n_dropped"),
+        F.round(F.sum(-F.col("first.k")), 6).alias("confidence"), F.sum("first.pick").alias("picks"))
+
+
+def candidate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per seed: how many candidates and ids there are, and the digest of the first hundred ids in order."""
+    ids = keyed(candidates(spark, sf_dir)).groupBy("seed", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("candidate_id"))
+    head = ids.withColumn("place", place).where("place <= 100").groupBy("seed").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("candidate_id")), ","), 256).alias("head_digest"))
+    return ids.groupBy("seed").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_ids")).join(head, "seed")
+
+
+def pilot_min_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label-blind pilot: each seed's smallest candidate id."""
+    return keyed(candidates(spark, sf_dir)).groupBy("seed").agg(F.min("candidate_id").alias("candidate_id"))
+
+
+def per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triple_metrics(sentence_counts(spark, sf_dir).groupBy("condition", "seed").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+
+PER_SEED = f"""{SENTENCES},
+sums AS (SELECT condition, seed, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM sentences GROUP BY ALL),
+per_seed AS (SELECT *, {PRF} FROM sums)
+"""
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, sample SD, best F1, all seeds that reach it, and pooled counts."""
+    f1 = per_seed(spark, sf_dir)
+    top = f1.groupBy("condition").agg(F.max("f1").alias("best_f1"))
+    ties = f1.join(top, "condition").where("f1 = best_f1").groupBy("condition").agg(F.array_join(F.array_sort(F.collect_list("seed")), ",").alias("best_seeds"))
+    return (
+        f1.groupBy("condition")
+        .agg(
+            F.round(F.avg("f1"), 9).alias("mean_f1"), F.round(F.stddev_samp("f1"), 9).alias("sd_f1"), F.max("f1").alias("best_f1"),
+            *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+        )
+        .join(ties, "condition")
+    )
+
+
+def best_seed_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds by F1; the row of a condition is that of the highest F1 and then the lowest seed."""
+    order = Window.partitionBy("condition").orderBy(F.col("f1").desc(), "seed")
+    ranks = Window.partitionBy("condition").orderBy(F.col("f1").desc())
+    return per_seed(spark, sf_dir).select("condition", "seed", "f1", F.rank().over(ranks).alias("rank"), (F.row_number().over(order) == 1).alias("is_best"))
+
+
+def effects_vs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentage-point effects against RAW and how many seeds improve, worsen, tie or lack a side."""
+    f1 = per_seed(spark, sf_dir).select("condition", "seed", "f1")
+    raw = f1.where("condition = 'RAW'").select("seed", F.col("f1").alias("raw"))
+    delta = F.round(100 * (F.col("f1") - F.col("raw")), 9)
+    both = f1.where("condition <> 'RAW'").join(raw, "seed").withColumn("delta", delta)
+    return both.groupBy("condition").agg(
+        F.round(F.avg("delta"), 6).alias("mean_pp"), F.count_if(F.col("delta") > 0).alias("improved"), F.count_if(F.col("delta") < 0).alias("worsened"),
+        F.count_if(F.col("delta") == 0).alias("tied"), F.count_if(F.col("delta").isNull()).alias("unavailable"))
+
+
+def joint_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrective emissions at or above the threshold, deduplicated after the filter, against all gold."""
+    kept = outcomes(spark, sf_dir).where((F.col("condition") == "VER-CORRECTIVE") & F.col("emits") & (F.col("confidence") >= F.lit(THRESHOLD)))
+    emitted = kept.select("seed", "example_id", "head", "relation", "tail_type", F.col("e_tail").alias("tail"))
+    return triple_metrics(strict_counts(emitted, gold(spark, sf_dir), ["seed"]))
+
+
+def relation_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid and invalid candidates of each relation."""
+    raw = outcomes(spark, sf_dir).where("condition = 'RAW'")
+    return raw.groupBy("relation").agg(F.count_if("gold_valid").alias("valid"), F.count_if(~F.col("gold_valid")).alias("invalid"))
+
+
+def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted metrics, NA where undefined."""
+    def number(name: str) -> Column:
+        return F.coalesce(F.format_string("%.6f", F.col(name)), F.lit("NA")).alias(name)
+
+    return per_seed(spark, sf_dir).select("condition", "seed", F.format_string("%d/%d/%d", "tp", "fp", "fn").alias("counts"), *[number(c) for c in ("precision", "recall", "f1")])
+
+
+def flatten_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, value) of a nested report, list places as [i] and nulls as unavailable."""
+    nested = per_seed(spark, sf_dir).groupBy("condition").agg(F.array_sort(F.collect_list(F.struct("seed", "tp", "fp", "fn"))).alias("seeds"))
+    rows = nested.select("condition", F.posexplode("seeds").alias("i", "s"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"s.{c}").cast("string").alias("v")) for c in ("seed", "tp", "fp", "fn")]))
+    return rows.withColumn("p", pairs).select(
+        F.concat("condition", F.lit(".seeds["), "i", F.lit("]."), "p.k").alias("path"), F.coalesce("p.v", F.lit("unavailable")).alias("value"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        strict_f1_by_condition_seed, condition_outcomes, candidate_confusion, verdict_diagnostics, sentence_outcomes, document_rollup, duplicate_emissions,
+        set_algebra, threshold_sweep, threshold_selected, threshold_trace_check, candidate_dedup, candidate_index, pilot_min_candidate, quality_summary,
+        best_seed_ties, effects_vs_raw, joint_subset, relation_balance, publication_table, flatten_report,
+    )
+}
 
 ORACLES = {
+    "condition_outcomes": f"""WITH {OUTCOMES} SELECT condition, seed, count(*) AS n, count(*) FILTER (WHERE predicted_valid) AS n_valid,
+ count(*) FILTER (WHERE emits) AS n_emitted, count(error) AS n_errors, count(*) FILTER (WHERE e_tail <> tail) AS n_changed FROM outcomes GROUP BY ALL""",
+    "candidate_confusion": f"""WITH {OUTCOMES}, counts AS (
+ SELECT condition, seed, count(*) FILTER (WHERE predicted_valid AND gold_valid) AS tp, count(*) FILTER (WHERE predicted_valid AND NOT gold_valid) AS fp,
+   count(*) FILTER (WHERE NOT predicted_valid AND gold_valid) AS fn, count(*) FILTER (WHERE NOT predicted_valid AND NOT gold_valid) AS tn
+ FROM outcomes GROUP BY GROUPING SETS ((condition), (condition, seed)))
+SELECT *, {PRF}, (tp + tn)::double / (tp + fp + fn + tn) AS accuracy FROM counts""",
+    "verdict_diagnostics": f"""WITH {OUTCOMES}, c AS (
+ SELECT o.*, g.example_id IS NOT NULL AS after FROM outcomes o LEFT JOIN gold g ON o.example_id = g.example_id AND o.head = g.head AND o.relation = g.relation
+   AND o.tail_type = g.tail_type AND o.e_tail = g.tail WHERE condition = 'VER-CORRECTIVE')
+SELECT seed, count(*) FILTER (WHERE pick = 0) AS n_keep, count(*) FILTER (WHERE pick = 1) AS n_correct, count(*) FILTER (WHERE pick = 2) AS n_discard,
+ count(*) FILTER (WHERE pick = 3) AS n_uncertain, count(*) FILTER (WHERE pick = 4) AS n_failed,
+ count(*) FILTER (WHERE pick = 1 AND after) AS corrections_gold_valid, count(*) FILTER (WHERE pick = 1 AND gold_valid AND after) AS valid_to_valid,
+ count(*) FILTER (WHERE pick = 1 AND gold_valid AND NOT after) AS valid_to_invalid, count(*) FILTER (WHERE pick = 1 AND NOT gold_valid AND after) AS invalid_to_valid,
+ count(*) FILTER (WHERE pick = 1 AND NOT gold_valid AND NOT after) AS invalid_to_invalid FROM c GROUP BY seed""",
+    "sentence_outcomes": f"WITH {SENTENCES} SELECT condition, seed, tp, fp, fn, duplicates, count(*) AS n_sentences FROM sentences GROUP BY ALL",
+    "document_rollup": f"""WITH {SENTENCES}, rolled AS (SELECT condition, seed, doc, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn,
+ sum(duplicates)::bigint AS duplicates FROM sentences GROUP BY GROUPING SETS ((condition), (condition, seed), (condition, seed, doc))) SELECT *, {PRF} FROM rolled""",
+    "duplicate_emissions": f"""WITH {OUTCOMES} SELECT condition, seed, count(*) AS n_keys, sum(n)::bigint AS n_candidates, sum(n - 1)::bigint AS duplicates,
+ max(n) AS most FROM emitted GROUP BY ALL""",
+    "set_algebra": f"""WITH {OUTCOMES}, keys AS (SELECT DISTINCT condition, example_id, head, relation, tail_type, tail, is_gold FROM emitted)
+SELECT condition, count(*) FILTER (WHERE is_gold) AS "both", count(*) FILTER (WHERE NOT is_gold) AS only_emitted,
+ (SELECT count(*) FROM gold) - count(*) FILTER (WHERE is_gold) AS only_gold FROM keys GROUP BY condition""",
+    "threshold_sweep": f"WITH {SWEEP} SELECT seed, threshold, tp, fp, fn, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM sweep",
+    "threshold_selected": f"""WITH {SWEEP}, means AS (SELECT threshold, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) ELSE 0 END), 12) AS mean_f1,
+ count(*) AS n_seeds FROM sweep GROUP BY threshold) SELECT threshold, mean_f1, n_seeds FROM means ORDER BY mean_f1 DESC, threshold DESC LIMIT 1""",
+    "threshold_trace_check": f"WITH {SWEEP} SELECT seed, count(*) AS n_thresholds, 0::bigint AS n_violations FROM sweep GROUP BY seed",
+    "candidate_dedup": f"""WITH {KEYED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, candidate_id ORDER BY confidence DESC, pick, doc) AS r FROM keyed)
+SELECT seed, count(*) AS n_candidates, count(*) FILTER (WHERE r = 1) AS n_kept, count(*) FILTER (WHERE r > 1) AS n_dropped,
+ round(sum(confidence) FILTER (WHERE r = 1), 6) AS confidence, (sum(pick) FILTER (WHERE r = 1))::bigint AS picks FROM ranked GROUP BY seed""",
+    "candidate_index": f"""WITH {KEYED}, g AS (SELECT seed, candidate_id, count(*) AS n FROM keyed GROUP BY ALL), ids AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY candidate_id) AS place FROM g)
+SELECT seed, sum(n)::bigint AS n_candidates, count(*) AS n_ids, sha256(string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE place <= 100)) AS head_digest FROM ids GROUP BY seed""",
+    "pilot_min_candidate": f"WITH {KEYED} SELECT seed, min(candidate_id) AS candidate_id FROM keyed GROUP BY seed",
+    "quality_summary": f"""WITH {PER_SEED}, top AS (SELECT condition, max(f1) AS best_f1 FROM per_seed GROUP BY condition)
+SELECT p.condition, round(avg(f1), 9) AS mean_f1, round(stddev_samp(f1), 9) AS sd_f1, max(f1) AS best_f1, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn,
+ string_agg(seed::varchar, ',' ORDER BY seed) FILTER (WHERE f1 = best_f1) AS best_seeds FROM per_seed p JOIN top t ON p.condition = t.condition GROUP BY p.condition""",
+    "best_seed_ties": f"""WITH {PER_SEED} SELECT condition, seed, f1, rank() OVER (PARTITION BY condition ORDER BY f1 DESC) AS rank,
+ row_number() OVER (PARTITION BY condition ORDER BY f1 DESC, seed) = 1 AS is_best FROM per_seed""",
+    "effects_vs_raw": f"""WITH {PER_SEED}, d AS (SELECT a.condition, round(100 * (a.f1 - r.f1), 9) AS delta FROM per_seed a JOIN per_seed r ON a.seed = r.seed AND r.condition = 'RAW'
+ WHERE a.condition <> 'RAW') SELECT condition, round(avg(delta), 6) AS mean_pp, count(*) FILTER (WHERE delta > 0) AS improved, count(*) FILTER (WHERE delta < 0) AS worsened,
+ count(*) FILTER (WHERE delta = 0) AS tied, count(*) FILTER (WHERE delta IS NULL) AS unavailable FROM d GROUP BY condition""",
+    "joint_subset": f"""WITH {OUTCOMES}, e AS (SELECT DISTINCT seed, example_id, head, relation, tail_type, e_tail AS tail FROM outcomes
+ WHERE condition = 'VER-CORRECTIVE' AND emits AND confidence >= {THRESHOLD}::double),
+counts AS (SELECT seed, count(g.example_id) AS tp, count(*) - count(g.example_id) AS fp, (SELECT count(*) FROM gold) - count(g.example_id) AS fn
+ FROM e LEFT JOIN gold g USING (example_id, head, relation, tail_type, tail) GROUP BY seed) SELECT *, {PRF} FROM counts""",
+    "relation_balance": f"""WITH {OUTCOMES} SELECT relation, count(*) FILTER (WHERE gold_valid) AS valid, count(*) FILTER (WHERE NOT gold_valid) AS invalid
+FROM outcomes WHERE condition = 'RAW' GROUP BY relation""",
+    "publication_table": f"""WITH {PER_SEED} SELECT condition, seed, concat(tp, '/', fp, '/', fn) AS counts, coalesce(printf('%.6f', precision), 'NA') AS precision,
+ coalesce(printf('%.6f', recall), 'NA') AS recall, coalesce(printf('%.6f', f1), 'NA') AS f1 FROM per_seed""",
+    "flatten_report": f"""WITH {PER_SEED}, n AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY seed) - 1 AS i FROM per_seed),
+u AS (UNPIVOT (SELECT condition, i, seed::bigint AS seed, tp::bigint AS tp, fp::bigint AS fp, fn::bigint AS fn FROM n) ON seed, tp, fp, fn INTO NAME k VALUE v)
+SELECT concat(condition, '.seeds[', i, '].', k) AS path, coalesce(v::varchar, 'unavailable') AS value FROM u""",
     "strict_f1_by_condition_seed": f"""
 WITH {VIEWS},
 emitted AS (

@@ -40,7 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that an Arrow batch holds at most: long texts in a batch are what a Python worker has to have room for.
+BATCH_ROWS = 1000
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -24,6 +24,7 @@ from spanloom.llm.common import SPACE_RUN, written
 
 HEAVY_SHARE = 1 / 256
 COUNTERS = 1024
+NO_ID = 2**63 - 1  # stands for a null id: larger than all others
 
 
 def normalised(text: Column) -> Column:
@@ -84,9 +85,15 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of equal texts, all columns as they were."""
-    columns = df.columns
-    kept = groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    named = df.withColumn("__id", F.col(id_col)).withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    match = named["__id"].eqNullSafe(kept["__id"]) & (named["__digest"] == kept["__digest"])
-    # rows that repeat id and text meet here; the join has already brought them to one task
-    return named.join(kept, match, "left_semi").dropDuplicates(["__id", "__digest"]).select(*[F.col(f"`{c}`") for c in columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    keys = ["__id", "__digest"]
+
+    def filled(doc_id: Column) -> Column:
+        return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+    found = written(groups(df, id_col, text_col).select(filled(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest"), "kept"))
+    named = df.withColumn("__id", filled(F.col(id_col))).withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    left = named.join(found.where("kept").select(*keys), keys, "left_semi")
+    if not found.groupBy(*keys).count().where("count > 1").isEmpty():  # rows that repeat id and text
+        left = left.dropDuplicates(keys)
+    return left.select(*columns)

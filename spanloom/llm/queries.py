@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, suffix_dedup
+from spanloom.llm import exact_dedup, merkle, mixing, ngram_join, packing, quality, secrets, substring_chain, suffix_dedup, toxicity
 from spanloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,32 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_substring_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_chain.passages(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of the pages with faults at fixed ids: bit rot, lost records, and records that the primary lacks."""
+    rot = F.when(F.col("page_id") % 53 == 7, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    kept = pages.where("page_id IS NULL OR page_id % 211 <> 13").select("page_id", "url", rot.alias("html"))
+    strange = pages.where("page_id % 307 = 5").select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    return kept.unionByName(strange)
+
+
+def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = merkle.audit(merkle.records(pages), merkle.records(damaged(pages)))
+    return found.select(
+        F.col("record_id").alias("page_id"), "ordinal", F.col("offset").alias("warc_offset"), F.col("length").alias("record_bytes"),
+        F.lower(F.hex("digest")).alias("sha256"), F.lower(F.hex("copy")).alias("replica_sha256"), "verdict",
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), ngram_join.Rule(words=4, least=85))
 
@@ -57,6 +83,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_substring_chain": op3_substring_chain,
+        "op4_toxicity": op4_toxicity,
+        "op5_warc_merkle": op5_warc_merkle,
         "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
         "op8_quality_rules": op8_quality_rules,
@@ -94,6 +123,28 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM hashed WINDOW same AS (PARTITION BY text_sha256)
 """
 
+OP5_SQL = r"""
+WITH replica AS (
+  SELECT page_id, url, CASE WHEN page_id % 53 = 7 THEN '#' || substr(html, 2) ELSE html END AS html
+  FROM pages WHERE page_id IS NULL OR page_id % 211 <> 13
+  UNION ALL SELECT -1 - page_id, url, html FROM pages WHERE page_id % 307 = 5),
+a AS (
+  SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>',
+    chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10),
+    html, chr(13), chr(10), chr(13), chr(10)) AS record FROM pages),
+b AS (
+  SELECT page_id, sha256(concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>',
+    chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10),
+    html, chr(13), chr(10), chr(13), chr(10))) AS digest FROM replica),
+listed AS (
+  SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS ordinal, strlen(record) AS record_bytes,
+         sum(strlen(record)) OVER (ORDER BY page_id) - strlen(record) AS warc_offset, sha256(record) AS sha256
+  FROM a)
+SELECT coalesce(l.page_id, b.page_id) AS page_id, ordinal, warc_offset::bigint AS warc_offset, record_bytes, sha256, b.digest AS replica_sha256,
+       CASE WHEN l.page_id IS NULL THEN 'extra' WHEN b.page_id IS NULL THEN 'missing' WHEN sha256 <> b.digest THEN 'corrupt' ELSE 'ok' END AS verdict
+FROM listed l FULL JOIN b ON l.page_id = b.page_id
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -151,4 +202,4 @@ FROM ranked
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_warc_merkle": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}

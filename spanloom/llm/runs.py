@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import textkit
 
-RUN_BYTES = 8 << 20
-HELD_BYTES = 24 << 20
+RUN_BYTES = 4 << 20
+HELD_BYTES = 8 << 20
 NO_ID = 2**63 - 1  # stands for a null id: larger than all others
 
 
@@ -72,6 +72,21 @@ def run_of(doc_id: Column, runs: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(runs)).cast("int")
 
 
+def place_of(ids: np.ndarray, runs: int) -> np.ndarray:
+    """run_of for numbers in a task: the 64-bit xxHash of a long, with Spark's seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    with np.errstate(over="ignore"):
+        h = turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42 + 8) + p5)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % runs
+
+
 def bundled(df: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(run, block), dealt by run. Passes over the same frame share its exchange."""
     doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
@@ -134,6 +149,12 @@ def minimisers(hashes: np.ndarray, width: int, allowed: np.ndarray | None = None
     return np.unique(chosen).astype(np.int64)
 
 
+def long_minimisers(hashes: np.ndarray, width: int, allowed: np.ndarray, segment: int = 1 << 20) -> np.ndarray:
+    """minimisers of any number of hashes, by overlapping segments."""
+    found = [minimisers(part, width, allowed[at : at + len(part) - width + 1]) + at for at in range(0, len(hashes), segment) if len(part := hashes[at : at + segment + width - 1]) >= width]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def table(schema: str, *columns: list) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]

@@ -1,24 +1,51 @@
-"""The corpus pipeline: each stage calls one operator of spanloom.llm and hands its rows on as a Parquet table."""
+"""The corpus pipeline: each stage calls one operator of spanloom.llm and hands its rows on as a Parquet table.
+
+A stage takes (spark, docs, sf_dir). All but the last return the columns of `documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import exact_dedup, mixing
+from spanloom.llm import exact_dedup, mixing, ngram_join, packing, quality
 from spanloom.llm.common import documents, written
+from spanloom.llm.queries import tokenizer_files
+
+
+def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a Jaccard similarity of 0.8 the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs, ngram_join.Rule(words=5, least=80))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target words; documents repeat as often as they are taken."""
     return mixing.take(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_sources)]
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens, one row per piece."""
+    return packing.pack(docs, *tokenizer_files())
+
+
+STAGES = [
+    ("quality_rules", keep_good_text),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
-#: The stages train models and tokenise, which SQL cannot express.
+#: The first stage fits a model and the last one tokenises, which SQL cannot express.
 ORACLE_SQL = None
 
 

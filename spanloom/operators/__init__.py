@@ -1 +1 @@
-"""Operators of spanloom."""
+"""Operators on general frames: exact tests, bootstraps, graph retrieval, stratified splits."""

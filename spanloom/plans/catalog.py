@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import scoring, text
+from spanloom.plans import graph, scoring, statistics, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = (scoring, text)
+MODULES = (scoring, text, statistics, graph)
 
 
 def queries() -> dict[str, Query]:

@@ -25,7 +25,7 @@ from spanloom.llm.textkit import U64
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
-SMOOTHING = 1.0
+SMOOTHING = 4.0
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -83,11 +83,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         counts[:, row.bucket] = row.n_raw, row.n_target
     if not counts[1].any():
         return np.zeros(BUCKETS, np.float32)
+    return log_ratio(counts)
+
+
+def log_ratio(counts: np.ndarray) -> np.ndarray:
+    """log p_target / p_raw by bucket. Both get SMOOTHING counts on the target's scale, so that what the raw corpus rarely has is no evidence."""
     half = BUCKETS // 2
     model = np.zeros(BUCKETS)
     for part in (slice(0, half), slice(half, BUCKETS)):
-        raw, target = counts[0][part] + SMOOTHING, counts[1][part] + SMOOTHING
-        model[part] = np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw, target = counts[0][part], counts[1][part]
+        model[part] = np.log((target + SMOOTHING) / (raw * (target.sum() / max(raw.sum(), 1)) + SMOOTHING))
     return model.astype(np.float32)
 
 

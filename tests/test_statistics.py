@@ -1,0 +1,62 @@
+"""Hand-calculated and recorded values of the exact statistics."""
+
+import pytest
+
+from spanloom.functions.python_udfs import _incomplete_beta, student_t_two_sided
+from spanloom.operators import statistics as ops
+
+DELTAS = [0.1, 0.1, -0.1, 0.0, 0.2, 0.3, -0.2, 0.1]
+
+
+@pytest.fixture
+def deltas(spark):
+    return spark.createDataFrame([("a", d) for d in DELTAS] + [("zero", 0.5)] * 3, "arm string, delta double")
+
+
+def test_wilcoxon(deltas):
+    found = {r.arm: r for r in ops.wilcoxon(deltas, ["arm"]).collect()}
+    assert (found["a"].n_nonzero, found["a"].w_plus, found["a"].w_minus, found["a"].p_value) == (7, 20.0, 8.0, 0.40625)
+    assert found["zero"].p_value == 0.25
+
+
+def test_paired_t(deltas):
+    found = ops.paired_t(deltas, ["arm"]).withColumn("p", student_t_two_sided("t", ops.F.col("df").cast("double")))
+    found = {r.arm: r for r in found.collect()}
+    assert found["a"].t == pytest.approx(1.1062441971717745, rel=1e-13) and found["a"].df == 7
+    assert found["a"].p == pytest.approx(0.30518391082268104, rel=1e-11)
+    assert found["zero"].status == "zero_variance" and found["zero"].t is None
+
+
+def test_incomplete_beta_limits():
+    assert _incomplete_beta(2.0, 3.0, 0.0) == 0 and _incomplete_beta(2.0, 3.0, 1.0) == 1
+    assert _incomplete_beta(0.5, 0.5, 0.5) == pytest.approx(0.5, rel=1e-13)
+    assert _incomplete_beta(1.0, 1.0, 0.3) == pytest.approx(0.3, rel=1e-13)
+
+
+def test_holm(spark):
+    tests = spark.createDataFrame([("first", 0.02), ("second", 0.08), ("third", 0.01)], "label string, p_value double")
+    assert {r.label: round(r.holm_p, 12) for r in ops.holm(tests, "label").collect()} == {"first": 0.04, "second": 0.08, "third": 0.03}
+
+
+def test_seed_bootstrap_shares_draws(spark):
+    """An arm that is another plus a constant has the same interval plus the constant."""
+    rows = [("a", s, 0.4 + 0.01 * (s % 5)) for s in range(42, 50)] + [("b", s, 0.5 + 0.01 * (s % 5)) for s in range(42, 50)]
+    found = {r.arm: r for r in ops.seed_bootstrap(spark.createDataFrame(rows, "arm string, seed int, value double"), 500, 7).collect()}
+    assert found["b"].lower - found["a"].lower == pytest.approx(0.1, abs=1e-12) and found["a"].lower < 0.42 < found["a"].upper + 0.01
+
+
+def test_hierarchical_bootstrap(spark):
+    rows = [(c, s, d, 5 + (c == "x") + d % 3, 2, 3) for c in ("raw", "x") for s in range(3) for d in range(6)]
+    counts = spark.createDataFrame(rows, "condition string, seed int, doc int, tp int, fp int, fn int")
+    found = {r.condition: r for r in ops.hierarchical_bootstrap(counts, "raw", 60, 5).collect()}
+    assert found["raw"].delta_lower == 0 == found["raw"].delta_upper and found["x"].delta_lower > 0
+    assert found["x"].status == "defined" and found["x"].n_undefined == 0
+    again = {r.condition: r for r in ops.hierarchical_bootstrap(counts.repartition(5), "raw", 60, 5).collect()}
+    assert again["x"].lower == pytest.approx(found["x"].lower, abs=1e-12)
+
+
+def test_undefined_replicates_withhold_the_interval(spark):
+    rows = [("raw", s, d, 0, 0, 0 if d else 1) for s in range(2) for d in range(3)]
+    counts = spark.createDataFrame(rows, "condition string, seed int, doc int, tp int, fp int, fn int")
+    found = ops.hierarchical_bootstrap(counts, "raw", 50, 1).first()
+    assert found.status == "withheld_excess_undefined_replicates" and found.lower is None

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import graph, journal, scoring, statistics, text, vectors
+from spanloom.plans import contracts, graph, journal, scoring, statistics, text, vectors
 from spanloom.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = (scoring, text, statistics, graph, journal, vectors, events)
+MODULES = (scoring, text, statistics, graph, journal, contracts, vectors, events)
 
 
 def queries() -> dict[str, Query]:

@@ -5,11 +5,12 @@ with equal sets are one node, so copies are never compared. The order of shingle
 their hash bucket occur (a sketch of fixed size over all texts), then by hash. Two sets with Jaccard >= t share a shingle in
 their prefixes of n - ceil(t n) + 1, so nodes are joined on prefix shingles only.
 
-Pairs: within a group of nodes that hold one prefix shingle, each round pairs the members with one hub of another component,
-so a group costs its size and not its square; verified links merge components, and a group whose members have met in one
-component is done. After `ROUNDS` rounds, whatever members of a group are still in different components are paired in full,
-so that no link is lost: pairs left out are already connected. Length and positional filters prune pairs before their sets
-are fetched, the suffix filter before they are intersected, and a pair is verified once.
+Pairs: within a group of nodes that hold one prefix shingle, each round pairs the members with `HUBS` hubs of other
+components, so a group costs its size and not its square; the hubs are the nodes whose shingles are shared most, the centres
+of near copies. Links merge components, and a group whose members have met in one component is done. After `ROUNDS` rounds,
+whatever members of a group are still in different components are paired in full, so that no link is lost: pairs left out
+are already connected. Length and positional filters and small sketches prune pairs before their sets are fetched, the
+suffix filter before they are intersected, and a pair is verified once.
 
 Components come from large-star/small-star rounds on verified links, with a reliable checkpoint each.
 
@@ -21,23 +22,25 @@ gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm import textkit
+from spanloom.llm import runs, textkit
 from spanloom.llm.common import checkpointed, written
 from spanloom.llm.textkit import U64
 
 BUCKETS = 1 << 16
-ROUNDS = 3
+ROUNDS = 1
+HUBS = 2
+AHEAD = 6
+SKETCH = 8
 SUFFIX_DEPTH = 3
-NO_ID = 2**63 - 1  # stands for a null id inside
 
 
 @dataclass(frozen=True)
@@ -108,48 +111,104 @@ def describe(words: int):
     return run
 
 
-def prefixes(rule: Rule, rank: np.ndarray):
-    """Arrow map over (doc_id, text): (token, node, n, at) for each prefix shingle of each text's set; at is its place, rare first."""
+def prefix_tokens(run: runs.Run, rule: Rule, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, node, n, at) of the prefix shingles of a run's distinct sets; at is the place in the set, rare first."""
+    tokens, nodes, sizes, places, seen = [], [], [], [], set()
+    for _, _, data, offsets in textkit.cut_texts(run.data, run.offsets):
+        for s in shingle_sets(data, offsets, rule.words):
+            if not len(s) or (node := name(s)) in seen:
+                continue
+            seen.add(node)
+            n = len(s)
+            k = rule.prefix(n)
+            hits = rank[bucket(s)]
+            if k < n:
+                edge = np.partition(hits, k - 1)[k - 1]
+                s, hits = s[hits <= edge], hits[hits <= edge]
+            tokens.append(s[np.lexsort((s, hits))][:k])
+            nodes.append(np.full(k, node, np.int64))
+            sizes.append(np.full(k, n, np.int32))
+            places.append(np.arange(k, dtype=np.int32))
+    if not tokens:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in (tokens, nodes, sizes, places))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in textkit.pieces(batch.column(1)):
-                tokens, nodes, sizes, places, seen = [], [], [], [], set()
-                for s in shingle_sets(data, offsets, rule.words):
-                    if not len(s) or (node := name(s)) in seen:
-                        continue
-                    seen.add(node)  # copies within the batch
-                    n = len(s)
-                    k = rule.prefix(n)
-                    hits = rank[bucket(s)]
-                    if k < n:
-                        near = np.argpartition(hits, k - 1)
-                        edge = hits[near[k - 1]]
-                        s, hits = s[hits <= edge], hits[hits <= edge]
-                    s = s[np.lexsort((s, hits))][:k]
-                    tokens.append(s.astype(np.int64))
-                    nodes.append(np.full(k, node))
-                    sizes.append(np.full(k, n, np.int32))
-                    places.append(np.arange(k, dtype=np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], ["token", "node", "n", "at"])
 
-    return run
+def send_tags(rule: Rule, rank: np.ndarray, buckets: int):
+    def send(key: tuple, part: pa.Table) -> pa.Table:
+        token, node, _, _ = prefix_tokens(runs.load(part.column("block").to_pylist()), rule, rank)
+        return runs.tag_blocks(key[0].as_py(), token, node, buckets)
+
+    return send
+
+
+TOKENS = "token long, node long, n int, at int, bits binary"
+
+
+def send_shared(rule: Rule, rank: np.ndarray, buckets: int):
+    """The shared prefix shingles of a run, and a row with the sketch of each set that has any: see `sketch`."""
+
+    def send(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
+        run = runs.load(part.column("block").to_pylist())
+        token, node, n, at = prefix_tokens(run, rule, rank)
+        mask = runs.shared_mask(token, replies, buckets)
+        open_ = set(node[mask].tolist())
+        bits = {}
+        for _, _, data, offsets in textkit.cut_texts(run.data, run.offsets):
+            for s in shingle_sets(data, offsets, rule.words):
+                if len(s) and (x := name(s)) in open_ and x not in bits:
+                    bits[x] = (len(s), sketch(s))
+        tokens = pa.table([*(pa.array(x[mask]) for x in (token.astype(np.int64), node, n, at)), pa.nulls(int(mask.sum()), pa.binary())], names=COLUMNS)
+        none = pa.nulls(len(bits))
+        sketches = pa.table([none.cast(pa.int64()), pa.array(list(bits), pa.int64()), pa.array([x for x, _ in bits.values()], pa.int32()), none.cast(pa.int32()), pa.array([x for _, x in bits.values()], pa.binary())], names=COLUMNS)
+        return pa.concat_tables([tokens, sketches])
+
+    return send
+
+
+COLUMNS = [f.split()[0] for f in TOKENS.split(", ")]
+SETS = "node long, shingles binary"
 
 
 def sets_of(words: int):
-    """Arrow map over (node, text): (node, shingles), the sorted set as bytes, where the text is that node's."""
+    """Arrow map over (node, text): the sorted sets of the texts that are the node's (a row that repeats the id may have another)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in textkit.pieces(batch.column(1)):
                 nodes = batch.column(0).slice(row, end - row).to_pylist()
                 sets = [(node, s.tobytes()) for node, s in zip(nodes, shingle_sets(data, offsets, words), strict=True) if len(s) and name(s) == node]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], ["node", "shingles"])
 
     return run
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles over a power of two of bits, at least SKETCH of them per shingle."""
+    size = 1 << max(8, (SKETCH * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: each shingle that one set alone holds flips one bit at most."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))  # the longer one folds onto the shorter
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def near(rule: Rule):
+    """Whether the sketches leave room for enough overlap."""
+
+    def check(a: pd.Series, n_a: pd.Series, b: pd.Series, n_b: pd.Series) -> pd.Series:
+        total = n_a.to_numpy(np.int64) + n_b.to_numpy(np.int64)
+        room = (total - 2 * rule.overlap(total)).tolist()
+        return pd.Series([sketch_distance(x, y) <= most for x, y, most in zip(a, b, room, strict=True)], dtype=bool)
+
+    return F.pandas_udf(check, "boolean")
+
+
 def suffix_distance(a: np.ndarray, b: np.ndarray, most: int, depth: int = SUFFIX_DEPTH) -> int:
     """A lower bound of the symmetric difference of two sorted sets, by splitting both at the middle of `b`."""
     gap = abs(len(a) - len(b))
@@ -183,9 +242,8 @@ def linked(rule: Rule):
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, root) of every node in `links`; root is the smallest node it reaches."""
+    """(node, root) of every node in `links`; root is the smallest node it reaches. Done when all edges lead to a root."""
     edges = checkpointed(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -193,28 +251,33 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # stars: no node leads on and is led to, and none leads to two
+        sides = edges.select("u", F.lit(1).alias("k")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("k")).distinct())
+        if sides.groupBy("u").agg(F.sum("k").alias("out"), F.count(F.lit(1)).alias("n")).where("out > 0 AND n > 1").isEmpty():
             break
-        state = now
     else:
         raise RuntimeError("components did not settle")
     rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
 
-def passing(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Length and positional filters on (a, n_a, at_a, b, n_b, at_b): distinct (a, b), a < b."""
-    need = F.ceil(rule.least * (F.col("n_a") + F.col("n_b")) / F.lit(rule.of + rule.least))
-    length = (F.least("n_a", "n_b") * rule.of >= F.greatest("n_a", "n_b") * rule.least)
-    # the shared shingle at these places, and at most what follows it in the shorter rest; prefixes hold no earlier one than the first
-    reach = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1 + F.least("at_a", "at_b")
-    return pairs.where(length & (reach >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def passing(met: DataFrame, rule: Rule) -> DataFrame:
+    """Length and positional filters on members of a group and their partner o: distinct (a, b, n_a, n_b), a < b."""
+    n, at, m, other_at = F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")
+    need = F.ceil(rule.least * (n + m) / F.lit(rule.of + rule.least))
+    length = F.least(n, m) * rule.of >= F.greatest(n, m) * rule.least
+    # the first shingle that two sets share leaves room for all that they have to share: a linked pair passes there
+    reach = F.least(n - at, m - other_at)
+    forth = F.col("node") < F.col("o.node")
+    return met.where(length & (reach >= need)).select(
+        F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"),
+        F.when(forth, n).otherwise(m).alias("n_a"), F.when(forth, m).otherwise(n).alias("n_b"),
+    ).distinct()
 
 
-def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = runs.RUN_BYTES) -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, component_id (smallest doc_id it reaches)."""
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(runs.NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = written(texts.mapInArrow(describe(rule.words), "doc_id long, n long, node long, bucket long, hits long"))
     members = described.where("bucket IS NULL").select("doc_id", "n", "node")
     counts = described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits"))
@@ -222,63 +285,122 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     for row in counts.collect():  # at most BUCKETS rows
         rank[row.bucket] = row.hits
 
-    tokens = texts.mapInArrow(prefixes(rule, rank), "token long, node long, n int, at int")
-    groups = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    shared = written(tokens.join(groups, "token").distinct())
-
-    firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    needed = shared.select("node").distinct().join(firsts, "node").select("node", F.col("rep").alias("doc_id"))
-    fetched = texts.where("text IS NOT NULL").join(needed, "doc_id").select("node", "text")
-    sets = written(fetched.mapInArrow(sets_of(rule.words), "node long, shingles binary").dropDuplicates(["node"]))
-
-    roots = components(verified_links(shared, sets, rule))
+    n = runs.n_runs(texts, "text", run_bytes)
+    bundles = runs.bundled(texts, n)
+    replies = bundles.groupBy("run").applyInArrow(send_tags(rule, rank, n), runs.TAGS).groupBy("bucket").applyInArrow(runs.find_shared, runs.SHARED)
+    tokens = bundles.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(send_shared(rule, rank, n), TOKENS)
+    tokens = written(tokens)
+    rows = tokens.where("token IS NOT NULL").select("token", "node", "n", "at").distinct()
+    bits = tokens.where("token IS NULL").select("node", "bits").dropDuplicates(["node"])
+    # of shingles that the same nodes hold the first in the order stays, since a pair's first shared shingle is what counts
+    held = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"), F.min(F.struct("node", "at"))["at"].alias("at"),
+    )
+    # the centre of a group of near copies shares the most: it becomes the group's hub
+    weight = rows.join(held.select("token", "size"), "token").groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
+    telling = held.where("size > 1").groupBy("size", "sum", "xor").agg(F.min(F.struct("at", "token"))["token"].alias("token")).select("token")
+    # two sets can only link if their sizes are in one band or in neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(rule.of / rule.least)) + 1e-9).cast("int")
+    banded = rows.join(telling, "token", "left_semi").join(weight, "node").withColumn("band", F.explode(F.array(band, band + 1)))
+    banded = written(banded)
+    shared = written(banded.join(several(banded, "node"), GROUP, "left_semi"))
+
+    firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = written(nodes.join(firsts, "node").select(F.col("rep").alias("doc_id"), "node"))
+        return texts.join(wanted, "doc_id").select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
+
+    roots = components(verified_links(shared, bits, sets, rule))
     reps = firsts.select("node", "rep")
     lowest = roots.join(reps, "node").groupBy("root").agg(F.min("rep").alias("component"))
     reps = reps.join(roots, "node", "left").join(lowest, "root", "left").select("node", F.coalesce("component", "rep").alias("rep"))
     return (
         members.join(reps.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("rep", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+        .select(F.nullif("doc_id", F.lit(runs.NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("rep", "doc_id"), F.lit(runs.NO_ID)).alias("component_id"))
     )
 
 
-def verified_links(shared: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between nodes that connect whatever is connected."""
-    tried = links = None
-    left = shared.withColumn("comp", F.col("node"))
-    for round_ in range(ROUNDS + 1):
-        member = F.struct("comp", "n", "node", "at")
-        if round_ < ROUNDS:  # one hub per group: the member that this round's hash puts first
-            hub = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("comp", F.lit(round_)).alias("k"), "comp", "n", "node", "at")).alias("hub"))
-            pairs = left.join(hub, "token").where("comp <> hub.comp").select(
-                F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"),
-                F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.at").alias("at_b"))
+GROUP = ["token", "band"]
+
+
+def several(rows: DataFrame, of: str) -> DataFrame:
+    """The groups with more than one value of a column."""
+    return rows.groupBy(*GROUP).agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low < high").select(*GROUP)
+
+
+def verified_links(shared: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
+    """Links (a, b) between nodes that connect whatever is connected.
+
+    Pairs that pass all filters nearly always link, so components grow on them first and all are verified together. Where one
+    fails, what it had kept apart from comparison is compared again, from the verified links on.
+    """
+    good = tried = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    first = 0
+    while True:
+        fresh, tried = candidates(shared, bits, good, tried, rule, first)
+        if fresh.isEmpty():
+            return good
+        nodes = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        full = written(sets(nodes), "uncompressed")
+        both = fresh.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+        judged = written(both.select("a", "b", linked(rule)("x", "y").alias("is_link")))
+        failed = judged.where("NOT is_link")
+        if failed.isEmpty():
+            return good.unionByName(judged.select("a", "b"))
+        # only in a component that a failed pair has grown are there pairs that were not compared
+        grown = components(good.unionByName(fresh))
+        wrong = failed.select(F.col("a").alias("node")).join(grown, "node").select("root").distinct()
+        shared = written(shared.join(grown.join(wrong, "root", "left_semi").select("node"), "node", "left_semi"))
+        good = good.unionByName(judged.where("is_link").select("a", "b"))
+        first = ROUNDS  # what is left to compare is little
+
+
+def candidates(shared: DataFrame, bits: DataFrame, good: DataFrame, tried: DataFrame, rule: Rule, first: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that pass all filters, found round by round between components of such pairs and of the good ones; all pairs tried."""
+    fresh = good.limit(0)
+    left = merged(shared, good)
+    for round_ in range(first, ROUNDS + 1):
+        if round_ < ROUNDS:  # the weightiest members of the weightiest components of a group meet all other members
+            member = F.struct("weight", "node", "comp", "n", "at")
+            best = left.groupBy(*GROUP, "comp").agg(F.max(member).alias("o"))
+            place = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("o").desc()))
+            others = best.withColumn("place", place).where(F.col("place") <= HUBS).select(*GROUP, "o")
+            apart = F.col("comp") != F.col("o.comp")
         else:
-            other = left.select("token", member.alias("o"))
-            pairs = left.join(other, "token").where("comp < o.comp").select(
-                F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"),
-                F.col("o.node").alias("b"), F.col("o.n").alias("n_b"), F.col("o.at").alias("at_b"))
-        pairs = passing(pairs, rule)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        b_sets = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        a_sets = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        judged = written(pairs.join(b_sets, "b").join(a_sets, "a").select("a", "b", linked(rule)("x", "y").alias("is_link")))
-        found = judged.where("is_link").select("a", "b")
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        if round_ == ROUNDS:
-            break
-        roots = components(links)
-        merged = shared.join(roots, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
-        open_ = merged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        left = written(merged.join(open_, "token", "left_semi"))
-        if left.isEmpty():
-            break
-    return links
+            left = with_earlier(left)
+            others = left.select(*GROUP, F.struct("comp", "n", "node", "at", "low_band", "earlier").alias("o"))
+            # a pair counts where its first shared shingle and its first shared band are
+            first_shared = ~F.arrays_overlap("earlier", "o.earlier") & (F.col("band") == F.greatest("low_band", "o.low_band"))
+            apart = (F.col("comp") < F.col("o.comp")) & first_shared
+        pairs = passing(left.join(others, GROUP).where(apart), rule).join(tried, ["a", "b"], "left_anti")
+        close = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").select("a", "b", near(rule)("x", "n_a", "y", "n_b").alias("close"))
+        pairs = written(close)
+        tried = tried.unionByName(pairs.select("a", "b"))
+        fresh = fresh.unionByName(pairs.where("close").select("a", "b"))
+        if round_ < ROUNDS:
+            left = merged(shared, good.unionByName(fresh))
+    return fresh, tried
+
+
+def with_earlier(rows: DataFrame) -> DataFrame:
+    """Adds a node's first shingles before this one, AHEAD of them at most, and its lower band. Most pairs that share several
+    shingles share one of these, and are made once; the others are made more often, which `distinct` mends."""
+    first = F.slice(F.array_sort(F.collect_set(F.struct("at", "token"))), 1, AHEAD)
+    held = rows.groupBy("node").agg(first.alias("held"), F.min("band").alias("low_band"))
+    return rows.join(held, "node").withColumn("earlier", F.transform(F.filter("held", lambda x: x["at"] < F.col("at")), lambda x: x["token"])).drop("held")
+
+
+def merged(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups whose nodes are in several components, with these."""
+    if links.isEmpty():
+        return shared.withColumn("comp", F.col("node"))
+    named = shared.join(components(links), "node", "left").select(*GROUP, "node", "n", "at", "weight", F.coalesce("root", "node").alias("comp"))
+    return written(named.join(several(named, "comp"), GROUP, "left_semi"))
 
 
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the smallest of their component, all columns as they were."""
+    """The rows of `df` whose id is the smallest of its component, all columns as they were; rows that repeat an id stay together."""
     columns = df.columns
     kept = join(df, rule, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = df.withColumn("__key", F.col(id_col).cast("long"))

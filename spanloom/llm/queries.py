@@ -201,5 +201,41 @@ FROM ranked
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP10_KINDS = [(rank, kind, pattern, group, least) for rank, (kind, pattern, group, least) in enumerate(secrets.PATTERNS)] + [
+    (len(secrets.PATTERNS) + i, c.kind, c.pattern, 0, c.window) for i, c in enumerate(secrets.CLASSES)
+]
+OP10_SQL = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+split AS ({" UNION ALL ".join(f"SELECT row, text, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, {_quoted(pattern)}) AS h, regexp_extract_all(text, {_quoted(pattern)}, {group}) AS g, string_split_regex(text, {_quoted(pattern)}) AS p FROM texts" for rank, kind, pattern, group, least in OP10_KINDS)}),
+placed AS (
+  SELECT row, rank, kind, least, h[i] AS hit, length(g[i]) AS n,
+         coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM split)),
+kept AS (SELECT row, rank, kind, hit, s::bigint AS s, (s + length(hit))::bigint AS e FROM placed WHERE n >= least),
+base AS (SELECT row, rank, kind, s, e FROM kept WHERE rank < {len(secrets.PATTERNS)}),
+rare AS (
+  SELECT row, rank, kind, hit, s FROM kept k
+  WHERE ({" OR ".join("(kind = '" + c.kind + "' AND " + " AND ".join(f"regexp_matches(hit, {_quoted(n)})" for n in c.needs) + ")" for c in secrets.CLASSES)})
+    AND NOT ({" OR ".join(f"regexp_matches(hit, {_quoted(a)})" for a in secrets.ALLOWED)})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = k.row AND b.s <= k.s AND k.e <= b.e)),
+windowed AS (
+  SELECT r.row, r.rank, r.kind, s, w, i, string_split(substr(hit, i + 1, w), '') AS c
+  FROM (SELECT *, unnest(range(0, length(hit) - w + 1)) AS i FROM rare JOIN (VALUES {", ".join(f"('{c.kind}', {c.window}, {c.bits}::double)" for c in secrets.CLASSES)}) AS t(k2, w, bits) ON k2 = kind) r
+  WHERE log2(w) - list_sum(list_transform(list_distinct(string_split(substr(hit, i + 1, w), '')), lambda x: len(list_filter(string_split(substr(hit, i + 1, w), ''), lambda y: y = x)) * log2(len(list_filter(string_split(substr(hit, i + 1, w), ''), lambda y: y = x))))) / w >= bits - 1e-9),
+every AS (SELECT row, rank, kind, s, e FROM base UNION ALL SELECT row, rank, kind, min(s + i)::bigint, max(s + i + w)::bigint FROM windowed GROUP BY row, rank, kind, s),
+told AS (
+  SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    count(*) FILTER (WHERE rank >= {len(secrets.PATTERNS)}) AS n_entropy, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS spans,
+    string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank < {len(secrets.PATTERNS)}) AS base FROM every GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_warc_merkle": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_warc_merkle": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_secret_scan": OP10_SQL}

@@ -30,6 +30,7 @@ from spanloom.llm import runs, textkit
 from spanloom.llm.textkit import U64
 
 LENGTH = 50
+RUN_BYTES = 8 << 20  # larger runs send fewer distinct strings
 ANCHOR = 16
 BEFORE = LENGTH - ANCHOR
 WIDTH = LENGTH + BEFORE
@@ -278,7 +279,7 @@ def cut(key: tuple, part: pa.Table, covered: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary())], names=[f.split()[0] for f in CUT.split(", ")])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = runs.RUN_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per row of `df`: doc_id, n_bytes, starts and ends of the removed ranges (bytes), kept (the bytes left)."""
     n = runs.n_runs(df, text_col, run_bytes)
     bundles = runs.bundled(df, n, id_col, text_col)

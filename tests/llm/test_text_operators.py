@@ -268,6 +268,46 @@ def test_fuzzy_passages_are_found(spark):
         assert a[0] == b[0] and a[-1] == b[-1]
 
 
+def test_passages_with_evenly_spread_edits(spark):
+    """Down to the stated identity a passage is found wherever its edits lie; the brute force slides one text along the other."""
+    rng = random.Random(21)
+    rows = []
+    for i, (n, every) in enumerate([(50, 9), (50, 7), (50, 6), (50, 5), (41, 5), (120, 5), (90, 8)]):
+        passage = cases.sentence(rng, n).split()
+        copy = [f"edit{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(passage)]
+        for k, middle in enumerate((passage, copy)):
+            rows.append((2 * i + k, " ".join([cases.sentence(rng, 30), *middle, cases.sentence(rng, 30)])))
+    expect = set()
+    for j, (d, text) in enumerate(rows):
+        for r, earlier in rows[:j]:
+            a, b = text.split(), earlier.split()
+            for shift in range(-len(b), len(a)):
+                same = [0 <= x - shift < len(b) and a[x] == b[x - shift] for x in range(len(a))]
+                if any(sum(same[x : x + substring_chain.LEAST]) >= substring_chain.IDENTITY * substring_chain.LEAST for x in range(len(a) - substring_chain.LEAST + 1)):
+                    expect.add((d, r))
+    assert expect == {(2 * i + 1, 2 * i) for i in range(7)}
+    found = substring_chain.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), run_bytes=1500).collect()
+    assert {(x.doc_id, x.ref_doc_id) for x in found} == expect
+    assert len(found) == len(expect) and all(x.identity >= substring_chain.IDENTITY for x in found)
+
+
+def test_a_passage_of_sentences_that_others_hold(spark):
+    """Three sentences have earlier holders of their own; together they are a passage that only one document holds."""
+    rng = random.Random(22)
+    lines = [cases.sentence(rng, 20) for _ in range(3)]
+    texts = [*(f"{cases.sentence(rng, 30)} {x} {cases.sentence(rng, 30)}" for x in lines), *(f"{cases.sentence(rng, 30)} {' '.join(lines)} {cases.sentence(rng, 30)}" for _ in range(2))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = substring_chain.passages(df, run_bytes=500).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.n_agree) for r in found] == [(4, 3, 30, 90, 60)]
+
+
+def test_far_chance_seed_does_not_spoil_a_passage():
+    """A chain with a dissimilar gap is rejected as a whole; its similar part is a passage."""
+    mine = np.array([*range(45), *range(100, 119), 900, 901, 902, 903, *range(130, 160)], np.uint32)
+    theirs = np.array([*range(45), *range(200, 219), 900, 901, 902, 903, *range(230, 260)], np.uint32)
+    assert substring_chain.passages_of([[0, 45, 0], [64, 4, 64]], mine, 0, theirs, 0) == [(0, 45, 0, 45, 45, 45)]
+
+
 def test_chains_against_brute_force():
     rng = random.Random(7)
     for _ in range(60):

@@ -200,6 +200,14 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.groupBy("child").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("depth").alias("depth"), F.min("parent").alias("oldest"))
 
 
+def lineage_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of every order within its customer's chain, without a limit of depth: those of artifact n are all before it."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    chain = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("child"), (F.row_number().over(order) - 1).cast("long").alias("n_ancestors"), F.first("o_orderkey").over(order).alias("oldest"))
+    return chain.where("n_ancestors > 0").select("child", "n_ancestors", F.col("n_ancestors").cast("int").alias("depth"), "oldest")
+
+
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named checks of a pilot and whether all pass."""
     orders = read(spark, sf_dir, "orders")
@@ -217,7 +225,7 @@ QUERIES = {
     for f in (
         attempt_telemetry, response_statistics, retry_backoff_check, event_sequence_check, attempt_contiguity, first_valid_attempt, invocation_cost, response_parse,
         inventory_diff, tree_digest, storage_account, repeat_mismatch, multiset_equality, coverage_check, idempotent_append, unfinished_occurrences, session_report,
-        lineage_closure, gate_checks,
+        lineage_closure, lineage_closure_whole, gate_checks,
     )
 }
 

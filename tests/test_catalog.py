@@ -44,6 +44,17 @@ def test_against_duckdb(spark, duck, name):
         assert len(found.columns) > 0
 
 
+def test_lineage_closure_has_no_depth_limit(spark, duck):
+    chains, expect = {}, set()
+    for order, customer in duck.execute("SELECT o_orderkey, o_custkey FROM orders ORDER BY 1").fetchall():
+        before = chains.setdefault(customer, [])
+        if before:
+            expect.add((order, len(before), len(before), before[0]))
+        before.append(order)
+    found = catalog.queries()["lineage_closure_whole"](spark, DATA).select("child", "n_ancestors", "depth", "oldest").collect()
+    assert set(map(tuple, found)) == expect and len(found) == len(expect) and max(r.depth for r in found) > 4
+
+
 def test_order_of_input_does_not_matter(spark, tmp_path):
     """Shuffled and repartitioned tables give the same retrieval and the same spans."""
     for table in ("part", "supplier", "nation", "region", "documents"):

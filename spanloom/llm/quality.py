@@ -1,8 +1,7 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word unigrams and bigrams are counted: the raw corpus over every document, the trusted target
-over labelled rows of good quality (all of them up to `TARGET_ROWS`, beyond that a fixed sample by hash of the id). A
-document's score is the mean of log p_target / p_raw over its n-grams, and it is kept if the base rules pass and the score
+over all labelled rows of good quality, found by a join and counted in the same partial aggregation. A document's score is the mean of log p_target / p_raw over its n-grams, and it is kept if the base rules pass and the score
 is at least `THRESHOLD`: the same rule for every document at every size, without sampling noise.
 
 The model is `BUCKETS` numbers, whatever the corpus; counts meet through an ordinary partial aggregation by bucket.
@@ -24,7 +23,6 @@ from spanloom.llm import textkit
 from spanloom.llm.textkit import U64
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
 SMOOTHING = 4.0
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
@@ -43,38 +41,32 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashes, of_text, uni, bi, pair_at
 
 
-def count_grams(trusted: set[int]):
-    """Arrow map over (doc_id, text): (bucket, n_raw, n_target) of the partition."""
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map over (is_target, text): (bucket, n_raw, n_target) of the partition."""
+    totals = np.zeros((2, BUCKETS), np.int64)
+    for batch in batches:
+        is_target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        for row, end, data, offsets in textkit.pieces(batch.column(1)):
+            _, of_text, uni, bi, pair_at = ngrams(data, offsets)
+            chosen = is_target[row:end]
+            for grams, at in ((uni, of_text), (bi, pair_at)):
+                totals[0] += np.bincount(grams, minlength=BUCKETS)
+                totals[1] += np.bincount(grams[np.repeat(chosen, np.diff(at))], minlength=BUCKETS)
+    at = np.flatnonzero(totals[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0][at]), pa.array(totals[1][at])], ["bucket", "n_raw", "n_target"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            is_target = np.array([i in trusted for i in batch.column(0).to_pylist()], bool)
-            for row, end, data, offsets in textkit.pieces(batch.column(1)):
-                _, of_text, uni, bi, pair_at = ngrams(data, offsets)
-                chosen = is_target[row:end]
-                for grams, at in ((uni, of_text), (bi, pair_at)):
-                    totals[0] += np.bincount(grams, minlength=BUCKETS)
-                    totals[1] += np.bincount(grams[np.repeat(chosen, np.diff(at))], minlength=BUCKETS)
-        at = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0][at]), pa.array(totals[1][at])], ["bucket", "n_raw", "n_target"])
-
-    return count
 
-
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> np.ndarray:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log p_target / p_raw of each bucket."""
-    trusted = (
-        labels.where("quality = 1 AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long").alias("doc_id"))
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(target_rows)  # a bounded sample of labelled rows; the raw counts cover all documents
-    )
-    ids = {r.doc_id for r in trusted.collect()}
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("spread", F.lit(0).cast("long")).withColumn("trusted", F.lit(True))
+    text = F.col(text_col).cast("string")
+    doc_id = F.col(id_col).cast("long")
+    # null ids match nothing, so any number spreads them
+    docs = df.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)).alias("spread"), text.alias("text"))
     grams = (
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(count_grams(ids), "bucket long, n_raw long, n_target long")
+        docs.join(trusted.hint("shuffle_hash"), ["doc_id", "spread"], "left")
+        .select(F.coalesce("trusted", F.lit(False)).alias("is_target"), "text")
+        .mapInArrow(count_grams, "bucket long, n_raw long, n_target long")
         .groupBy("bucket")
         .agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
     )

@@ -68,6 +68,21 @@ def test_quality_separates_target_from_junk(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_quality_counts_every_trusted_row(spark):
+    """More trusted rows than any sample held (20,000): the model is that of the plain counts over all of them."""
+    df = spark.range(25_000).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11, ' u', id % 5) AS text").repartition(4)
+    df = df.unionByName(spark.createDataFrame([(None, "w1 v1 u1"), (None, None)], "doc_id long, text string"))
+    found = quality.fit(df, spark.range(24_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    counts = np.zeros((2, quality.BUCKETS))
+    for r in df.where("text IS NOT NULL").collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        _, _, uni, bi, _ = quality.ngrams(data, np.array([0, len(data)]))
+        for g in (*uni, *bi):
+            counts[0, g] += 1
+            counts[1, g] += r.doc_id is not None and r.doc_id < 24_000
+    assert np.allclose(found, quality.log_ratio(counts))
+
+
 def test_quality_on_nothing(spark, empty):
     assert quality.judge(empty, labels(spark, [])).count() == 0
     assert quality.keep_good(empty, labels(spark, [])).columns == empty.columns

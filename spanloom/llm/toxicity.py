@@ -1,7 +1,8 @@
 """Toxicity: a counterfactual-regularised logistic classifier over words and word beginnings.
 
 Training rows are labelled documents outside the held-out fold, `TRAIN_ROWS` of either label at most, chosen by a hash of the
-id (a documented bound on the fit alone; every document is scored). Features are the distinct words of a text and their
+id (a documented bound on the fit alone; every document is scored). Where that bound bites, each row counts for the rows of
+its label that it stands for, so scores keep the base rate of all labelled rows at every size. Features are the distinct words of a text and their
 first 4 and 5 characters, hashed; `FEATURES` of them are kept by their G-squared association with the label over the
 sample.
 
@@ -116,6 +117,8 @@ def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> Model:
     """The classifier; `labels` has doc_id and toxic. The sample's features, bounded by `train_rows`, are what the driver holds."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    weight = tuple(max(1.0, total.get(label, 0) / train_rows) for label in (0, 1))
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rows.where("toxic = 1").orderBy(*first).limit(train_rows).unionByName(rows.where("toxic = 0").orderBy(*first).limit(train_rows))
     # at most 2 * train_rows ids
@@ -123,7 +126,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     found = sample.select("text", "toxic").mapInArrow(featurise, SAMPLE).toArrow()
     toxic = found.column("toxic").to_numpy()
     kind = found.column("kind").to_numpy()
-    return train(toxic, kind, [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()], penalty)
+    return train(toxic, kind, [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()], penalty, weight)
 
 
 def g_squared(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> np.ndarray:
@@ -136,7 +139,8 @@ def g_squared(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> np.ndarray:
     return out
 
 
-def train(toxic: np.ndarray, kind: np.ndarray, features: list[np.ndarray], penalty: float = PENALTY) -> Model:
+def train(toxic: np.ndarray, kind: np.ndarray, features: list[np.ndarray], penalty: float = PENALTY, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """`weight`: how many labelled rows a row of label 0 or 1 stands for."""
     real = np.flatnonzero(kind == 0)
     y = toxic[real].astype(float)
     if not len(y) or y.min() == y.max():
@@ -160,16 +164,20 @@ def train(toxic: np.ndarray, kind: np.ndarray, features: list[np.ndarray], penal
     swapped = np.flatnonzero(kind == 1)
     s_row, s_col = matrix(swapped)
     base = np.searchsorted(real, swapped) - 1  # the text a counterfactual comes from
-    w, bias = np.zeros(len(kept)), float(np.log(y.mean() / (1 - y.mean())))
+    share = np.array(weight)[toxic[real]]
+    share /= share.sum()  # of each row in the loss
+    swap_share = share[base] / share[base].sum() if len(swapped) else np.zeros(0)
+    rate_toxic = float(share @ y)
+    w, bias = np.zeros(len(kept)), float(np.log(rate_toxic / (1 - rate_toxic)))
     m, v, b1, b2, rate = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0.9, 0.999, 0.05
     for step in range(1, STEPS + 1):
         z = np.bincount(x_row, w[x_col], len(real)) + bias
-        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(real)
+        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
         pull = slope.copy()
         grad_s = np.zeros(0)
         if len(swapped):
             change = np.bincount(s_row, w[s_col], len(swapped)) - (z - bias)[base]
-            grad_s = 2 * penalty * change / len(swapped)
+            grad_s = 2 * penalty * change * swap_share
             np.subtract.at(pull, base, grad_s)
         grad = np.bincount(x_col, pull[x_row], len(kept)) + L2 * w
         if len(swapped):

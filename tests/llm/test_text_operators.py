@@ -256,6 +256,16 @@ def test_toxicity_odd_cases(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels(spark, []))).count() == 0
 
 
+def test_toxicity_keeps_the_base_rate_beyond_its_sample(spark):
+    """100 of 1,000 rows are toxic; a sample of 60 of either label still says so."""
+    rng = random.Random(5)
+    rows = [(i, cases.sentence(rng, 12) + (" vermin" if i % 10 == 0 and rng.random() < 0.6 else ""), int(i % 10 == 0)) for i in range(1250)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    known = labels(spark, [(i, 1, t) for i, _, t in rows])
+    whole, part = (toxicity.score(df, toxicity.fit(df, known, train_rows=n)).agg(F.avg("score")).first()[0] for n in (5000, 60))
+    assert 0.05 < whole < 0.15 and abs(part - whole) < 0.05
+
+
 # fuzzy passages
 
 

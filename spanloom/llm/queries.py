@@ -167,10 +167,10 @@ GROUP BY d.doc_id, n
 
 OP9_SQL = rf"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
-         (('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), '{mixing.SEED}')), 1, 13))::bigint::double + 0.5)
-           / 4503599627370496::double AS u
-  FROM documents),
+  SELECT doc_id, source, size, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits,
+         (('0x' || substr(md5(concat_ws('|', key, '{mixing.SEED}')), 1, 13))::bigint::double + 0.5) / 4503599627370496::double AS u
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
+               concat_ws('|', coalesce(doc_id::varchar, ''), md5(coalesce(text, ''))) AS key FROM documents)),
 sources AS (
   SELECT source, sum(size)::bigint AS source_size,
          ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS weight
@@ -187,17 +187,31 @@ rounds AS (
         FROM rounds, whole)
   WHERE len(now) > len(stopped)),
 line AS (SELECT line FROM rounds ORDER BY n DESC LIMIT 1),
-goals AS (
-  SELECT source, source_size, least(({mixing.MOST} * source_size)::double, line * weight) AS target,
-         CASE WHEN source_size > 0 THEN least(({mixing.MOST} * source_size)::double, line * weight) / source_size ELSE 0 END AS f
-  FROM sources, line),
+goals AS (SELECT source, source_size, least(({mixing.MOST} * source_size)::double, line * weight) AS target FROM sources, line),
+classes AS (SELECT source, bits, sum(size)::bigint AS words FROM sized GROUP BY source, bits),
+-- expected copies: in proportion to the binary digits of the size, up to the cap
+slopes AS (
+  SELECT c.source, c.bits, (any_value(target) - {mixing.MOST} * coalesce(sum(o.words) FILTER (WHERE o.bits > c.bits), 0)::bigint)
+         / (sum(o.bits * o.words) FILTER (WHERE o.bits <= c.bits))::bigint AS slope
+  FROM classes c JOIN classes o ON c.source IS NOT DISTINCT FROM o.source JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE c.bits > 0 GROUP BY c.source, c.bits),
+best AS (SELECT source, arg_max(slope, bits) AS slope FROM slopes WHERE slope * bits <= {mixing.MOST} * (1 + 1e-9) GROUP BY source),
+chances AS (
+  SELECT c.source, c.bits, words, CASE WHEN c.bits = 0 THEN 0 ELSE least({mixing.MOST}::double, coalesce(slope, {mixing.MOST}) * c.bits) END AS e
+  FROM classes c LEFT JOIN best b ON c.source IS NOT DISTINCT FROM b.source),
+rest AS (
+  SELECT g.source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(target) - sum(floor(e) * words) AS left_over
+  FROM goals g JOIN chances c ON g.source IS NOT DISTINCT FROM c.source GROUP BY g.source),
+placed AS (
+  SELECT s.doc_id, s.source, size, u, floor(e)::bigint AS sure,
+         CASE WHEN e > floor(e) AND size > 0 THEN (u / (1 - u)) / (u / (1 - u) + (e - floor(e)) / (1 - (e - floor(e)))) END AS v
+  FROM sized s JOIN chances c ON s.source IS NOT DISTINCT FROM c.source AND s.bits = c.bits),
 ranked AS (
-  SELECT s.*, source_size, target, floor(f) AS sure, target - floor(f) * source_size AS left_over,
-         sum(size) OVER (PARTITION BY s.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS reached
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+  SELECT doc_id, source, size, sure, v, sum(size) OVER (PARTITION BY source ORDER BY v, u, doc_id, size ROWS UNBOUNDED PRECEDING) AS reached
+  FROM placed)
 SELECT doc_id, size, source_size, target,
-       (CASE WHEN size > 0 THEN sure + (CASE WHEN 2 * reached - size <= 2 * left_over THEN 1 ELSE 0 END) ELSE 0 END * size)::bigint AS taken
-FROM ranked
+       (CASE WHEN size > 0 THEN sure + (CASE WHEN v IS NOT NULL AND 2 * reached - size <= 2 * left_over THEN 1 ELSE 0 END) ELSE 0 END * size)::bigint AS taken
+FROM ranked r JOIN rest t ON r.source IS NOT DISTINCT FROM t.source
 """
 
 

@@ -119,6 +119,42 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.mix(df.repartition(2)).collect()), key=str)
 
 
+def test_mixing_frequencies_follow_the_inclusion_probabilities(spark):
+    """Sources with the same sizes are repeats of one draw; longer documents have the larger chance, and p is how often they come."""
+    rng = random.Random(31)
+    lengths = [rng.choice([1, 3, 10, 40]) for _ in range(40)]
+    rows = [(i, "w " * n, f"s{r:03d}") for r in range(300) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame([(i + 1000 * int(s[1:]), t, s) for i, t, s in rows], "doc_id long, text string, source string").repartition(4)
+    taken, chance = defaultdict(list), {}
+    for r in mixing.mix(df).collect():
+        key = (round(r.target), r["size"])
+        taken[key].append(r.copies)
+        chance[key] = r.p
+    assert len({t for t, _ in taken}) == 3
+    for (target, size), copies in taken.items():
+        whole = min(copies)
+        p, n = chance[target, size], len(copies)
+        assert max(copies) - whole <= 1
+        assert abs(sum(c - whole for c in copies) / n - p) < 0.06 + 4 * math.sqrt(p * (1 - p) / n) or p in (0, 1)
+    half = min(t for t, _ in taken)
+    mean = [sum(taken[half, n]) / len(taken[half, n]) for n in (1, 3, 10, 40)]
+    assert mean == sorted(mean) and mean[0] < 0.7 * mean[3]
+
+
+def test_mixing_takes_repeated_rows_by_count(spark):
+    """Rows that repeat everything, rows without ids and clashing column names: the words delivered are the words planned."""
+    rng = random.Random(32)
+    rows = [(7, "same text here now", "a", 1)] * 400 + [(None, cases.sentence(rng, rng.randint(1, 12)), "a", 2) for _ in range(300)]
+    rows += [(i, cases.sentence(rng, rng.randint(1, 12)), "b", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bin long").repartition(5)
+    planned = {r.source: (r.target, r.n) for r in mixing.mix(df).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("n")).collect()}
+    left = mixing.take(df)
+    assert left.columns == df.columns
+    got = {r.source: r.n for r in left.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    for source, (target, n) in planned.items():
+        assert got[source] == n and abs(n - target) <= 6
+
+
 def test_mixing_odd_cases(odd, empty):
     found = mixing.mix(odd).collect()
     assert sorted(r["size"] for r in found) == sorted(len(cases.words(r[1])) for r in ROWS)

@@ -1,27 +1,34 @@
 """Toxicity: a counterfactual-regularised logistic classifier over words and word beginnings.
 
-Training rows are labelled documents outside the held-out fold, `TRAIN_ROWS` of either label at most, chosen by a hash of the
-id (a documented bound on the fit alone; every document is scored). Where that bound bites, each row counts for the rows of
-its label that it stands for, so scores keep the base rate of all labelled rows at every size. Features are the distinct words of a text and their
-first 4 and 5 characters, hashed; `FEATURES` of them are kept by their G-squared association with the label over the
-sample.
+Training rows are labelled documents outside the held-out fold, one for each id, `TRAIN_ROWS` of either label at most, chosen
+by a hash of the id (a documented bound on the fit alone; every document is scored). Where that bound bites, each row counts
+for the rows of its label that it stands for, so scores keep the base rate of all labelled rows at every size. Features are
+the distinct words of a text and their first 4 and 5 characters, hashed; `FEATURES` of them are kept by their G-squared
+association with the label over the sample, which Spark counts by feature.
 
-Counterfactuals: in every training text that names a group of people, the terms of one axis (sex, faith, origin, ...) are
-swapped for the other terms of that axis. The loss is logistic loss + L2 + `PENALTY` times the mean squared change of the
-score between a text and its counterfactuals, so weight that rests on which group is named costs more than it earns, and
-neutral mentions do not look toxic.
+Counterfactuals: in every sentence of a training text that names a group of people, the terms of one axis (sex, faith,
+origin, ...) are swapped for the other terms of that axis. The loss is logistic loss + L2 + `PENALTY` times the mean squared
+change of the score between a sentence and its counterfactuals, so weight that rests on which group is named costs more than
+it earns, and neutral mentions do not look toxic. A score is a sum over features, so a counterfactual is no more than the
+features that the swap adds and removes, and how often the text has that swap.
+
+What the driver holds is bounded: 2 * TRAIN_ROWS rows of at most FEATURES numbers each, and at most `SWAPS` swaps a row.
 
 Scoring keeps each distinct word's features in a bounded cache, so the work per word is a lookup. The model is `FEATURES`
 numbers. Labels, lang, source and doc_id never enter a score.
 
 Defined cases: a null or empty text has no features and scores the bias alone; without training rows of both labels all
-scores are the share of toxic rows (0 without any); a null id counts as the empty text for the fold; repeated rows score
-alike.
+scores are the share of toxic rows (0 without any); a null id counts as the empty text for the fold and is never trained on;
+an id that is labelled both ways is left out of the fit, one that is labelled repeatedly counts once, and of rows that repeat
+a labelled id the one whose text has the smallest hash stands for it; repeated rows score alike; very long texts are read
+whole; an empty table gives no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import written
+
 FOLDS = 5
 TRAIN_ROWS = 5_000
 SPACE = 1 << 18
@@ -38,6 +47,8 @@ LEAST_DOCS = 5
 LEAST_G2 = 12.0
 L2 = 2e-4
 PENALTY = 4.0
+SWAPS = 1_000
+SENTENCE = re.compile(r"[.!?…\n]+")
 STEPS = 300
 CACHE = 300_000
 EDGES = ".,;:!?()[]{}\"'«»„“”…"
@@ -74,20 +85,33 @@ def words_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-def features_of(words: set[str]) -> np.ndarray:
-    return np.array(sorted({f for w in words for f in word_features(w)}), np.int32)
+def features_of(words: set[str]) -> set[int]:
+    return {f for w in words for f in word_features(w)}
 
 
 def counterfactuals(words: set[str]) -> list[set[str]]:
     """For each axis that the words name: the words with each term of that axis moved on by one place, by two, ..."""
     named = {w: w.strip(EDGES) for w in words}
     out = []
-    for axis in {AXIS_OF[t] for t in named.values() if t in AXIS_OF}:
+    for axis in sorted({AXIS_OF[t] for t in named.values() if t in AXIS_OF}):
         for shift in range(1, len(axis)):
             out.append({axis[(axis.index(t) + shift) % len(axis)] if t in axis else w for w, t in named.items()})
     return out
 
 
+def swaps_of(text: str | None) -> Counter:
+    """(features added, features removed) of every swap in every sentence of a text that names a group, and how often it has each."""
+    found: Counter = Counter()
+    for sentence in SENTENCE.split(text or ""):
+        words = words_of(sentence)
+        base = None
+        for version in counterfactuals(words):
+            base = features_of(words) if base is None else base
+            other = features_of(version)
+            found[tuple(sorted(other - base)), tuple(sorted(base - other))] += 1
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
@@ -98,95 +122,144 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-SAMPLE = "toxic int, kind int, features binary"
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map over (text, toxic): (feature, n1, n0), how many toxic and other texts of the partition hold each feature."""
+    totals = np.zeros((2, SPACE), np.int64)
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            totals[toxic, sorted(features_of(words_of(text)))] += 1
+    used = np.flatnonzero(totals.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[1][used]), pa.array(totals[0][used])], ["feature", "n1", "n0"])
 
 
-def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map over (text, toxic): features of each text (kind 0) and of its counterfactuals (kind 1, right after it)."""
-    for batch in batches:
-        toxic, kinds, rows = [], [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            for kind, version in enumerate([words, *counterfactuals(words)]):
-                toxic.append(label)
-                kinds.append(min(kind, 1))
-                rows.append(features_of(version).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(kinds, pa.int32()), pa.array(rows, pa.binary())], ["toxic", "kind", "features"])
+SAMPLE = "toxic int, features binary, added array<binary>, removed array<binary>, times array<long>"
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> Model:
-    """The classifier; `labels` has doc_id and toxic. The sample's features, bounded by `train_rows`, are what the driver holds."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    weight = tuple(max(1.0, total.get(label, 0) / train_rows) for label in (0, 1))
-    first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = rows.where("toxic = 1").orderBy(*first).limit(train_rows).unionByName(rows.where("toxic = 0").orderBy(*first).limit(train_rows))
-    # at most 2 * train_rows ids
-    sample = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = sample.select("text", "toxic").mapInArrow(featurise, SAMPLE).toArrow()
-    toxic = found.column("toxic").to_numpy()
-    kind = found.column("kind").to_numpy()
-    return train(toxic, kind, [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()], penalty, weight)
+def featurise(kept: list[int]):
+    """Arrow map over (text, toxic): SAMPLE of each text, of the kept features alone; features are places in `kept`."""
+    place = {f: i for i, f in enumerate(kept)}
+
+    def packed(features) -> bytes:
+        return np.array(sorted(place[f] for f in features if f in place), np.int32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, added, removed, times = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                held.append(packed(features_of(words_of(text))))
+                swaps: Counter = Counter()
+                for (more, less), n in swaps_of(text).items():
+                    swaps[packed(more), packed(less)] += n
+                # the commonest ones where a text has too many; swaps that change nothing cost nothing
+                often = sorted(swaps.items(), key=lambda x: (-x[1], x[0]))[:SWAPS]
+                added.append([more for (more, _), _ in often])
+                removed.append([less for (_, less), _ in often])
+                times.append([n for _, n in often])
+            binaries, longs = pa.list_(pa.binary()), pa.list_(pa.int64())
+            columns = [batch.column(1), pa.array(held, pa.binary()), pa.array(added, binaries), pa.array(removed, binaries), pa.array(times, longs)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SAMPLE.split(", ")])
+
+    return run
 
 
-def g_squared(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> np.ndarray:
+def g_squared(n1: Column, n0: Column, t1: int, t0: int) -> Column:
     """Association of a feature (held by n1 of t1 toxic and n0 of t0 other rows) with the label."""
-    out = np.zeros(len(n1))
-    for n, t in ((n1, t1), (n0, t0)):
-        for seen, share in ((n, (n1 + n0) / (t1 + t0)), (t - n, 1 - (n1 + n0) / (t1 + t0))):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out += 2 * np.where(seen > 0, seen * np.log(seen / (t * share)), 0.0)
-    return out
+    share = (n1 + n0) / F.lit(float(t1 + t0))
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+
+    return part(n1, t1 * share) + part(t1 - n1, t1 * (1 - share)) + part(n0, t0 * share) + part(t0 - n0, t0 * (1 - share))
+
 
+@dataclass
+class Sample:
+    """Rows to fit on: labels, share of each row in the loss, and the pairs (row, feature) of texts and of what swaps add and remove."""
 
-def train(toxic: np.ndarray, kind: np.ndarray, features: list[np.ndarray], penalty: float = PENALTY, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """`weight`: how many labelled rows a row of label 0 or 1 stands for."""
-    real = np.flatnonzero(kind == 0)
-    y = toxic[real].astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model(-40.0 if not len(y) or not y.max() else 40.0)
-    counts = np.zeros((2, SPACE))
-    for row in real:
-        counts[toxic[row], features[row]] += 1
-    score = g_squared(counts[1], counts[0], int(y.sum()), int((1 - y).sum()))
-    usable = (counts.sum(axis=0) >= LEAST_DOCS) & (score >= LEAST_G2)
-    kept = np.argsort(-np.where(usable, score, 0.0), kind="stable")[:FEATURES]
-    kept = np.sort(kept[usable[kept]])
-    place = np.full(SPACE, -1)
-    place[kept] = np.arange(len(kept))
-
-    def matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        columns = [place[features[r]] for r in rows]
-        columns = [c[c >= 0] for c in columns]
-        return np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate([*columns, np.zeros(0, int)]).astype(int)
-
-    x_row, x_col = matrix(real)
-    swapped = np.flatnonzero(kind == 1)
-    s_row, s_col = matrix(swapped)
-    base = np.searchsorted(real, swapped) - 1  # the text a counterfactual comes from
-    share = np.array(weight)[toxic[real]]
-    share /= share.sum()  # of each row in the loss
-    swap_share = share[base] / share[base].sum() if len(swapped) else np.zeros(0)
-    rate_toxic = float(share @ y)
-    w, bias = np.zeros(len(kept)), float(np.log(rate_toxic / (1 - rate_toxic)))
-    m, v, b1, b2, rate = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0.9, 0.999, 0.05
+    y: np.ndarray
+    share: np.ndarray
+    x: tuple[np.ndarray, np.ndarray]
+    added: tuple[np.ndarray, np.ndarray]
+    removed: tuple[np.ndarray, np.ndarray]
+    swap_share: np.ndarray
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> Model:
+    """The classifier; `labels` has doc_id and toxic."""
+    toxic = F.col("toxic").cast("int")
+    rows = (
+        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.min(toxic).alias("toxic"), F.max(toxic).alias("most"))
+        .where("toxic = most")
+        .select("doc_id", "toxic")
+    )
+    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = rows.where("toxic = 1").orderBy(*first).limit(train_rows).unionByName(rows.where("toxic = 0").orderBy(*first).limit(train_rows))
+    # at most 2 * train_rows ids are broadcast; one row of each stays
+    text = F.col(text_col).cast("string")
+    found = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("row"))
+    sample = written(one.select("row.text", "row.toxic"))
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Model(40.0 if n.get(1) else -40.0)
+    counted = sample.mapInArrow(count_features, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    g2 = g_squared(F.col("n1"), F.col("n0"), n[1], n[0])
+    usable = counted.withColumn("g2", g2).where((F.col("n1") + F.col("n0") >= LEAST_DOCS) & (F.col("g2") >= LEAST_G2))
+    kept = sorted(r.feature for r in usable.orderBy(F.col("g2").desc(), "feature").limit(FEATURES).collect())
+    rows = sample.mapInArrow(featurise(kept), SAMPLE).collect()
+    weight = tuple(max(1.0, total.get(label, 0) / train_rows) for label in (0, 1))
+    bias, weights = train(sample_of(rows, weight), len(kept), penalty)
+    return Model(bias, dict(zip(kept, weights.tolist(), strict=True)))
+
+
+def sample_of(rows: list, weight: tuple[float, float] = (1.0, 1.0)) -> Sample:
+    """Rows of SAMPLE as arrays; `weight`: how many labelled rows a row of label 0 or 1 stands for."""
+    rows = sorted(rows, key=lambda r: (r.toxic, bytes(r.features), [bytes(x) for x in r.added], [bytes(x) for x in r.removed], list(r.times)))
+
+    def pairs(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        columns = [np.frombuffer(x, np.int32) for x in packed]
+        return np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate([*columns, np.zeros(0, np.int32)]).astype(int)
+
+    y = np.array([r.toxic for r in rows], float)
+    share = np.array(weight)[y.astype(int)]
+    share /= share.sum()
+    owner = np.repeat(np.arange(len(rows)), [len(r.times) for r in rows]).astype(int)
+    times = np.array([t for r in rows for t in r.times], float)
+    swap_share = np.zeros(0)
+    if len(times):  # a text that names groups counts once, however often it does
+        swap_share = share[owner] * times / np.bincount(owner, times, len(rows))[owner]
+        swap_share /= swap_share.sum()
+    return Sample(y, share, pairs([r.features for r in rows]), pairs([x for r in rows for x in r.added]), pairs([x for r in rows for x in r.removed]), swap_share)
+
+
+def loss(s: Sample, w: np.ndarray, bias: float, penalty: float) -> tuple[float, np.ndarray, float]:
+    """The penalised loss, and its slope by weight and by bias."""
+    z = np.clip(np.bincount(s.x[0], w[s.x[1]], len(s.y)) + bias, -40, 40)
+    slope = (1 / (1 + np.exp(-z)) - s.y) * s.share
+    n = len(s.swap_share)
+    change = np.bincount(s.added[0], w[s.added[1]], n) - np.bincount(s.removed[0], w[s.removed[1]], n) if n else np.zeros(0)
+    pull = 2 * penalty * change * s.swap_share
+    grad = np.bincount(s.x[1], slope[s.x[0]], len(w)) + L2 * w
+    if n:
+        grad += np.bincount(s.added[1], pull[s.added[0]], len(w)) - np.bincount(s.removed[1], pull[s.removed[0]], len(w))
+    value = float(s.share @ (np.logaddexp(0, z) - s.y * z)) + L2 / 2 * float(w @ w) + penalty * float(s.swap_share @ change**2)
+    return value, grad, float(slope.sum())
+
+
+def train(s: Sample, n_features: int, penalty: float = PENALTY) -> tuple[float, np.ndarray]:
+    rate_toxic = float(s.share @ s.y)
+    w, bias = np.zeros(n_features), float(np.log(rate_toxic / (1 - rate_toxic)))
+    m, v, b1, b2, rate = np.zeros(n_features + 1), np.zeros(n_features + 1), 0.9, 0.999, 0.05
     for step in range(1, STEPS + 1):
-        z = np.bincount(x_row, w[x_col], len(real)) + bias
-        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
-        pull = slope.copy()
-        grad_s = np.zeros(0)
-        if len(swapped):
-            change = np.bincount(s_row, w[s_col], len(swapped)) - (z - bias)[base]
-            grad_s = 2 * penalty * change * swap_share
-            np.subtract.at(pull, base, grad_s)
-        grad = np.bincount(x_col, pull[x_row], len(kept)) + L2 * w
-        if len(swapped):
-            grad += np.bincount(s_col, grad_s[s_row], len(kept))
-        grad = np.append(grad, slope.sum())
+        _, by_weight, by_bias = loss(s, w, bias, penalty)
+        grad = np.append(by_weight, by_bias)
         m, v = b1 * m + (1 - b1) * grad, b2 * v + (1 - b2) * grad * grad
         move = rate * (m / (1 - b1**step)) / (np.sqrt(v / (1 - b2**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {int(f): float(x) for f, x in zip(kept, w, strict=True)})
+    return float(bias), w
 
 
 def score_texts(model: Model):

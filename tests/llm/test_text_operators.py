@@ -285,6 +285,55 @@ def test_counterfactuals_free_the_mention_from_the_label(spark):
         assert judged[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_toxicity_penalised_loss(spark):
+    """The loss is that of a plain sum over texts and their swapped sentences, its slope is the slope, and the fit is near its minimum."""
+    rng = random.Random(3)
+    texts = [("the muslims are vermin. we met women there", 1), ("christians and jews sing. the men left", 0), ("filthy vermin come here", 1), ("a calm day in town", 0)] * 12
+    texts = [(t + " " + rng.choice(["one", "two"]), y) for t, y in texts]
+    kept = sorted({f for t, _ in texts for f in toxicity.features_of(toxicity.words_of(t))} | set(toxicity.word_features("hindus")))
+    df = spark.createDataFrame(texts, "text string, toxic int")
+    rows = df.mapInArrow(toxicity.featurise(kept), toxicity.SAMPLE).collect()
+    sample = toxicity.sample_of(rows, (2.0, 1.0))
+    noise = np.random.default_rng(1)
+    w, bias, penalty = noise.normal(size=len(kept)), 0.3, 4.0
+    weight = dict(zip(kept, w))
+
+    def z(words):
+        return sum(weight.get(f, 0.0) for f in toxicity.features_of(words))
+
+    fit = norm = pull = pulled = 0.0
+    for text, y in texts:
+        share = (2.0, 1.0)[y]
+        norm += share
+        fit += share * (math.log1p(math.exp(z(toxicity.words_of(text)) + bias)) - y * (z(toxicity.words_of(text)) + bias))
+        changes = [(z(o) - z(ws)) ** 2 for ws in map(toxicity.words_of, toxicity.SENTENCE.split(text)) for o in toxicity.counterfactuals(ws)]
+        if changes:
+            pulled += share
+            pull += share * sum(changes) / len(changes)
+    expect = fit / norm + toxicity.L2 / 2 * sum(x * x for x in w) + penalty * pull / pulled
+    value, slope, by_bias = toxicity.loss(sample, w, bias, penalty)
+    assert value == pytest.approx(expect)
+    for i in range(0, len(w), 7):
+        step = np.eye(len(w))[i] * 1e-5
+        assert slope[i] == pytest.approx((toxicity.loss(sample, w + step, bias, penalty)[0] - toxicity.loss(sample, w - step, bias, penalty)[0]) / 2e-5, abs=1e-6)
+    assert by_bias == pytest.approx((toxicity.loss(sample, w, bias + 1e-5, penalty)[0] - toxicity.loss(sample, w, bias - 1e-5, penalty)[0]) / 2e-5, abs=1e-6)
+    bias, w = toxicity.train(sample, len(kept), penalty)
+    best = toxicity.loss(sample, w, bias, penalty)[0]
+    assert all(best <= toxicity.loss(sample, w + 0.3 * noise.normal(size=len(w)), bias, penalty)[0] for _ in range(50))
+
+
+def test_toxicity_fits_one_row_an_id(spark):
+    """Repeated ids and labels do not multiply what the driver holds; an id labelled both ways is left out."""
+    rows = [(7, f"vermin number {i}") for i in range(500)] + [(i, "a calm day " + "word " * (i % 5)) for i in range(20, 80)] + [(i, "filthy vermin " + "word " * (i % 5)) for i in range(80, 140)]
+    known = [(7, 1, 1)] * 30 + [(i, 1, int(i >= 80)) for i in range(20, 140)] + [(21, 1, 1), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base = toxicity.fit(df, labels(spark, known))
+    again = toxicity.fit(df.repartition(2), labels(spark, known * 2))
+    assert base == again and base.weights
+    judged = {r.doc_id: r.predicted for r in toxicity.score(df, base).where("doc_id >= 20").collect()}
+    assert all(judged[i] == int(i >= 80) for i in range(20, 140))
+
+
 def test_toxicity_odd_cases(spark, odd, empty):
     model = toxicity.fit(odd, labels(spark, [(0, 1, 0), (3, 1, 1), (999, 0, 1)]))
     found = toxicity.score(odd, model).collect()

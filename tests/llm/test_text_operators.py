@@ -452,25 +452,64 @@ def test_passages_odd_cases(odd, empty):
 def test_audit_finds_every_fault(spark):
     rows = [(i, f"http://x/{i}" if i % 5 else None, None if i % 9 == 4 else f"<p>{i}</p>" * (i % 4)) for i in range(700)] + [(5, "again", "twice"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
-    found = merkle.audit(merkle.records(pages), merkle.records(damaged(pages)), fanout=4).collect()
+    found = merkle.audit(merkle.records(pages), merkle.records(damaged(pages)), leaf=5, fanout=4).collect()
     verdicts = defaultdict(set)
     for r in found:
-        verdicts[r.verdict].add((r.record_id, r.nth))
+        verdicts[r.verdict].add(r.record_id)
     ids = [r[0] for r in rows]
-    assert {i for i, _ in verdicts["missing"]} == {i for i in ids if i is not None and i % 211 == 13}
-    assert {i for i, _ in verdicts["extra"]} == {-1 - i for i in ids if i is not None and i % 307 == 5}
+    assert verdicts["missing"] == {i for i in ids if i is not None and i % 211 == 13}
+    assert verdicts["extra"] == {-1 - i for i in ids if i is not None and i % 307 == 5}
     rotten = {i for i, _, h in rows if i is not None and i % 53 == 7 and i % 211 != 13 and h is not None}
-    assert {i for i, _ in verdicts["corrupt"]} == rotten
+    assert verdicts["corrupt"] == rotten
     listed = sorted((r for r in found if r.ordinal is not None), key=lambda r: r.ordinal)
     assert [r.ordinal for r in listed] == list(range(len(rows)))
     assert all(a.offset + a.length == b.offset for a, b in zip(listed[:-1], listed[1:]))
 
 
+def test_audit_descends_only_where_the_trees_differ(spark):
+    """Two faults among 2,000 records: two ranges differ, one of them by offsets alone, and no other record is joined."""
+    sizes = [i % 7 + 1 for i in range(2000)]
+    pages = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").repartition(3)
+    index = merkle.records(pages)
+    hurt = merkle.records(pages.where("page_id <> 1234").withColumn("html", F.when(F.col("page_id") == 77, "rot").otherwise(F.col("html"))))
+    listed = merkle.manifest(index).withColumn("node", F.floor(F.col("ordinal") / 64))
+    theirs = merkle.ranged(hurt, listed, 64)
+    mine, other = merkle.tree(listed, 32), merkle.tree(theirs, 32)
+    assert [level.count() for level in mine] == [32, 2, 1] == [level.count() for level in other]
+    assert {r.node for r in merkle.differing(mine, other).collect()} == {1, 19}
+    # plain hash of a leaf range and of the root
+    rows = sorted((r.record_id, bytes(r.digest).hex().upper(), r.length) for r in index.where("record_id < 64").collect())
+    at, told = 0, [""]
+    for _, digest, length in rows:
+        told.append(f":{at}:{length}:{digest}")
+        at += length
+    leaf = mine[0].where("node = 0").first()
+    assert bytes(leaf.digest) == hashlib.sha256(";".join(told).encode()).digest() and leaf.bytes == at
+    at, told = 0, [""]
+    for r in sorted(mine[1].collect(), key=lambda r: r.node):
+        told.append(f"{r.node}:{at}:{r.bytes}:{bytes(r.digest).hex().upper()}")
+        at += r.bytes
+    assert bytes(mine[2].first().digest) == hashlib.sha256(";".join(told).encode()).digest()
+    # the same bytes in another length split are not the same range
+    moved = index.withColumn("length", F.when(F.col("record_id") == 5, F.col("length") + 1).when(F.col("record_id") == 6, F.col("length") - 1).otherwise(F.col("length")))
+    assert {r.node for r in merkle.differing(mine, merkle.tree(merkle.ranged(moved, listed, 64), 32)).collect()} == {0}
+
+
+def test_audit_of_repeated_and_null_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (2, "u", "c"), *[(None, "u", f"n{i}") for i in range(300)], *[(None, "u", "same")] * 50]
+    kept = [(1, "u", "b"), (1, "u", "z"), (1, "u", "b"), (2, "u", "c"), *[(None, "u", f"n{i}") for i in range(1, 300)], *[(None, "u", "same")] * 49, *[(9, "u", f"x{i}") for i in range(400)]]
+    make = lambda r: merkle.records(spark.createDataFrame(r, "page_id long, url string, html string").repartition(4))
+    got = Counter((r.record_id, r.verdict) for r in merkle.audit(make(rows), make(kept), leaf=8).collect())
+    assert got == {(1, "ok"): 2, (1, "corrupt"): 1, (2, "ok"): 1, (None, "ok"): 348, (None, "missing"): 2, (9, "extra"): 400}
+
+
 def test_audit_of_equal_and_empty_replicas(spark):
     pages = spark.createDataFrame([(i, "u", "h") for i in range(40)], "page_id long, url string, html string")
     assert {r.verdict for r in merkle.audit(merkle.records(pages), merkle.records(pages)).collect()} == {"ok"}
-    none = pages.limit(0)
-    assert merkle.audit(merkle.records(none), merkle.records(none)).count() == 0
+    none = merkle.records(pages.limit(0))
+    assert merkle.audit(none, none).count() == 0
+    assert {r.verdict for r in merkle.audit(none, merkle.records(pages)).collect()} == {"extra"}
+    assert {r.verdict for r in merkle.audit(merkle.records(pages), none).collect()} == {"missing"}
 
 
 # the pipeline

@@ -8,7 +8,8 @@ The broadcast is bounded: summed estimates are at most the number of rows, and a
 of them, so there are at most 1 / (heavy_share - 1/(counters+1)) candidates (341 by default) at any input size.
 
 Defined cases: a null text is empty; empty texts are equal to each other; a null id ranks after every other id; rows that
-repeat both id and text are still one group, of which exactly one row is kept; an empty table gives no rows.
+repeat both id and text are still one group, of which exactly one row is kept; very long texts are hashed whole; an empty
+table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACE_RUN, written
+from spanloom.llm.common import NO_ID, SPACE_RUN, written
 
 HEAVY_SHARE = 1 / 256
 COUNTERS = 1024
-NO_ID = 2**63 - 1  # stands for a null id: larger than all others
 
 
 def normalised(text: Column) -> Column:
@@ -84,16 +84,18 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with one row of each group of equal texts, all columns as they were."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    keys = ["__id", "__digest"]
+    """`df` with one row of each group of equal texts, all columns as they were. Only the keys of what goes meet the texts."""
+    keys = ["doc_id", "digest"]
 
     def filled(doc_id: Column) -> Column:
-        return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
-
-    found = written(groups(df, id_col, text_col).select(filled(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest"), "kept"))
-    named = df.withColumn("__id", filled(F.col(id_col))).withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    left = named.join(found.where("kept").select(*keys), keys, "left_semi")
-    if not found.groupBy(*keys).count().where("count > 1").isEmpty():  # rows that repeat id and text
-        left = left.dropDuplicates(keys)
-    return left.select(*columns)
+        return F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+    judged = groups(df, id_col, text_col).select(filled(F.col("doc_id")), "digest", "kept").groupBy(*keys).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = written(judged.where("NOT stays OR n > 1"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, filled(F.col(id_col)), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
+    left = rows.join(judged.where("NOT stays").select(*keys), keys, "left_anti")
+    again = judged.where("stays").select(*keys)  # rows that repeat id and text, one of which stays
+    if not again.isEmpty():
+        left = left.join(again, keys, "left_anti").unionByName(left.join(again, keys, "left_semi").dropDuplicates(keys))
+    return left.select(*[F.col(f"row.`{c}`") for c in df.columns])

@@ -5,18 +5,23 @@ with equal sets are one node, so copies are never compared. The order of shingle
 their hash bucket occur (a sketch of fixed size over all texts), then by hash. Two sets with Jaccard >= t share a shingle in
 their prefixes of n - ceil(t n) + 1, so nodes are joined on prefix shingles only.
 
-Pairs: within a group of nodes that hold one prefix shingle, each round pairs the members with `HUBS` hubs of other
-components, so a group costs its size and not its square; the hubs are the nodes whose shingles are shared most, the centres
-of near copies. Links merge components, and a group whose members have met in one component is done. After `ROUNDS` rounds,
-whatever members of a group are still in different components are paired in full, so that no link is lost: pairs left out
-are already connected. Length and positional filters and small sketches prune pairs before their sets are fetched, the
-suffix filter before they are intersected, and a pair is verified once.
+Prefix shingles are plain rows that Spark deals by shingle; what one node alone holds goes in the same pass. A shingle of a
+bucket that is far above the mean is dealt in several parts, and such parts are kept for the next step to judge.
 
-Components come from large-star/small-star rounds on verified links, with a reliable checkpoint each.
+Pairs: within a group of nodes that hold one prefix shingle, two hubs first meet all other members, so a group costs its
+size and not its square; the hubs are the nodes whose shingles are shared most (of either half of the node names), the
+centres of near copies. Links merge components, and a group whose members have met in one component is done. Whatever members
+of a group are still in different components are then paired in full, so that no link is lost: pairs left out are already
+connected. Hubs are maxima, found with partial aggregation, and a group meets them in a join that Spark may split, so a hot
+group does not end in one task. Length and positional filters and small sketches prune pairs before their sets are fetched,
+the suffix filter before they are intersected, and a pair is verified once.
+
+Components: tasks contract `EDGES` links at a time to trees; where that takes more than one task, large-star/small-star rounds
+on written tables join the trees.
 
 Nodes are named by 64-bit hashes of their sets. Defined cases: a null or empty text is linked with nothing and is its own
-component; a null id counts as larger than all others; rows that repeat an id are judged each by its own text; an empty table
-gives no rows.
+component; a null id counts as larger than all others; rows that repeat an id are judged each by its own text; very long
+texts are read whole; an empty table gives no rows; other columns are not looked at and may have any names.
 """
 
 from __future__ import annotations
@@ -31,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm import runs, textkit
-from spanloom.llm.common import checkpointed, written
+from spanloom.llm import textkit
+from spanloom.llm.common import NO_ID, dropped, written
 from spanloom.llm.textkit import U64
 
 BUCKETS = 1 << 16
-ROUNDS = 1
-HUBS = 2
 AHEAD = 6
 SKETCH = 8
 SUFFIX_DEPTH = 3
+HOT = 1 << 16
+EDGES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -90,83 +95,71 @@ def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> U64(48)).astype(np.int64)
 
 
+DESCRIBED = "doc_id long, n long, node long, bits binary, bucket long, hits long"
+
+
 def describe(words: int):
-    """Arrow map over (doc_id, text): (doc_id, n, node, bucket, hits), a row per text and then one per used bucket of the partition."""
+    """Arrow map over (doc_id, text): (doc_id, n, node, bits), a row per text, and then (bucket, hits) per used bucket of the partition."""
+    names = [c.split()[0] for c in DESCRIBED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "node", "bucket", "hits"]
         for batch in batches:
             for row, end, data, offsets in textkit.pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
                 totals += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
-                n = len(sets)
-                none = pa.nulls(n, pa.int64())
-                columns = [batch.column(0).slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.int64()), none, none]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                none = pa.nulls(len(sets), pa.int64())
+                told = [pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *told, none, none], names)
         used = np.flatnonzero(totals)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used), pa.array(totals[used])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(totals[used])], names)
+
+    return run
+
+
+TOKENS = "token long, part int, node long, n int, at int"
+
+
+def prefixes(rule: Rule, rank: np.ndarray):
+    """Arrow map over (text): TOKENS, the prefix shingles of the distinct sets of a partition; at is the place in the set, rare first.
+
+    part is 0 but for shingles of buckets far above the mean, which come in several parts from 1 on.
+    """
+    parts = 1 + rank // (HOT + 4 * int(rank.mean()))
+    names = [c.split()[0] for c in TOKENS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, data, offsets in textkit.pieces(batch.column(0)):
+                tokens, nodes, sizes = [], [], []
+                for s in shingle_sets(data, offsets, rule.words):
+                    if not len(s) or (node := name(s)) in seen:
+                        continue
+                    seen.add(node)
+                    n = len(s)
+                    k = rule.prefix(n)
+                    hits = rank[bucket(s)]
+                    if k < n:
+                        edge = np.partition(hits, k - 1)[k - 1]
+                        s, hits = s[hits <= edge], hits[hits <= edge]
+                    tokens.append(s[np.lexsort((s, hits))][:k])
+                    nodes.append(node)
+                    sizes.append((n, k))
+                if not tokens:
+                    continue
+                n, k = np.array(sizes).T
+                token, node = np.concatenate(tokens), np.repeat(np.array(nodes, np.int64), k)
+                spread = parts[bucket(token)]
+                part = np.where(spread > 1, 1 + (textkit.mix(node.astype(U64)) % spread.astype(U64)).astype(np.int64), 0)
+                at = np.arange(len(token)) - np.repeat(np.cumsum(k) - k, k)
+                columns = [pa.array(token.astype(np.int64)), *(pa.array(x, kind) for x, kind in ((part, pa.int32()), (node, pa.int64()), (np.repeat(n, k), pa.int32()), (at, pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def prefix_tokens(run: runs.Run, rule: Rule, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(token, node, n, at) of the prefix shingles of a run's distinct sets; at is the place in the set, rare first."""
-    tokens, nodes, sizes, places, seen = [], [], [], [], set()
-    for _, _, data, offsets in textkit.cut_texts(run.data, run.offsets):
-        for s in shingle_sets(data, offsets, rule.words):
-            if not len(s) or (node := name(s)) in seen:
-                continue
-            seen.add(node)
-            n = len(s)
-            k = rule.prefix(n)
-            hits = rank[bucket(s)]
-            if k < n:
-                edge = np.partition(hits, k - 1)[k - 1]
-                s, hits = s[hits <= edge], hits[hits <= edge]
-            tokens.append(s[np.lexsort((s, hits))][:k])
-            nodes.append(np.full(k, node, np.int64))
-            sizes.append(np.full(k, n, np.int32))
-            places.append(np.arange(k, dtype=np.int32))
-    if not tokens:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in (tokens, nodes, sizes, places))
-
-
-def send_tags(rule: Rule, rank: np.ndarray, buckets: int):
-    def send(key: tuple, part: pa.Table) -> pa.Table:
-        token, node, _, _ = prefix_tokens(runs.load(part.column("block").to_pylist()), rule, rank)
-        return runs.tag_blocks(key[0].as_py(), token, node, buckets)
-
-    return send
-
-
-TOKENS = "token long, node long, n int, at int, bits binary"
-
-
-def send_shared(rule: Rule, rank: np.ndarray, buckets: int):
-    """The shared prefix shingles of a run, and a row with the sketch of each set that has any: see `sketch`."""
-
-    def send(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        run = runs.load(part.column("block").to_pylist())
-        token, node, n, at = prefix_tokens(run, rule, rank)
-        mask = runs.shared_mask(token, replies, buckets)
-        open_ = set(node[mask].tolist())
-        bits = {}
-        for _, _, data, offsets in textkit.cut_texts(run.data, run.offsets):
-            for s in shingle_sets(data, offsets, rule.words):
-                if len(s) and (x := name(s)) in open_ and x not in bits:
-                    bits[x] = (len(s), sketch(s))
-        tokens = pa.table([*(pa.array(x[mask]) for x in (token.astype(np.int64), node, n, at)), pa.nulls(int(mask.sum()), pa.binary())], names=COLUMNS)
-        none = pa.nulls(len(bits))
-        sketches = pa.table([none.cast(pa.int64()), pa.array(list(bits), pa.int64()), pa.array([x for x, _ in bits.values()], pa.int32()), none.cast(pa.int32()), pa.array([x for _, x in bits.values()], pa.binary())], names=COLUMNS)
-        return pa.concat_tables([tokens, sketches])
-
-    return send
-
-
-COLUMNS = [f.split()[0] for f in TOKENS.split(", ")]
 SETS = "node long, shingles binary"
 
 
@@ -241,22 +234,66 @@ def linked(rule: Rule):
     return F.pandas_udf(verify, "boolean")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches) of all nodes of some links but those smallest ones."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    led = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[led], nodes[root[led]]
+
+
+def contract(edges: int):
+    """Arrow map over (u, v): links as trees, `edges` of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            u, v = contracted(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= edges:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60, edges_a_task: int = EDGES) -> DataFrame:
     """(node, root) of every node in `links`; root is the smallest node it reaches. Done when all edges lead to a root."""
-    edges = checkpointed(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    for _ in range(most):
+    given = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    tasks = max(1, -(-given.count() // edges_a_task))
+    edges = written(given.coalesce(tasks).mapInArrow(contract(edges_a_task), "u long, v long"))
+    dropped(given)
+    for _ in range(most if tasks > 1 else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
+        before, edges = edges, written(small.distinct())
+        dropped(before)
         # stars: no node leads on and is led to, and none leads to two
         sides = edges.select("u", F.lit(1).alias("k")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("k")).distinct())
         if sides.groupBy("u").agg(F.sum("k").alias("out"), F.count(F.lit(1)).alias("n")).where("out > 0 AND n > 1").isEmpty():
             break
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
@@ -275,38 +312,52 @@ def passing(met: DataFrame, rule: Rule) -> DataFrame:
     ).distinct()
 
 
-def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = runs.RUN_BYTES) -> DataFrame:
+GROUP = ["token", "band"]
+
+
+def shared_rows(texts: DataFrame, rule: Rule, rank: np.ndarray) -> DataFrame:
+    """(token, node, n, at): the prefix shingles that several nodes hold, and those of hot parts."""
+    group = Window.partitionBy("token", "part").orderBy("node")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (
+        texts.select("text").mapInArrow(prefixes(rule, rank), TOKENS)
+        .repartition("token", "part")
+        .select("*", F.min("node").over(whole).alias("low"), F.max("node").over(whole).alias("high"), F.lag("node").over(group).alias("previous"))
+        .where("(part > 0 OR low < high) AND (previous IS NULL OR previous <> node)")
+        .select("token", "node", "n", "at")
+    )
+
+
+def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, component_id (smallest doc_id it reaches)."""
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(runs.NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = written(texts.mapInArrow(describe(rule.words), "doc_id long, n long, node long, bucket long, hits long"))
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    described = written(texts.mapInArrow(describe(rule.words), DESCRIBED))
     members = described.where("bucket IS NULL").select("doc_id", "n", "node")
     counts = described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits"))
     rank = np.zeros(BUCKETS, np.int64)
     for row in counts.collect():  # at most BUCKETS rows
         rank[row.bucket] = row.hits
 
-    n = runs.n_runs(texts, "text", run_bytes)
-    bundles = runs.bundled(texts, n)
-    replies = bundles.groupBy("run").applyInArrow(send_tags(rule, rank, n), runs.TAGS).groupBy("bucket").applyInArrow(runs.find_shared, runs.SHARED)
-    tokens = bundles.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(send_shared(rule, rank, n), TOKENS)
-    tokens = written(tokens)
-    rows = tokens.where("token IS NOT NULL").select("token", "node", "n", "at").distinct()
-    bits = tokens.where("token IS NULL").select("node", "bits").dropDuplicates(["node"])
+    rows = written(shared_rows(texts, rule, rank))
     # of shingles that the same nodes hold the first in the order stays, since a pair's first shared shingle is what counts
-    held = rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"), F.min(F.struct("node", "at"))["at"].alias("at"),
-    )
+    held = written(rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"), F.min(F.struct("node", "at"))["at"].alias("first_at"),
+    ).where("size > 1"))
+    telling = held.groupBy("size", "sum", "xor").agg(F.min(F.struct("first_at", "token"))["token"].alias("token")).select("token", F.lit(True).alias("tells"))
+    sized = written(rows.join(held.select("token", "size").join(telling, "token", "left"), "token"))
     # the centre of a group of near copies shares the most: it becomes the group's hub
-    weight = rows.join(held.select("token", "size"), "token").groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
-    telling = held.where("size > 1").groupBy("size", "sum", "xor").agg(F.min(F.struct("at", "token"))["token"].alias("token")).select("token")
+    weight = sized.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
     # two sets can only link if their sizes are in one band or in neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(rule.of / rule.least)) + 1e-9).cast("int")
-    banded = rows.join(telling, "token", "left_semi").join(weight, "node").withColumn("band", F.explode(F.array(band, band + 1)))
-    banded = written(banded)
+    banded = written(sized.where("tells").join(weight, "node").select("token", "node", "n", "at", "weight", F.explode(F.array(band, band + 1)).alias("band")))
     shared = written(banded.join(several(banded, "node"), GROUP, "left_semi"))
+    dropped(rows, held, sized, banded)
 
     firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
+    def bits(nodes: DataFrame) -> DataFrame:
+        return described.where("n > 0").select("node", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
     def sets(nodes: DataFrame) -> DataFrame:
         wanted = written(nodes.join(firsts, "node").select(F.col("rep").alias("doc_id"), "node"))
         return texts.join(wanted, "doc_id").select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
@@ -317,11 +368,8 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     reps = reps.join(roots, "node", "left").join(lowest, "root", "left").select("node", F.coalesce("component", "rep").alias("rep"))
     return (
         members.join(reps.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-        .select(F.nullif("doc_id", F.lit(runs.NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("rep", "doc_id"), F.lit(runs.NO_ID)).alias("component_id"))
-    )
-
-
-GROUP = ["token", "band"]
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("rep", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+    )
 
 
 def several(rows: DataFrame, of: str) -> DataFrame:
@@ -329,22 +377,30 @@ def several(rows: DataFrame, of: str) -> DataFrame:
     return rows.groupBy(*GROUP).agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low < high").select(*GROUP)
 
 
-def verified_links(shared: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def verified_links(shared: DataFrame, bits: Fetch, sets: Fetch, rule: Rule) -> DataFrame:
     """Links (a, b) between nodes that connect whatever is connected.
 
     Pairs that pass all filters nearly always link, so components grow on them first and all are verified together. Where one
     fails, what it had kept apart from comparison is compared again, from the verified links on.
     """
-    good = tried = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    first = 0
+    none = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    tried = filtered(hub_pairs(shared, rule), bits, rule)
+    fresh, good = tried.where("close").select("a", "b"), none
     while True:
-        fresh, tried = candidates(shared, bits, good, tried, rule, first)
+        left = merged(shared, good.unionByName(fresh))
+        more = filtered(remaining_pairs(left, rule).join(tried.select("a", "b"), ["a", "b"], "left_anti"), bits, rule)
+        tried = tried.unionByName(more)
+        fresh = fresh.unionByName(more.where("close").select("a", "b"))
         if fresh.isEmpty():
             return good
         nodes = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         full = written(sets(nodes), "uncompressed")
         both = fresh.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
         judged = written(both.select("a", "b", linked(rule)("x", "y").alias("is_link")))
+        dropped(full)
         failed = judged.where("NOT is_link")
         if failed.isEmpty():
             return good.unionByName(judged.select("a", "b"))
@@ -352,35 +408,32 @@ def verified_links(shared: DataFrame, bits: DataFrame, sets: Callable[[DataFrame
         grown = components(good.unionByName(fresh))
         wrong = failed.select(F.col("a").alias("node")).join(grown, "node").select("root").distinct()
         shared = written(shared.join(grown.join(wrong, "root", "left_semi").select("node"), "node", "left_semi"))
-        good = good.unionByName(judged.where("is_link").select("a", "b"))
-        first = ROUNDS  # what is left to compare is little
-
-
-def candidates(shared: DataFrame, bits: DataFrame, good: DataFrame, tried: DataFrame, rule: Rule, first: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs that pass all filters, found round by round between components of such pairs and of the good ones; all pairs tried."""
-    fresh = good.limit(0)
-    left = merged(shared, good)
-    for round_ in range(first, ROUNDS + 1):
-        if round_ < ROUNDS:  # the weightiest members of the weightiest components of a group meet all other members
-            member = F.struct("weight", "node", "comp", "n", "at")
-            best = left.groupBy(*GROUP, "comp").agg(F.max(member).alias("o"))
-            place = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("o").desc()))
-            others = best.withColumn("place", place).where(F.col("place") <= HUBS).select(*GROUP, "o")
-            apart = F.col("comp") != F.col("o.comp")
-        else:
-            left = with_earlier(left)
-            others = left.select(*GROUP, F.struct("comp", "n", "node", "at", "low_band", "earlier").alias("o"))
-            # a pair counts where its first shared shingle and its first shared band are
-            first_shared = ~F.arrays_overlap("earlier", "o.earlier") & (F.col("band") == F.greatest("low_band", "o.low_band"))
-            apart = (F.col("comp") < F.col("o.comp")) & first_shared
-        pairs = passing(left.join(others, GROUP).where(apart), rule).join(tried, ["a", "b"], "left_anti")
-        close = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").select("a", "b", near(rule)("x", "n_a", "y", "n_b").alias("close"))
-        pairs = written(close)
-        tried = tried.unionByName(pairs.select("a", "b"))
-        fresh = fresh.unionByName(pairs.where("close").select("a", "b"))
-        if round_ < ROUNDS:
-            left = merged(shared, good.unionByName(fresh))
-    return fresh, tried
+        good, fresh = good.unionByName(judged.where("is_link").select("a", "b")), none
+
+
+def filtered(pairs: DataFrame, bits: Fetch, rule: Rule) -> DataFrame:
+    """(a, b, close): which pairs' sketches leave room for enough overlap."""
+    pairs = written(pairs)
+    known = bits(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    close = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+    return written(close.select("a", "b", near(rule)("x", "n_a", "y", "n_b").alias("close")))
+
+
+def hub_pairs(shared: DataFrame, rule: Rule) -> DataFrame:
+    """The weightiest members of a group, of either half of the names, with all other members."""
+    member = F.struct("weight", "node", "n", "at")
+    odd = F.col("node") % 2 != 0
+    hubs = shared.groupBy(*GROUP).agg(F.max(F.when(odd, member)).alias("x"), F.max(F.when(~odd, member)).alias("y"))
+    hubs = hubs.select(*GROUP, F.explode(F.array("x", "y")).alias("o")).where("o IS NOT NULL")
+    return passing(shared.join(hubs, GROUP).where("node <> o.node"), rule)
+
+
+def remaining_pairs(left: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of members of a group that are in different components. A pair counts where its first shared shingle and its first shared band are."""
+    rows = with_earlier(left)
+    others = rows.select(*GROUP, F.struct("comp", "n", "node", "at", "low_band", "earlier").alias("o"))
+    first_shared = ~F.arrays_overlap("earlier", "o.earlier") & (F.col("band") == F.greatest("low_band", "o.low_band"))
+    return passing(rows.join(others, GROUP).where((F.col("comp") < F.col("o.comp")) & first_shared), rule)
 
 
 def with_earlier(rows: DataFrame) -> DataFrame:
@@ -393,15 +446,18 @@ def with_earlier(rows: DataFrame) -> DataFrame:
 
 def merged(shared: DataFrame, links: DataFrame) -> DataFrame:
     """The groups whose nodes are in several components, with these."""
-    if links.isEmpty():
-        return shared.withColumn("comp", F.col("node"))
-    named = shared.join(components(links), "node", "left").select(*GROUP, "node", "n", "at", "weight", F.coalesce("root", "node").alias("comp"))
+    named = written(shared.join(components(links), "node", "left").select(*GROUP, "node", "n", "at", F.coalesce("root", "node").alias("comp")))
     return written(named.join(several(named, "comp"), GROUP, "left_semi"))
 
 
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the smallest of its component, all columns as they were; rows that repeat an id stay together."""
-    columns = df.columns
-    kept = join(df, rule, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = df.withColumn("__key", F.col(id_col).cast("long"))
-    return named.join(kept, named["__key"].eqNullSafe(kept["__id"]), "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of `df` whose id is the smallest of its component, all columns as they were. Rows that repeat an id stay or go
+    together; rows without an id are numbered, so that each is a document of its own, after all others."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    doc_id = F.col(id_col).cast("long")
+    rows = df.select(row, doc_id.alias("key"), F.col(text_col).alias("text"))
+    numbered = F.monotonically_increasing_id() + F.lit(1 << 62)
+    nameless = written(rows.where("key IS NULL").select("row", numbered.alias("key"), "text"))
+    rows = rows.where("key IS NOT NULL").unionByName(nameless)
+    kept = join(rows, rule, "key", "text").where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return rows.select("row", "key").join(kept, "key", "left_semi").select(*[F.col(f"row.`{c}`") for c in df.columns])

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import textkit
+from spanloom.llm.common import NO_ID
 
 RUN_BYTES = 4 << 20
 HELD_BYTES = 24 << 20
-NO_ID = 2**63 - 1  # stands for a null id: larger than all others
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup
 from tests.llm import cases
@@ -35,6 +36,14 @@ def test_drop_copies_keeps_columns(spark):
     assert sorted(digest(r.text) for r in left.collect()) == sorted({digest(r[1]) for r in rows})
 
 
+def test_drop_copies_leaves_clashing_columns_alone(spark):
+    rows = [(1, "a b", 7), (2, "a  b", 8), (2, "a b", 9), (None, "x", 1), (None, "x", 1), (3, None, 2), (3, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest long").withColumn("__id", F.lit(99)).withColumn("row", F.lit("r"))
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r.digest, r.__getitem__("__id"), r.row) for r in left.select("*").collect()) == sorted([(0, "x", 1, 99, "r"), (1, "a b", 7, 99, "r"), (3, None, 2, 99, "r")], key=lambda r: r[0])
+
+
 def test_empty_table(spark):
     assert exact_dedup.groups(cases.frame(spark, []).limit(0)).count() == 0
 

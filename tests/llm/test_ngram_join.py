@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import ngram_join
 from tests.llm import cases
@@ -34,8 +35,8 @@ def brute(rows, rule):
     return sorted(((none(i), len(s), none(c)) for i, s, c in zip(ids, sets, named)), key=str)
 
 
-def result(df, rule, **more):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, rule, **more).collect()), key=str)
+def result(df, rule):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, rule).collect()), key=str)
 
 
 @pytest.mark.parametrize("rule", [ngram_join.Rule(4, 85), ngram_join.Rule(5, 80)])
@@ -54,7 +55,7 @@ def test_chained_near_copies(spark):
             text[rng.randrange(len(text))] = f"new{g}x{i}"
             rows.append((g * 100 + rng.randrange(1000) * 1000, " ".join(text), *[None] * 6))
     rule = ngram_join.Rule(4, 85)
-    assert result(cases.frame(spark, rows), rule, run_bytes=3000) == brute(rows, rule)
+    assert result(cases.frame(spark, rows), rule) == brute(rows, rule)
 
 
 def test_one_of_each_keeps_columns(spark):
@@ -65,3 +66,50 @@ def test_one_of_each_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert result(cases.frame(spark, []).limit(0), ngram_join.Rule()) == []
+
+
+def test_hot_shingles_come_in_parts(spark, monkeypatch):
+    """With a low bound every frequent shingle is dealt in several parts, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    rng, rows = random.Random(3), []
+    template = cases.sentence(rng, 60).split()
+    for i in range(60):
+        text = list(template)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(60)] = f"v{rng.randrange(5)}"
+        rows.append((i, " ".join(text), *[None] * 6))
+    rows += [(100 + i, " ".join(template[:5]), *[None] * 6) for i in range(3)]
+    rule = ngram_join.Rule(4, 85)
+    assert result(cases.frame(spark, rows), rule) == brute(rows, rule)
+
+
+def test_components_over_many_tasks(spark):
+    """Trees of several tasks are joined by rounds: long paths, stars and repeats."""
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(150)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links + links[:50], "a long, b long").repartition(6)
+    found = {r.node: r.root for r in ngram_join.components(frame, edges_a_task=40).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert found == {x: root(x) for x in parent}
+
+
+def test_one_of_each_of_rows_without_ids(spark):
+    """Rows without an id are documents of their own: of near copies one stays; all columns are kept, whatever their names."""
+    rng = random.Random(2)
+    text = cases.sentence(rng, 80)
+    rows = [(None, text, 1), (None, text + " more", 2), (None, cases.sentence(rng, 80), 3), (4, text + " end", 4), (5, None, 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long").withColumn("__id", F.lit(99)).withColumn("row", F.lit("r"))
+    left = ngram_join.one_of_each(df, ngram_join.Rule(5, 80))
+    assert left.columns == df.columns
+    assert sorted((r.key, r.__getitem__("__id"), r.row) for r in left.collect()) == [(3, 99, "r"), (4, 99, "r"), (5, 99, "r"), (6, 99, "r")]

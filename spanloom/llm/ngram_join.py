@@ -350,7 +350,7 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     # two sets can only link if their sizes are in one band or in neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(rule.of / rule.least)) + 1e-9).cast("int")
     banded = written(sized.where("tells").join(weight, "node").select("token", "node", "n", "at", "weight", F.explode(F.array(band, band + 1)).alias("band")))
-    shared = written(banded.join(several(banded, "node"), GROUP, "left_semi"))
+    shared = written(banded.join(written(several(banded, "node")), GROUP, "left_semi"))
     dropped(rows, held, sized, banded)
 
     firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -424,7 +424,8 @@ def hub_pairs(shared: DataFrame, rule: Rule) -> DataFrame:
     member = F.struct("weight", "node", "n", "at")
     odd = F.col("node") % 2 != 0
     hubs = shared.groupBy(*GROUP).agg(F.max(F.when(odd, member)).alias("x"), F.max(F.when(~odd, member)).alias("y"))
-    hubs = hubs.select(*GROUP, F.explode(F.array("x", "y")).alias("o")).where("o IS NOT NULL")
+    # a table, so that the join after it has nothing but exchanges below and Spark may split a hot group's members
+    hubs = written(hubs.select(*GROUP, F.explode(F.array("x", "y")).alias("o")).where("o IS NOT NULL"))
     return passing(shared.join(hubs, GROUP).where("node <> o.node"), rule)
 
 
@@ -447,7 +448,7 @@ def with_earlier(rows: DataFrame) -> DataFrame:
 def merged(shared: DataFrame, links: DataFrame) -> DataFrame:
     """The groups whose nodes are in several components, with these."""
     named = written(shared.join(components(links), "node", "left").select(*GROUP, "node", "n", "at", F.coalesce("root", "node").alias("comp")))
-    return written(named.join(several(named, "comp"), GROUP, "left_semi"))
+    return written(named.join(written(several(named, "comp")), GROUP, "left_semi"))
 
 
 def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 A document's run is a hash of its id, so all passes see the same runs. A run has about `RUN_BYTES` of text, and what leaves
 it is collapsed to distinct values first: one value costs a run one entry, however many of its documents hold it, so no key
-gathers more than one entry per run.
+gathers more than one entry per run. Values go to `FANOUT` buckets as one packed block each, so blocks grow with the input
+and not with its square; beyond `LEVEL_RUNS` runs they go through further levels (`exchange`), where teams of runs fold what
+they share, so a value that all documents hold is one entry per team from there on.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from spanloom.llm.common import NO_ID
 
 RUN_BYTES = 4 << 20
 HELD_BYTES = 24 << 20
+FANOUT = 64  # buckets that a run sends tags to
+LEVEL_RUNS = 1024  # runs that one level of buckets takes
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -161,19 +165,20 @@ def table(schema: str, *columns: list) -> pa.Table:
     return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def tagged(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def tagged(hashes: np.ndarray, fanout: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 40-bit tag of each hash."""
-    return ((hashes & PLACE) % np.uint64(buckets)).astype(np.int64), hashes >> PLACE_BITS
+    return ((hashes & PLACE) % np.uint64(fanout)).astype(np.int64), hashes >> PLACE_BITS
 
 
-def distinct_tags(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+def distinct_tags(hashes: np.ndarray, fanout: int) -> tuple[np.ndarray, ...]:
     """Order by (bucket, tag); where each distinct pair begins in that order; its number for each place; buckets and tags in order."""
-    bucket, tag = tagged(hashes, buckets)
-    order = np.lexsort((tag, bucket))
-    b, t = bucket[order], tag[order]
+    bucket, tag = tagged(hashes, fanout)
+    key = (bucket.astype(np.uint64) << np.uint64(40)) | tag
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     new = np.ones(len(order), bool)
-    new[1:] = (b[1:] != b[:-1]) | (t[1:] != t[:-1])
-    return order, np.flatnonzero(new), np.cumsum(new) - 1, b, t
+    new[1:] = key[1:] != key[:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1, (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
 
 
 def ranges(sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
@@ -188,38 +193,132 @@ TAGS = "bucket int, run int, block binary"
 SHARED = "run int, bucket int, block binary"
 
 
-def tag_blocks(run: int, hashes: np.ndarray, owners: np.ndarray, buckets: int) -> pa.Table:
-    """TAGS of a run: its distinct tags by bucket, sorted, and whether several owners of the run hold each."""
-    order, first, _, b, t = distinct_tags(hashes, buckets)
+def deltas(tags: np.ndarray) -> np.ndarray:
+    return np.diff(tags, prepend=np.uint64(0))
+
+
+def tag_blocks(run: int, hashes: np.ndarray, owners: np.ndarray, fanout: int, payload: tuple[np.ndarray, ...] = ()) -> pa.Table:
+    """TAGS of a run: its distinct tags by bucket, sorted, whether several owners of the run hold each, and the payload of the
+    first place that holds it."""
+    order, first, _, b, t = distinct_tags(hashes, fanout)
     owners = owners[order]
     several = np.minimum.reduceat(owners, first) < np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
-    out = [(bucket, pack(np.diff(t[first][i:j], prepend=np.uint64(0)), np.packbits(several[i:j]))) for bucket, i, j in ranges(b[first])]
+    told = [x[order][first] for x in payload]
+    out = [(bucket, pack(deltas(t[first][i:j]), np.packbits(several[i:j]), *(x[i:j] for x in told))) for bucket, i, j in ranges(b[first])]
     return table(TAGS, [x for x, _ in out], [run] * len(out), [x for _, x in out])
 
 
-def find_shared(key: tuple, part: pa.Table) -> pa.Table:
-    """SHARED of a bucket: one bit per tag of each run, set if another run or another owner of the same run holds it."""
-    blocks = [unpack(x) for x in part.column("block").to_pylist()]
-    tags = [np.cumsum(d, dtype=np.uint64) for d, _ in blocks]
-    every = np.concatenate(tags)
-    order = np.argsort(every)
-    same = every[order][1:] == every[order][:-1]
-    shared = np.zeros(len(every), bool)
-    shared[order[1:][same]] = shared[order[:-1][same]] = True
+@dataclass
+class Merged:
+    """The blocks of some runs together: tags of all, the number of each one's distinct tag, and of those the tag, whether it is
+    shared, and the least payload."""
+
+    sizes: list[int]
+    number: np.ndarray
+    tags: np.ndarray
+    shared: np.ndarray
+    payload: list[np.ndarray]
+
+
+def merged(blocks: list[bytes]) -> Merged:
+    parts = [unpack(x) for x in blocks]
+    tags = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    several = np.concatenate([np.unpackbits(p[1], count=len(p[0])).astype(bool) for p in parts])
+    payload = [np.concatenate([p[i] for p in parts]) for i in range(2, len(parts[0]))]
+    order = np.lexsort((*reversed(payload), tags)) if payload else np.argsort(tags, kind="stable")
+    t = tags[order]
+    new = np.ones(len(order), bool)
+    new[1:] = t[1:] != t[:-1]
+    first = np.flatnonzero(new)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    size = np.diff(np.append(first, len(order)))
+    shared = (size > 1) | (np.logical_or.reduceat(several[order], first) if len(first) else np.zeros(0, bool))
+    return Merged([len(p[0]) for p in parts], number, t[first], shared, [x[order][first] for x in payload])
+
+
+def told(m: Merged, shared: np.ndarray, payload: list[np.ndarray]) -> list[bytes]:
+    """For each block of `m`: one bit per tag, set if it is shared, and the payloads of those that are."""
     out, at = [], 0
-    for t, (_, several) in zip(tags, blocks, strict=True):
-        out.append(pack(np.packbits(shared[at : at + len(t)] | np.unpackbits(several, count=len(t)).astype(bool))))
-        at += len(t)
-    return table(SHARED, part.column("run").to_pylist(), part.column("bucket").to_pylist(), out)
+    for n in m.sizes:
+        mine = m.number[at : at + n]
+        hit = mine[shared[mine]]
+        out.append(pack(np.packbits(shared[mine]), *(x[hit] for x in payload)))
+        at += n
+    return out
+
+
+def find_shared(key: tuple, part: pa.Table) -> pa.Table:
+    """SHARED of a bucket: which tags of each run another run or another owner of the same run holds."""
+    m = merged(part.column("block").to_pylist())
+    return table(SHARED, part.column("run").to_pylist(), part.column("bucket").to_pylist(), told(m, m.shared, m.payload))
+
+
+def by_sub(m: Merged, fanout: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the distinct tags by (sub-bucket, tag), and each sub-bucket's stretch in it."""
+    sub = (m.tags % np.uint64(fanout)).astype(np.int64)
+    order = np.argsort(sub, kind="stable")
+    return order, ranges(sub[order])
+
+
+def merge_team(fanout: int):
+    """The runs of a team as one, dealt to `fanout` buckets below the team's."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        bucket, team = (k.as_py() for k in key)
+        m = merged(part.column("block").to_pylist())
+        order, subs = by_sub(m, fanout)
+        blocks = [pack(deltas(m.tags[o]), np.packbits(m.shared[o]), *(x[o] for x in m.payload)) for _, i, j in subs for o in [order[i:j]]]
+        return table(TAGS, [bucket * fanout + s for s, _, _ in subs], [team] * len(subs), blocks)
+
+    return run
+
+
+def spread_team(fanout: int):
+    """What the buckets below have told a team, told to each of its runs."""
+
+    def run(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
+        m = merged(part.column("block").to_pylist())
+        order, subs = by_sub(m, fanout)
+        answer = dict(zip(replies.column("sub").to_pylist(), map(unpack, replies.column("block").to_pylist()), strict=True))
+        shared, payload = np.zeros(len(m.tags), bool), [x.copy() for x in m.payload]
+        for s, i, j in subs:
+            bits = np.unpackbits(answer[s][0], count=j - i).astype(bool)
+            shared[order[i:j]] = bits
+            for x, values in zip(payload, answer[s][1:], strict=True):
+                x[order[i:j][bits]] = values
+        return table(SHARED, part.column("run").to_pylist(), part.column("bucket").to_pylist(), told(m, shared, payload))
+
+    return run
+
+
+def exchange(tags: DataFrame, runs: int, fanout: int = FANOUT, most: int = LEVEL_RUNS) -> DataFrame:
+    """SHARED for TAGS of any number of runs. A run sends `fanout` blocks whatever their number, so blocks grow with the input.
+
+    Where the buckets would hold more than `most` runs, teams of `fanout` runs are merged first, which folds what they share,
+    and dealt to `fanout` buckets below each; the answers come back the same way. Levels grow with the logarithm of the runs.
+    """
+    if runs <= most:
+        return tags.groupBy("bucket").applyInArrow(find_shared, SHARED)
+    teams = tags.withColumn("team", F.floor(F.col("run") / fanout).cast("int"))
+    below = exchange(teams.groupBy("bucket", "team").applyInArrow(merge_team(fanout), TAGS), -(-runs // fanout), fanout, most)
+    back = below.select(F.floor(F.col("bucket") / fanout).cast("int").alias("bucket"), F.col("run").alias("team"), (F.col("bucket") % fanout).alias("sub"), "block")
+    return teams.groupBy("bucket", "team").cogroup(back.groupBy("bucket", "team")).applyInArrow(spread_team(fanout), SHARED)
 
 
-def shared_mask(hashes: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
-    """Which of a run's hashes are shared, from the SHARED rows for the run."""
-    order, first, number, b, _ = distinct_tags(hashes, buckets)
+def answers(hashes: np.ndarray, replies: pa.Table, fanout: int, blanks: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Which of a run's hashes are shared, from the SHARED rows for the run, and their payloads (blank for the others)."""
+    order, first, number, b, _ = distinct_tags(hashes, fanout)
     answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("block").to_pylist(), strict=True))
-    shared = np.zeros(len(first), bool)
+    shared, payload = np.zeros(len(first), bool), [np.full(len(first), x) for x in blanks]
     for bucket, i, j in ranges(b[first]):
-        shared[i:j] = np.unpackbits(unpack(answer[bucket])[0], count=j - i).astype(bool)
-    mask = np.zeros(len(hashes), bool)
-    mask[order] = shared[number] if len(first) else False
-    return mask
+        bits, *values = unpack(answer[bucket])
+        hit = np.flatnonzero(np.unpackbits(bits, count=j - i)) + i
+        shared[hit] = True
+        for x, v in zip(payload, values, strict=True):
+            x[hit] = v
+    out = [np.zeros(len(hashes), bool), *(np.full(len(hashes), x) for x in blanks)]
+    for x, v in zip(out, (shared, *payload), strict=True):
+        if len(first):
+            x[order] = v[number]
+    return tuple(out)

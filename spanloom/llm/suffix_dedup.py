@@ -10,17 +10,22 @@
    winner, and compares only bytes after that. It yields the order and the shared prefixes of neighbours: classes of equal
    suffix prefixes. For each of the 35 places that the anchor can have in a window, strings in one class with equal text
    before the anchor hold the same window; one with a smaller document covers the others.
-4. The covered windows go back to the runs, which cut them out.
+4. The covered windows go back to the runs as rows, and are cut out there.
 
-Every exchange is of distinct values per run, all arrays are bounded by a run or a bucket (about a run's size), and nothing
-passes through the driver but the total of bytes.
+Every exchange is of distinct values per run. A run sends `runs.FANOUT` blocks, however many runs there are; where buckets
+would hold more than `runs.LEVEL_RUNS` runs, teams of runs are merged first, by the same loser trees, and dealt to finer
+buckets, level by level. Strings that a smaller document equals in full stop at the first level that sees both. All arrays are
+bounded by a run or a bucket, and nothing passes through the driver but the total of bytes.
 
 Defined cases: a null text is empty; a null id counts as larger than all others; rows that repeat an id are one document for
-the comparison of ids and are each cut by themselves; texts under 50 bytes lose nothing; an empty table gives no rows.
+the comparison of ids and are each cut by themselves; texts under 50 bytes lose nothing; very long texts are a run of their
+own; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,13 +65,10 @@ def anchors(run: runs.Run) -> tuple[np.ndarray, np.ndarray]:
     return places, np.concatenate(hashes)[first]
 
 
-def send_tags(buckets: int):
-    def send(key: tuple, part: pa.Table) -> pa.Table:
-        run = runs.load(part.column("block").to_pylist())
-        places, hashes = anchors(run)
-        return runs.tag_blocks(key[0].as_py(), hashes, run.ids[run.doc(places)], buckets)
-
-    return send
+def send_tags(key: tuple, part: pa.Table) -> pa.Table:
+    run = runs.load(part.column("block").to_pylist())
+    places, hashes = anchors(run)
+    return runs.tag_blocks(key[0].as_py(), hashes, run.ids[run.doc(places)], runs.FANOUT)
 
 
 def strings(run: runs.Run, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,32 +108,37 @@ def place_bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 SUFFIXES = "bucket int, run int, settled int, block binary"
 
 
-def send_suffixes(buckets: int):
-    def send(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        run, number = runs.load(part.column("block").to_pylist()), key[0].as_py()
-        places, hashes = anchors(run)
-        chosen = runs.shared_mask(hashes, replies, buckets)
-        places, bucket = places[chosen], runs.tagged(hashes[chosen], buckets)[0]
-        rows, low, high = strings(run, places)
-        ended = np.concatenate([rows, np.ones((len(rows), 1), np.uint8)], axis=1)  # so that no trailing zero byte is lost
-        order = np.argsort(ended.view(f"S{WIDTH + 1}").ravel(), kind="stable")
-        places, bucket, rows, low, high = (x[order] for x in (places, bucket, rows, low, high))
-        ids = run.ids[run.doc(places)]
-        first = np.flatnonzero(common_prefixes(rows) < WIDTH) if len(rows) else np.zeros(0, np.int64)
-        lowest = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids)))) if len(first) else ids
-        later = ids > lowest
-        out = [(number % buckets, 1, runs.pack(places[later], place_bits(low[later], high[later])))]
-        keep = np.flatnonzero(~later)
-        keep = keep[np.argsort(bucket[keep], kind="stable")]
-        for b, i, j in runs.ranges(bucket[keep]):
-            mine = keep[i:j]
-            shares = common_prefixes(rows[mine])
-            rest = rows[mine][np.arange(WIDTH) >= shares[:, None]]
-            fields = (shares.astype(np.uint8), rest, ids[mine], places[mine], low[mine].astype(np.uint8), high[mine].astype(np.uint8))
-            out.append((b, 0, runs.pack(*fields)))
-        return runs.table(SUFFIXES, [x for x, _, _ in out], [number] * len(out), [x for _, x, _ in out], [x for _, _, x in out])
-
-    return send
+def settled_and_sent(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted strings those that one of a smaller document equals in full, and the rest."""
+    first = np.flatnonzero(common_prefixes(rows) < WIDTH) if len(rows) else np.zeros(0, np.int64)
+    lowest = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids)))) if len(first) else ids
+    return np.flatnonzero(ids > lowest), np.flatnonzero(ids <= lowest)
+
+
+def front_coded(rows: np.ndarray, *fields: np.ndarray) -> bytes:
+    """A sorted run of strings: what each shares with the one before, then the rest; and the fields of each."""
+    shares = common_prefixes(rows)
+    return runs.pack(shares.astype(np.uint8), rows[np.arange(WIDTH) >= shares[:, None]], *fields)
+
+
+def send_suffixes(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
+    run, number = runs.load(part.column("block").to_pylist()), key[0].as_py()
+    places, hashes = anchors(run)
+    (chosen,) = runs.answers(hashes, replies, runs.FANOUT)
+    places, bucket = places[chosen], runs.tagged(hashes[chosen], runs.FANOUT)[0]
+    rows, low, high = strings(run, places)
+    ended = np.concatenate([rows, np.ones((len(rows), 1), np.uint8)], axis=1)  # so that no trailing zero byte is lost
+    order = np.argsort(ended.view(f"S{WIDTH + 1}").ravel(), kind="stable")
+    places, bucket, rows, low, high = (x[order] for x in (places, bucket, rows, low, high))
+    ids = run.ids[run.doc(places)]
+    later, keep = settled_and_sent(rows, ids)
+    out = [(number % runs.FANOUT, 1, runs.pack(np.full(len(later), number, np.int32), places[later], place_bits(low[later], high[later])))]
+    keep = keep[np.argsort(bucket[keep], kind="stable")]
+    for b, i, j in runs.ranges(bucket[keep]):
+        mine = keep[i:j]
+        home = np.full(len(mine), number, np.int32)
+        out.append((b, 0, front_coded(rows[mine], ids[mine], home, places[mine], low[mine].astype(np.uint8), high[mine].astype(np.uint8))))
+    return runs.table(SUFFIXES, [x for x, _, _ in out], [number] * len(out), [x for _, x, _ in out], [x for _, _, x in out])
 
 
 def merge(streams: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int]]:
@@ -207,30 +214,80 @@ def decode(shares: np.ndarray, rest: np.ndarray) -> list[bytes]:
     return out
 
 
-COVERED = "run int, block binary"
+@dataclass
+class Sorted:
+    """Strings of several runs in one order: bytes, shares with the string before, and ids, home runs, places, low and high."""
 
+    rows: np.ndarray
+    shares: np.ndarray
+    fields: list[np.ndarray]
 
-def merge_suffixes(key: tuple, part: pa.Table) -> pa.Table:
-    """Which windows of each run an earlier document covers: (places of anchors, bits of places in the window)."""
+
+def opened(part: pa.Table) -> tuple[list[bytes], Sorted | None]:
+    """Blocks that are settled, and all others merged."""
     names, settled, blocks = (part.column(c).to_pylist() for c in ("run", "settled", "block"))
-    done = [(run, block) for run, is_done, block in zip(names, settled, blocks, strict=True) if is_done]
+    done = [block for is_done, block in zip(settled, blocks, strict=True) if is_done]
     sent = sorted((run, block) for run, is_done, block in zip(names, settled, blocks, strict=True) if not is_done)
-    if sent:
-        fields = [runs.unpack(block) for _, block in sent]
-        texts = [decode(f[0], f[1]) for f in fields]
-        order, shares = merge([(t, f[0].tolist()) for t, f in zip(texts, fields, strict=True)])
-        order = np.array(order, np.int64)
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        nth = np.argsort(np.argsort(order, kind="stable"), kind="stable") - base[order]
-        at = base[order] + nth  # place of each merged string among the concatenated streams
-        rows = np.frombuffer(b"".join(b"".join(t) for t in texts), np.uint8).reshape(-1, WIDTH)[at]
-        ids, places, low, high = (np.concatenate([f[i] for f in fields])[at] for i in (2, 3, 4, 5))
-        mask = covered_places(rows, np.array(shares), ids, low, high)
-        for s, (run, _) in enumerate(sent):
-            mine = (order == s) & (mask != 0)
-            if mine.any():
-                done.append((run, runs.pack(places[mine], mask[mine])))
-    return runs.table(COVERED, [run for run, _ in done], [block for _, block in done])
+    if not sent:
+        return done, None
+    fields = [runs.unpack(block) for _, block in sent]
+    texts = [decode(f[0], f[1]) for f in fields]
+    order, shares = merge([(t, f[0].tolist()) for t, f in zip(texts, fields, strict=True)])
+    order = np.array(order, np.int64)
+    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    nth = np.argsort(np.argsort(order, kind="stable"), kind="stable") - base[order]
+    at = base[order] + nth  # place of each merged string among the concatenated streams
+    rows = np.frombuffer(b"".join(b"".join(t) for t in texts), np.uint8).reshape(-1, WIDTH)[at]
+    return done, Sorted(rows, np.array(shares), [np.concatenate([f[i] for f in fields])[at] for i in range(2, 7)])
+
+
+def merge_team(fanout: int):
+    """The sorted runs of a team as one, without the strings that a smaller document of the team equals, dealt to the buckets below."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        bucket, team = (k.as_py() for k in key)
+        done, merged = opened(part)
+        out = [(bucket * fanout, 1, block) for block in done]
+        if merged:
+            ids, home, places, low, high = merged.fields
+            later, keep = settled_and_sent(merged.rows, ids)
+            out.append((bucket * fanout, 1, runs.pack(home[later], places[later], place_bits(low[later].astype(np.int64), high[later].astype(np.int64)))))
+            # equal anchors stay together: they are dealt by their bytes
+            named = np.zeros(len(keep), U64)
+            for i in range(ANCHOR):
+                named = named * U64(textkit.BASE) + textkit.BYTE_HASH[merged.rows[keep, i]]
+            sub = (textkit.mix(named ^ textkit.mix(np.full(len(keep), bucket, U64))) % U64(fanout)).astype(np.int64)
+            order = np.argsort(sub, kind="stable")
+            for s, i, j in runs.ranges(sub[order]):
+                mine = keep[order[i:j]]
+                out.append((bucket * fanout + s, 0, front_coded(merged.rows[mine], *(f[mine] for f in merged.fields))))
+        return runs.table(SUFFIXES, [x for x, _, _ in out], [team] * len(out), [x for _, x, _ in out], [x for _, _, x in out])
+
+    return run
+
+
+COVERED = "run int, place long, mask long"
+
+
+def merge_suffixes(key: tuple, part: pa.Table) -> pa.Table:
+    """Which windows of each run an earlier document covers: places of anchors, and bits of their places in the window."""
+    done, merged = opened(part)
+    told = [runs.unpack(block) for block in done]
+    if merged:
+        ids, home, places, low, high = merged.fields
+        mask = covered_places(merged.rows, merged.shares, ids, low, high)
+        told.append([home[mask != 0], places[mask != 0], mask[mask != 0]])
+    run, place, mask = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0), np.zeros(0), np.zeros(0))
+    columns = [pa.array(run.astype(np.int32)), pa.array(place.astype(np.int64)), pa.array(mask.astype(np.uint64).view(np.int64))]
+    return pa.table(columns, names=["run", "place", "mask"])
+
+
+def covered_windows(suffixes: DataFrame, n_runs: int, fanout: int, most: int) -> DataFrame:
+    """COVERED from the sorted runs: merged in teams, level by level, until the buckets of a level take all runs."""
+    if n_runs <= most:
+        return suffixes.groupBy("bucket").applyInArrow(merge_suffixes, COVERED)
+    teams = suffixes.withColumn("team", F.floor(F.col("run") / fanout).cast("int"))
+    return covered_windows(teams.groupBy("bucket", "team").applyInArrow(merge_team(fanout), SUFFIXES), -(-n_runs // fanout), fanout, most)
 
 
 def covered_places(rows: np.ndarray, shares: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -259,10 +316,9 @@ CUT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept bin
 def cut(key: tuple, part: pa.Table, covered: pa.Table) -> pa.Table:
     run = runs.load(part.column("block").to_pylist())
     begins = np.zeros(len(run.data) + 1, np.int64)
-    for block in covered.column("block").to_pylist():
-        places, mask = runs.unpack(block)
-        for place in range(BEFORE + 1):
-            begins[places[(mask >> U64(place)) & U64(1) == 1] - place] = 1
+    places, mask = covered.column("place").to_numpy(), covered.column("mask").to_numpy()
+    for place in range(BEFORE + 1):
+        begins[places[(mask >> place) & 1 == 1] - place] = 1
     total = np.cumsum(begins)
     total[LENGTH:] -= total[:-LENGTH].copy()
     gone = total[: len(run.data)] > 0
@@ -279,11 +335,11 @@ def cut(key: tuple, part: pa.Table, covered: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary())], names=[f.split()[0] for f in CUT.split(", ")])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, fanout: int = runs.FANOUT, most: int = runs.LEVEL_RUNS) -> DataFrame:
     """One row per row of `df`: doc_id, n_bytes, starts and ends of the removed ranges (bytes), kept (the bytes left)."""
     n = runs.n_runs(df, text_col, run_bytes)
     bundles = runs.bundled(df, n, id_col, text_col)
-    shared = bundles.groupBy("run").applyInArrow(send_tags(n), runs.TAGS).groupBy("bucket").applyInArrow(runs.find_shared, runs.SHARED)
-    suffixes = bundles.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(send_suffixes(n), SUFFIXES)
-    covered = suffixes.groupBy("bucket").applyInArrow(merge_suffixes, COVERED)
+    shared = runs.exchange(bundles.groupBy("run").applyInArrow(send_tags, runs.TAGS), n, fanout, most)
+    suffixes = bundles.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(send_suffixes, SUFFIXES)
+    covered = covered_windows(suffixes, n, fanout, most)
     return bundles.groupBy("run").cogroup(covered.groupBy("run")).applyInArrow(cut, CUT)

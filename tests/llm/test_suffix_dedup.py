@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spanloom.llm import runs, suffix_dedup
@@ -40,6 +42,39 @@ def test_many_runs_and_overlaps(spark):
     assert result(cases.frame(spark, rows), run_bytes=4000) == brute(rows)
 
 
+@pytest.mark.parametrize("fanout,most", [(3, 2), (4, 5)])
+def test_levels_of_teams(spark, fanout, most):
+    """Runs merged in teams over several levels remove what one level removes."""
+    rng = random.Random(15)
+    shared = ["".join(rng.choice("ab ") for _ in range(rng.randint(50, 90))) for _ in range(9)]
+    rows = [(i, "".join(rng.choice(shared) if rng.random() < 0.5 else cases.sentence(rng, 9) for _ in range(6)), *[None] * 6) for i in range(90)]
+    assert result(cases.frame(spark, rows), run_bytes=1500, fanout=fanout, most=most) == brute(rows)
+
+
+def test_exchange_tells_what_is_shared(spark):
+    """Bits and least payloads through one level and through several are those of a plain count."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 400, 60) for _ in range(23)]
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    parts = [runs.tag_blocks(i, pool[h], h % 5 + 5 * i, runs.FANOUT, (h % 5 + 5 * i, np.arange(60))) for i, h in enumerate(held)]
+    import pyarrow as pa
+
+    tags = spark.createDataFrame(pa.concat_tables(parts).to_pandas(), runs.TAGS)
+    owners, first = {}, {}
+    for i, h in enumerate(held):
+        for at, x in enumerate(h.tolist()):
+            owners.setdefault(x, set()).add(x % 5 + 5 * i)
+            first[x] = min(first.get(x, (99999, 0)), (x % 5 + 5 * i, at))
+    for most in (100, 4):
+        found = runs.exchange(tags, 23, runs.FANOUT, most).toPandas()
+        for i, h in enumerate(held):
+            bits, who, where = runs.answers(pool[h], pa.Table.from_pandas(found[found.run == i]), runs.FANOUT, (-1, -1))
+            for x, bit, a, b in zip(h.tolist(), bits, who, where):
+                assert bit == (len(owners[x]) > 1) and ((a, b) == (first[x] if bit else (-1, -1)))
+
+
 def test_empty_table(spark):
     assert result(cases.frame(spark, []).limit(0)) == []
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Documents that a task resamples at once, and replicates that it holds at once.
+BLOCK_DOCS, BLOCK_REPLICATES = 4096, 500
+
 
 def average_ranks(deltas: DataFrame, by: list[str], delta: str = "delta") -> DataFrame:
     """Adds twice the average rank of |delta| among the group's nonzero differences (an integer), as rank2; zeros drop."""
@@ -18,30 +19,36 @@ def average_ranks(deltas: DataFrame, by: list[str], delta: str = "delta") -> Dat
 
 
 def wilcoxon(deltas: DataFrame, by: list[str], delta: str = "delta") -> DataFrame:
-    """Exact two-sided signed-rank test per group: n_nonzero, w_plus, w_minus, p_value. All 2**n signs are enumerated.
+    """Exact two-sided signed-rank test per group: n_nonzero, w_plus, w_minus, p_value. A group of zeros alone has p = 1.
 
-    Ranks are doubled so that sums are integers and the comparison with the observed sum is exact.
+    Ranks are doubled so that sums are integers. How likely each sum of positive ranks is comes from one pass over the ranks
+    (each doubles the sign patterns), so a group costs its ranks times their sum and not two to the power of its size.
     """
-    ranked = average_ranks(deltas, by, delta)
+    size = F.abs(delta)
+    ordered, tied, whole = Window.partitionBy(*by).orderBy(size), Window.partitionBy(*by, size), Window.partitionBy(*by)
+    zeros = F.count_if(F.col(delta) == 0).over(whole)  # the first in the order
+    rank2 = F.when(F.col(delta) != 0, 2 * (F.rank().over(ordered) - zeros) + F.count(F.lit(1)).over(tied) - 1)
+    ranked = deltas.where(F.col(delta).isNotNull()).withColumn("rank2", rank2)
+    none = F.lit(0).cast("long")
     groups = ranked.groupBy(*by).agg(
         F.collect_list("rank2").alias("ranks"),
-        F.sum(F.when(F.col(delta) > 0, F.col("rank2")).otherwise(0)).alias("plus"),
-        F.sum(F.when(F.col(delta) < 0, F.col("rank2")).otherwise(0)).alias("minus"),
+        F.coalesce(F.sum(F.when(F.col(delta) > 0, F.col("rank2"))), none).alias("plus"),
+        F.coalesce(F.sum(F.when(F.col(delta) < 0, F.col("rank2"))), none).alias("minus"),
     )
     total, least = F.col("plus") + F.col("minus"), F.least("plus", "minus")
 
-    def signed_sum(mask: Column) -> Column:
-        bits = F.transform("ranks", lambda r, i: r * F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    def with_rank(chances: Column, rank: Column) -> Column:
+        return F.transform(chances, lambda p, s: (p + F.coalesce(F.when(s >= rank, F.get(chances, (s - rank).cast("int"))), F.lit(0.0))) / 2)
 
-    masks = F.transform(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("ranks")).cast("int") - 1), signed_sum)
-    hits = F.size(F.filter(masks, lambda s: F.least(s, total - s) <= least))
+    start = F.transform(F.sequence(none, total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    groups = groups.withColumn("chances", F.aggregate("ranks", start, with_rank))
+    extreme = F.transform("chances", lambda p, s: F.when(F.least(s, total - s) <= least, p).otherwise(0.0))
     return groups.select(
         *by,
         F.size("ranks").cast("long").alias("n_nonzero"),
         (F.col("plus") / 2).alias("w_plus"),
         (F.col("minus") / 2).alias("w_minus"),
-        (hits / F.pow(F.lit(2.0), F.size("ranks"))).alias("p_value"),
+        F.aggregate(extreme, F.lit(0.0), lambda acc, p: acc + p).alias("p_value"),
     )
 
 
@@ -61,30 +68,60 @@ def paired_t(deltas: DataFrame, by: list[str], delta: str = "delta") -> DataFram
     return summed.select(*by, "n", (F.col("n") - 1).alias("df"), "mean", "sd", t.alias("t"), status.alias("status"))
 
 
-def hierarchical_bootstrap(counts: DataFrame, reference: str, replicates: int, seed: int, undefined_limit: float = 0.05) -> DataFrame:
+def resampled_documents(counts: DataFrame, replicates: int, seed: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(condition, seed, replicate, tp, fp, fn): counts over documents drawn with replacement, as many as there are.
+
+    Documents stay where they are: a hash deals them to blocks, a replicate's generator splits its draws among the blocks by
+    their sizes, and each block deals its own draws to its documents. All cells of a document share a draw.
+    """
+    docs = counts.select("doc").distinct()
+    n_blocks = max(1, -(-docs.count() // block_docs))
+    block = F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).cast("int")
+    sizes = np.zeros(n_blocks, np.int64)
+    for row in docs.groupBy(block.alias("block")).count().collect():  # one number per block of documents
+        sizes[row.block] = row["count"]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["block"].iloc[0])
+        doc, ids = pd.factorize(pdf["doc"], sort=True)
+        cell, cells = pd.factorize(pd.MultiIndex.from_frame(pdf[["condition", "seed"]]), sort=True)
+        values = np.zeros((len(ids), len(cells), 3))
+        np.add.at(values, (doc, cell), pdf[["tp", "fp", "fn"]].to_numpy(float))
+        parts = []
+        for first in range(0, replicates, BLOCK_REPLICATES):
+            numbers = np.arange(first, min(replicates, first + BLOCK_REPLICATES))
+            times = np.zeros((len(numbers), len(ids)))
+            for i, r in enumerate(numbers.tolist()):
+                mine = np.random.Generator(np.random.PCG64([seed, r])).multinomial(sizes.sum(), sizes / sizes.sum())[at]
+                times[i] = np.random.Generator(np.random.PCG64([seed, r, at])).multinomial(mine, np.full(len(ids), 1 / len(ids)))
+            sums = (times @ values.reshape(len(ids), -1)).reshape(len(numbers), len(cells), 3).round().astype(np.int64)
+            parts.append(pd.DataFrame({
+                "condition": np.tile(cells.get_level_values(0), len(numbers)), "seed": np.tile(cells.get_level_values(1), len(numbers)),
+                "replicate": np.repeat(numbers, len(cells)), "tp": sums[..., 0].ravel(), "fp": sums[..., 1].ravel(), "fn": sums[..., 2].ravel()}))
+        return pd.concat(parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    schema = f"condition {kinds['condition']}, seed {kinds['seed']}, replicate long, tp long, fp long, fn long"
+    drawn = counts.withColumn("block", block).groupBy("block").applyInPandas(draw, schema)
+    return drawn if n_blocks == 1 else drawn.groupBy("condition", "seed", "replicate").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def hierarchical_bootstrap(counts: DataFrame, reference: str, replicates: int, seed: int, undefined_limit: float = 0.05, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Percentile intervals of micro-F1 under joint resampling of seeds and document clusters, and of the difference to a reference.
 
-    `counts` has condition, seed, doc, tp, fp, fn: an aggregate with one row per cell. A replicate draws as many seeds and
-    documents as there are, with its own generator, so replicates are spread over tasks and every condition sees the same
-    draws. Draws become weights per seed and per document, and the values come from joins and sums.
+    `counts` has condition, seed, doc, tp, fp, fn: an aggregate with one row per cell. Every condition sees the same draws.
     """
     spark = counts.sparkSession
-    axes = counts.agg(F.array_sort(F.collect_set("seed")).alias("s"), F.array_sort(F.collect_set("doc")).alias("d")).first()
-    seeds, docs = list(axes.s), list(axes.d)
+    seeds = [r.seed for r in counts.select("seed").distinct().orderBy("seed").collect()]  # the training seeds, a handful
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seeds_drawn(batches):
         for batch in batches:
-            for replicate in batch["id"].tolist():
-                generator = np.random.Generator(np.random.PCG64([seed, replicate]))
-                of_seed = np.bincount(generator.integers(0, len(seeds), len(seeds)), minlength=len(seeds))
-                of_doc = np.bincount(generator.integers(0, len(docs), len(docs)), minlength=len(docs))
-                yield pd.DataFrame({"replicate": replicate, "axis": "seed", "member": seeds, "times": of_seed}).query("times > 0")
-                yield pd.DataFrame({"replicate": replicate, "axis": "doc", "member": docs, "times": of_doc}).query("times > 0")
-
-    draws = spark.range(replicates).repartition(8).mapInPandas(draw, "replicate long, axis string, member long, times long")
-    of_doc = draws.where("axis = 'doc'").select("replicate", F.col("member").alias("doc"), F.col("times").alias("n_doc"))
-    of_seed = draws.where("axis = 'seed'").select("replicate", F.col("member").alias("seed"), F.col("times").alias("n_seed"))
-    sums = counts.join(of_doc, "doc").groupBy("condition", "seed", "replicate").agg(*[F.sum(F.col(c) * F.col("n_doc")).alias(c) for c in ("tp", "fp", "fn")])
+            for r in batch["id"].tolist():
+                of_seed = np.random.Generator(np.random.PCG64([seed, r, 2**40])).multinomial(len(seeds), np.full(len(seeds), 1 / len(seeds)))
+                yield pd.DataFrame({"replicate": r, "seed": seeds, "n_seed": of_seed}).query("n_seed > 0")
+
+    of_seed = spark.range(replicates).mapInPandas(seeds_drawn, f"replicate long, seed {counts.schema['seed'].dataType.simpleString()}, n_seed long")
+    sums = resampled_documents(counts, replicates, seed, block_docs)
     f1 = F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     values = (
         sums.withColumn("f1", f1)
@@ -92,26 +129,42 @@ def hierarchical_bootstrap(counts: DataFrame, reference: str, replicates: int, s
         .groupBy("condition", "replicate")
         .agg(F.when(F.count_if(F.col("f1").isNull()) == 0, F.sum(F.col("f1") * F.col("n_seed")) / F.sum("n_seed")).alias("value"))
     )
-    base = values.where(F.col("condition") == reference).select("replicate", F.col("value").alias("base"))
-    both = values.join(base, "replicate").withColumn("delta", F.col("value") - F.col("base"))
+    base = F.max(F.when(F.col("condition") == reference, F.col("value"))).over(Window.partitionBy("replicate"))
+    both = values.withColumn("delta", F.col("value") - base)
     undefined = F.lit(replicates) - F.count("value")
     held = undefined / replicates > undefined_limit
-    interval = both.groupBy("condition").agg(
+    return both.groupBy("condition").agg(
         undefined.alias("n_undefined"),
         F.when(~held, F.percentile("value", F.lit(0.025))).alias("lower"), F.when(~held, F.percentile("value", F.lit(0.975))).alias("upper"),
         F.when(~held, F.percentile("delta", F.lit(0.025))).alias("delta_lower"), F.when(~held, F.percentile("delta", F.lit(0.975))).alias("delta_upper"),
         F.when(held, "withheld_excess_undefined_replicates").otherwise("defined").alias("status"))
-    return interval
 
 
-def seed_bootstrap(per_seed: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """95% intervals of an arm's mean over resampled seeds: arm, lower, upper. All arms share one table of draws.
+def replicate_means(per_seed: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(arm, replicate, mean): an arm's mean over resampled seeds. All arms share one table of draws.
 
     The draws are numpy's PCG64 integers over the ordered seeds, replicates by seeds; `per_seed` has arm, seed, value.
     """
     spark = per_seed.sparkSession
     seeds = [r.seed for r in per_seed.select("seed").distinct().orderBy("seed").collect()]
     drawn = np.random.Generator(np.random.PCG64(seed)).integers(0, len(seeds), size=(replicates, len(seeds)))
-    table = spark.createDataFrame(pd.DataFrame({"replicate": np.repeat(np.arange(replicates), len(seeds)), "seed": np.array(seeds)[drawn.ravel()]}))
-    means = per_seed.join(table.groupBy("replicate", "seed").count(), "seed").groupBy("arm", "replicate").agg((F.sum(F.col("value") * F.col("count")) / len(seeds)).alias("mean"))
-    return means.groupBy("arm").agg(F.percentile("mean", F.lit(0.025)).alias("lower"), F.percentile("mean", F.lit(0.975)).alias("upper"))
+    times = np.stack([(drawn == i).sum(axis=1) for i in range(len(seeds))], axis=1)
+    table = spark.createDataFrame(pd.DataFrame({"replicate": np.repeat(np.arange(replicates), len(seeds)), "seed": np.tile(seeds, replicates), "times": times.ravel()}))
+    return per_seed.join(table.where("times > 0"), "seed").groupBy("arm", "replicate").agg((F.sum(F.col("value") * F.col("times")) / len(seeds)).alias("mean"))
+
+
+def _interval(column: str) -> list[Column]:
+    return [F.percentile(column, F.lit(0.025)).alias("lower"), F.percentile(column, F.lit(0.975)).alias("upper")]
+
+
+def seed_bootstrap(per_seed: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """95% intervals of an arm's mean over resampled seeds: arm, lower, upper."""
+    return replicate_means(per_seed, replicates, seed).groupBy("arm").agg(*_interval("mean"))
+
+
+def contrast_bootstrap(per_seed: DataFrame, contrasts: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """95% intervals of the difference of two arms' means, replicate by replicate: `contrasts` has arm and reference."""
+    means = replicate_means(per_seed, replicates, seed)
+    base = means.select(F.col("arm").alias("reference"), "replicate", F.col("mean").alias("base"))
+    both = contrasts.join(means, "arm").join(base, ["reference", "replicate"]).withColumn("delta", F.col("mean") - F.col("base"))
+    return both.groupBy("arm", "reference").agg(*_interval("delta"))

@@ -220,17 +220,11 @@ def word_array(column: str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.col(column)), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != ""))
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, doc_id, line, overlap) of the benchmark items and the lines that share a word with them, by an inverted index."""
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(word_array("text")).alias("word"))
-    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    held = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).select("doc_id", "line", F.explode(word_array("content")).alias("word"))
-    return held.join(asked, "word").groupBy("q", "doc_id", "line").agg(F.count(F.lit(1)).alias("overlap"))
-
-
 def sentence_retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("q").orderBy(F.col("overlap").desc(), "doc_id", "line")
-    return overlaps(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 3")
+    """The three lines that share most words with each benchmark item."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), word_array("text").alias("words"))
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return ops.best_lines(asked, docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,8 +252,8 @@ def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = ops.hop(ops.seeds(heads, ops.nodes(edges)), edges, heads, hops)
         facts[hops] = found.groupBy(F.col("q").alias("head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", fact.alias("f")))), lambda s: s["f"]).alias(f"facts{hops}"))
     sentence = read(spark, sf_dir, "part").select(F.concat_ws(" ", F.lit("The"), "p_name", F.lit("is part of"), "p_type", F.lit("by"), "p_brand")).distinct().toDF("s")
-    words = asked.select("question", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "head", "tail")), " +"))).alias("word"))
-    hits = words.join(sentence.select("s", F.explode(F.array_distinct(F.split(F.lower("s"), " +"))).alias("word")), "word").groupBy("question", "s").agg(F.count(F.lit(1)).alias("n"))
+    words = asked.select("question", F.explode(ops.distinct_words(F.lower(F.concat_ws(" ", "head", "tail")))).alias("word"))
+    hits = words.join(sentence.select("s", F.explode(ops.distinct_words(F.lower("s"))).alias("word")), "word").groupBy("question", "s").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("n").desc(), "s"))
     texts = hits.withColumn("p", place).where("p <= 3").groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: F.substring(x["s"], 1, 200)).alias("excerpts"))
     full = asked.join(facts[1], "head", "left").join(facts[2], "head", "left").join(texts, "question", "left")
@@ -290,7 +284,7 @@ def mode_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("place") <= 1, F.concat_ws(" ", "tail"))).alias("one"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "tail").getField("tail")))), " ").alias("five"))
 
     def matches(answer: str) -> Column:
-        gold_words, words = F.array_distinct(F.split(F.lower("gold_answer"), " +")), F.array_distinct(F.split(F.lower(F.coalesce(answer, F.lit(""))), " +"))
+        gold_words, words = ops.distinct_words(F.lower("gold_answer")), ops.distinct_words(F.lower(F.coalesce(answer, F.lit(""))))
         return 2 * F.size(F.array_intersect(gold_words, words)) >= F.size(gold_words)
 
     both = asked.join(said, "head", "left").withColumn("a", matches("one")).withColumn("b", matches("five"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import lineage
 from spanloom.plans.scoring import read
 
 MAX_ATTEMPTS = 3
@@ -125,10 +126,19 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of an inventory by directory of a hundred: rows of path and hash, sorted, then the digest of the digests."""
+    """Digests of an inventory: of the sorted rows of each part (the first four digits of the path's hash), of the parts of each
+    folder (the first two), and of all folders (the row without a folder). No level gathers more than its children."""
     row = F.concat("path", F.lit("|"), "sha256", F.lit("\n"))
-    rows = inventory(spark, sf_dir, False).withColumn("part", F.substring(F.sha2("path", 256), 1, 2)).groupBy("part").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("text"), F.count(F.lit(1)).alias("n"))
-    return rows.select("part", "n", F.sha2("text", 256).alias("digest"))
+    level = inventory(spark, sf_dir, False).select(F.substring(F.sha2("path", 256), 1, 4).alias("part"), row.alias("row"), F.lit(1).cast("long").alias("n"))
+    rows = None
+    for digits in (4, 2, 0):
+        text = F.array_join(F.array_sort(F.collect_list("row")), "")
+        level = level.groupBy(F.substring("part", 1, digits).alias("part")).agg(F.sha2(text, 256).alias("digest"), F.sum("n").alias("n"))
+        level = level.select("part", "n", "digest", F.concat("part", F.lit("|"), "digest", F.lit("\n")).alias("row"))
+        if digits < 4:
+            told = level.select("part", "n", "digest")
+            rows = told if rows is None else rows.unionByName(told)
+    return rows
 
 
 def storage_account(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +160,9 @@ def repeat_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiset_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned against attempted: keys whose counts differ between line items and orders."""
-    planned = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("k")).agg(F.count(F.lit(1)).alias("planned"))
-    done = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 500).alias("k")).agg((F.count(F.lit(1)) * 4).alias("done"))
+    """Planned against attempted: orders whose line items are not the four that each order plans for."""
+    planned = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("planned"))
+    done = read(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("k")).agg((F.count(F.lit(1)) * 4).alias("done"))
     return planned.join(done, "k", "full").select("k", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("done", F.lit(0)).alias("done")).where("planned <> done")
 
 
@@ -188,16 +198,25 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id").agg(F.sum("fresh").alias("n_sessions"), F.count(F.lit(1)).alias("n_events"))
 
 
-def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of every order within its customer's chain, by a recursive walk of at most four parents: artifact n comes from n - 1."""
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order comes from its customer's order before it."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    edges = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), F.lag("o_orderkey").over(order).alias("parent")).where("parent IS NOT NULL")
-    closure = edges.select("child", "parent", F.lit(1).alias("depth"))
-    level = closure
-    for depth in range(2, 5):
-        level = level.select("child", F.col("parent").alias("via")).join(edges.select(F.col("child").alias("via"), "parent"), "via").select("child", "parent", F.lit(depth).alias("depth"))
-        closure = closure.unionByName(level)
-    return closure.groupBy("child").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("depth").alias("depth"), F.min("parent").alias("oldest"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), F.lag("o_orderkey").over(order).alias("parent")).where("parent IS NOT NULL")
+
+
+def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestors of every order within its customer's chain, at any depth."""
+    found = lineage.closure(lineage_edges(spark, sf_dir))
+    return found.groupBy("child").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("depth").alias("depth"), F.min("ancestor").alias("oldest"))
+
+
+def lineage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts record their parent's hash; every 23rd record is stale, and spoils whatever descends from it."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("sha256"))
+    links = lineage_edges(spark, sf_dir).select(F.col("child").alias("id"), "parent")
+    held = orders.select(F.col("id").alias("parent"), F.col("sha256").alias("parent_sha256"))
+    recorded = links.join(held, "parent").withColumn("parent_sha256", F.when(F.col("id") % 23 == 3, F.sha2("parent_sha256", 256)).otherwise(F.col("parent_sha256")))
+    return lineage.validated(orders.join(recorded, "id", "left"))
 
 
 def lineage_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +244,7 @@ QUERIES = {
     for f in (
         attempt_telemetry, response_statistics, retry_backoff_check, event_sequence_check, attempt_contiguity, first_valid_attempt, invocation_cost, response_parse,
         inventory_diff, tree_digest, storage_account, repeat_mismatch, multiset_equality, coverage_check, idempotent_append, unfinished_occurrences, session_report,
-        lineage_closure, lineage_closure_whole, gate_checks,
+        lineage_closure, lineage_closure_whole, lineage_validation, gate_checks,
     )
 }
 
@@ -253,12 +272,14 @@ SELECT CASE WHEN NOT ok THEN 'malformed' WHEN len(json_keys(raw)) <> 1 THEN 'sch
  count(*) AS n FROM (SELECT CASE WHEN ok THEN raw ELSE '{}' END AS raw, ok FROM p) GROUP BY 1""",
     "inventory_diff": f"""WITH {INVENTORY} SELECT path, CASE WHEN old.h IS NULL THEN 'added' WHEN new.h IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM old FULL JOIN new USING (path) WHERE old.h IS DISTINCT FROM new.h""",
-    "tree_digest": f"""WITH {INVENTORY} SELECT substr(sha256(path), 1, 2) AS part, count(*) AS n, sha256(string_agg(path || '|' || h || chr(10), '' ORDER BY path || '|' || h)) AS digest FROM old GROUP BY 1""",
+    "tree_digest": f"""WITH {INVENTORY}, leaf AS (SELECT substr(sha256(path), 1, 4) AS part, count(*) AS n, sha256(string_agg(path || '|' || h || chr(10), '' ORDER BY path || '|' || h)) AS digest FROM old GROUP BY 1),
+folder AS (SELECT substr(part, 1, 2) AS part, sum(n)::bigint AS n, sha256(string_agg(part || '|' || digest || chr(10), '' ORDER BY part)) AS digest FROM leaf GROUP BY 1)
+SELECT * FROM folder UNION ALL SELECT '' AS part, sum(n)::bigint AS n, sha256(string_agg(part || '|' || digest || chr(10), '' ORDER BY part)) AS digest FROM folder""",
     "storage_account": """WITH o AS (SELECT l_suppkey % 3 AS device, l_orderkey AS inode, max(trunc(l_quantity)::bigint) AS blocks FROM lineitem GROUP BY ALL)
 SELECT device, count(*) AS n_files, (sum(blocks) * 512)::bigint AS bytes, greatest(0, 100000000 - sum(blocks) * 512)::bigint AS left_of_budget FROM o GROUP BY device""",
     "repeat_mismatch": """WITH p AS (SELECT o_orderkey, o_orderkey % 41 = 9 AND o_orderstatus IS NOT NULL AS action_differs, o_orderkey % 43 = 2 AND o_orderpriority IS DISTINCT FROM 'other' AS reason_differs FROM orders)
 SELECT * FROM p WHERE action_differs OR reason_differs""",
-    "multiset_equality": """WITH p AS (SELECT l_orderkey % 500 AS k, count(*) AS planned FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey % 500 AS k, count(*) * 4 AS done FROM orders GROUP BY 1)
+    "multiset_equality": """WITH p AS (SELECT l_orderkey AS k, count(*) AS planned FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey AS k, count(*) * 4 AS done FROM orders GROUP BY 1)
 SELECT k, coalesce(planned, 0) AS planned, coalesce(done, 0) AS done FROM p FULL JOIN d USING (k) WHERE coalesce(planned, 0) <> coalesce(done, 0)""",
     "coverage_check": """WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 13 <> 1), b AS (SELECT DISTINCT l_orderkey FROM lineitem)
 SELECT count(*) FILTER (WHERE l_orderkey IS NULL) AS missing, count(*) FILTER (WHERE o_orderkey IS NULL) AS extra, count(*) FILTER (WHERE o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL) AS covered FROM a FULL JOIN b ON o_orderkey = l_orderkey""",
@@ -271,8 +292,13 @@ SELECT 'added', count(*), sum(event_id)::bigint FROM a WHERE NOT EXISTS (SELECT
     "session_report": """WITH f AS (SELECT user_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800000000, false) AS goes_on FROM events)
 SELECT user_id, count(*) FILTER (WHERE NOT goes_on) AS n_sessions, count(*) AS n_events FROM f GROUP BY user_id""",
     "lineage_closure": """WITH RECURSIVE edges AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
-walk AS (SELECT child, parent, 1 AS depth FROM edges WHERE parent IS NOT NULL UNION ALL SELECT w.child, e.parent, depth + 1 FROM walk w JOIN edges e ON w.parent = e.child WHERE e.parent IS NOT NULL AND depth < 4)
+walk AS (SELECT child, parent, 1 AS depth FROM edges WHERE parent IS NOT NULL UNION ALL SELECT w.child, e.parent, depth + 1 FROM walk w JOIN edges e ON w.parent = e.child WHERE e.parent IS NOT NULL)
 SELECT child, count(*) AS n_ancestors, max(depth) AS depth, min(parent) AS oldest FROM walk GROUP BY child""",
+    "lineage_closure_whole": """WITH c AS (SELECT o_orderkey AS child, row_number() OVER w - 1 AS n, first_value(o_orderkey) OVER w AS oldest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT child, n AS n_ancestors, n::int AS depth, oldest FROM c WHERE n > 0""",
+    "lineage_validation": """WITH c AS (SELECT o_orderkey AS id, row_number() OVER w - 1 AS n_ancestors, count(*) FILTER (WHERE o_orderkey % 23 = 3 AND NOT head) OVER w AS n_broken
+ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS head FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT id, n_ancestors, n_broken, n_broken = 0 AS valid FROM c""",
     "gate_checks": """WITH f AS (SELECT count(*) = count(DISTINCT o_orderkey) AS unique_ids, count(*) FILTER (WHERE o_custkey IS NULL) = 0 AS complete_keys, min(o_totalprice) >= 0 AS nonnegative,
  count(DISTINCT o_orderstatus) = 3 AS known_states, max(o_orderdate) < TIMESTAMP '1990-01-01' AS before_1990 FROM orders),
 r AS (SELECT unnest(['unique_ids', 'complete_keys', 'nonnegative', 'known_states', 'before_1990']) AS "check", unnest([unique_ids, complete_keys, nonnegative, known_states, before_1990]) AS passed FROM f)

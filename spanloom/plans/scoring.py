@@ -335,11 +335,13 @@ def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per seed: how many candidates and ids there are, and the digest of the first hundred ids in order."""
+    """Per seed: how many candidates and ids there are, and the digest of all ids in order, by parts of their first three digits."""
     ids = keyed(candidates(spark, sf_dir)).groupBy("seed", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("candidate_id"))
-    head = ids.withColumn("place", place).where("place <= 100").groupBy("seed").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("candidate_id")), ","), 256).alias("head_digest"))
-    return ids.groupBy("seed").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_ids")).join(head, "seed")
+    part = F.substring("candidate_id", 6, 3).alias("part")
+    joined = F.array_join(F.array_sort(F.collect_list("candidate_id")), ",")
+    parts = ids.groupBy("seed", part).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.concat("part", F.lit(":"), F.sha2(joined, 256)).alias("digest"))
+    return parts.groupBy("seed").agg(
+        F.sum("n").alias("n_candidates"), F.sum("n_ids").alias("n_ids"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("index_digest"))
 
 
 def pilot_min_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +408,7 @@ def relation_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatted metrics, NA where undefined."""
     def number(name: str) -> Column:
-        return F.coalesce(F.format_string("%.6f", F.col(name)), F.lit("NA")).alias(name)
+        return F.when(F.col(name).isNotNull(), F.format_string("%.6f", F.col(name))).otherwise("NA").alias(name)
 
     return per_seed(spark, sf_dir).select("condition", "seed", F.format_string("%d/%d/%d", "tp", "fp", "fn").alias("counts"), *[number(c) for c in ("precision", "recall", "f1")])
 
@@ -456,12 +458,15 @@ SELECT condition, count(*) FILTER (WHERE is_gold) AS "both", count(*) FILTER (WH
     "threshold_sweep": f"WITH {SWEEP} SELECT seed, threshold, tp, fp, fn, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM sweep",
     "threshold_selected": f"""WITH {SWEEP}, means AS (SELECT threshold, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) ELSE 0 END), 12) AS mean_f1,
  count(*) AS n_seeds FROM sweep GROUP BY threshold) SELECT threshold, mean_f1, n_seeds FROM means ORDER BY mean_f1 DESC, threshold DESC LIMIT 1""",
-    "threshold_trace_check": f"WITH {SWEEP} SELECT seed, count(*) AS n_thresholds, 0::bigint AS n_violations FROM sweep GROUP BY seed",
+    "threshold_trace_check": f"""WITH {SWEEP}, f AS (SELECT seed, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) ELSE 0 END AS f1,
+ CASE WHEN tp + fp > 0 THEN tp::double / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp::double / (tp + fn) ELSE 0 END AS r FROM sweep)
+SELECT seed, count(*) AS n_thresholds, count(*) FILTER (WHERE abs(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END - f1) > 1e-12) AS n_violations FROM f GROUP BY seed""",
     "candidate_dedup": f"""WITH {KEYED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, candidate_id ORDER BY confidence DESC, pick, doc) AS r FROM keyed)
 SELECT seed, count(*) AS n_candidates, count(*) FILTER (WHERE r = 1) AS n_kept, count(*) FILTER (WHERE r > 1) AS n_dropped,
  round(sum(confidence) FILTER (WHERE r = 1), 6) AS confidence, (sum(pick) FILTER (WHERE r = 1))::bigint AS picks FROM ranked GROUP BY seed""",
-    "candidate_index": f"""WITH {KEYED}, g AS (SELECT seed, candidate_id, count(*) AS n FROM keyed GROUP BY ALL), ids AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY candidate_id) AS place FROM g)
-SELECT seed, sum(n)::bigint AS n_candidates, count(*) AS n_ids, sha256(string_agg(candidate_id, ',' ORDER BY candidate_id) FILTER (WHERE place <= 100)) AS head_digest FROM ids GROUP BY seed""",
+    "candidate_index": f"""WITH {KEYED}, ids AS (SELECT seed, candidate_id, count(*) AS n FROM keyed GROUP BY ALL),
+parts AS (SELECT seed, substr(candidate_id, 6, 3) AS part, sum(n) AS n, count(*) AS n_ids, sha256(string_agg(candidate_id, ',' ORDER BY candidate_id)) AS digest FROM ids GROUP BY ALL)
+SELECT seed, sum(n)::bigint AS n_candidates, sum(n_ids)::bigint AS n_ids, sha256(string_agg(part || ':' || digest, ',' ORDER BY part)) AS index_digest FROM parts GROUP BY seed""",
     "pilot_min_candidate": f"WITH {KEYED} SELECT seed, min(candidate_id) AS candidate_id FROM keyed GROUP BY seed",
     "quality_summary": f"""WITH {PER_SEED}, top AS (SELECT condition, max(f1) AS best_f1 FROM per_seed GROUP BY condition)
 SELECT p.condition, round(avg(f1), 9) AS mean_f1, round(stddev_samp(f1), 9) AS sd_f1, max(f1) AS best_f1, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn,

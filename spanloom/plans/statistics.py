@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.python_udfs import student_t_two_sided
 from spanloom.operators import statistics as ops
 from spanloom.plans.scoring import PER_SEED, SENTENCES, per_seed, sentence_counts
 
-REPLICATES = 400
+REPLICATES = 10_000
 SEED = 20260717
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f1 = per_seed(spark, sf_dir).select("condition", "seed", "f1")
-    raw = f1.where("condition = 'RAW'").select("seed", F.col("f1").alias("raw"))
-    return f1.where("condition <> 'RAW'").join(raw, "seed").select("condition", "seed", F.round(F.col("f1") - F.col("raw"), 9).alias("delta"))
+    """Differences of each condition to RAW, seed by seed; the metrics are computed once and RAW found beside them."""
+    raw = F.max(F.when(F.col("condition") == "RAW", F.col("f1"))).over(Window.partitionBy("seed"))
+    f1 = per_seed(spark, sf_dir).select("condition", "seed", "f1").withColumn("raw", raw)
+    return f1.where("condition <> 'RAW' AND raw IS NOT NULL").select("condition", "seed", F.round(F.col("f1") - F.col("raw"), 9).alias("delta"))
 
 
 DELTAS = f"""{PER_SEED},
 deltas AS (SELECT a.condition, a.seed, round(a.f1 - r.f1, 9) AS delta FROM per_seed a JOIN per_seed r ON a.seed = r.seed AND r.condition = 'RAW' WHERE a.condition <> 'RAW'),
 ranked AS (SELECT *, 2 * rank() OVER (PARTITION BY condition ORDER BY abs(delta)) + count(*) OVER (PARTITION BY condition, abs(delta)) - 1 AS rank2 FROM deltas WHERE delta <> 0),
 tests AS (
-  SELECT g.condition, n AS n_nonzero, plus / 2::double AS w_plus, minus / 2::double AS w_minus,
-    len(list_filter(list_transform(range(0, (2 ** n)::bigint), lambda m: list_sum(list_transform(range(0, n), lambda i: ranks[i + 1] * ((m >> i) & 1)))),
-        lambda s: least(s, plus + minus - s) <= least(plus, minus))) / (2 ** n) AS p_value
-  FROM (SELECT condition, count(*) AS n, list(rank2) AS ranks, coalesce(sum(rank2) FILTER (WHERE delta > 0), 0)::bigint AS plus,
-          coalesce(sum(rank2) FILTER (WHERE delta < 0), 0)::bigint AS minus FROM ranked GROUP BY condition) g)
+  SELECT d.condition, coalesce(n, 0) AS n_nonzero, coalesce(plus, 0) / 2::double AS w_plus, coalesce(minus, 0) / 2::double AS w_minus,
+    CASE WHEN n IS NULL THEN 1.0::double ELSE len(list_filter(list_transform(range(0, (2 ** n)::bigint), lambda m: list_sum(list_transform(range(0, n), lambda i: ranks[i + 1] * ((m >> i) & 1)))),
+        lambda s: least(s, plus + minus - s) <= least(plus, minus))) / (2 ** n) END AS p_value
+  FROM (SELECT DISTINCT condition FROM deltas WHERE delta IS NOT NULL) d LEFT JOIN (
+    SELECT condition, count(*) AS n, list(rank2) AS ranks, coalesce(sum(rank2) FILTER (WHERE delta > 0), 0)::bigint AS plus,
+      coalesce(sum(rank2) FILTER (WHERE delta < 0), 0)::bigint AS minus FROM ranked GROUP BY condition) g ON d.condition = g.condition)
 """
 
 
@@ -37,8 +39,9 @@ def wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and adjusted p, and the flags of significance and of a meaningful mean difference."""
-    means = deltas(spark, sf_dir).groupBy("condition").agg(F.round(F.avg("delta"), 9).alias("mean_delta"))
-    tests = ops.holm(wilcoxon_exact(spark, sf_dir), "condition").join(means, "condition")
+    found = deltas(spark, sf_dir)
+    mean = F.round(F.avg("delta").over(Window.partitionBy("condition")), 9)
+    tests = ops.holm(ops.wilcoxon(found.withColumn("mean_delta", mean), ["condition", "mean_delta"]), "condition")
     return tests.select("condition", "p_value", "holm_p", "mean_delta", (F.col("holm_p") < 0.05).alias("significant"), (F.abs("mean_delta") >= 0.01).alias("meaningful"))
 
 
@@ -77,12 +80,21 @@ def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hierarchical_bootstrap(counts, "RAW", REPLICATES, SEED)
 
 
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_seed(spark, sf_dir).select(F.col("condition").alias("arm"), "seed", F.col("f1").alias("value"))
+
+
 def seed_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f1 = per_seed(spark, sf_dir).select(F.col("condition").alias("arm"), "seed", F.col("f1").alias("value"))
-    return ops.seed_bootstrap(f1, REPLICATES, SEED)
+    return ops.seed_bootstrap(arms(spark, sf_dir), REPLICATES, SEED)
+
+
+def contrast_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each condition's difference to RAW from the replicates that the arms share."""
+    pairs = spark.sql("SELECT explode(array('VER-CONFIDENCE', 'VER-SIMPLE', 'VER-CORRECTIVE')) AS arm, 'RAW' AS reference")
+    return ops.contrast_bootstrap(arms(spark, sf_dir), pairs, REPLICATES, SEED)
 
 
-QUERIES = {f.__name__: f for f in (wilcoxon_exact, holm_adjust, rank_table, paired_t, paired_t_pvalue, percentile_ci, family_coverage, hierarchical_bootstrap, seed_bootstrap)}
+QUERIES = {f.__name__: f for f in (wilcoxon_exact, holm_adjust, rank_table, paired_t, paired_t_pvalue, percentile_ci, family_coverage, hierarchical_bootstrap, seed_bootstrap, contrast_bootstrap)}
 
 ORACLES = {
     "wilcoxon_exact": f"WITH {DELTAS} SELECT * FROM tests",

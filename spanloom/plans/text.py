@@ -339,6 +339,7 @@ SELECT CASE WHEN NOT regexp_matches(parts[1], '^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-
     "identifier_predicates": r"""SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(md5(url), '^[0-9a-f]{32}$')) AS n_hashes,
  count(*) FILTER (WHERE regexp_matches(md5(url), '^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$')) AS n_uuids, count(*) FILTER (WHERE regexp_matches('run-' || page_id, '^[a-z0-9][a-z0-9-]{2,63}$')) AS n_run_ids,
  count(*) FILTER (WHERE regexp_matches(CASE WHEN length(url) % 2 = 0 THEN 'http://localhost:11434' ELSE url END, '^https?://(localhost|127[.]0[.]0[.]1)(:[0-9]{1,5})?/?$')) AS n_local FROM pages""",
-    "field_diff": """SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 17 = 3 AND lang IS DISTINCT FROM 'xx') AS lang, 0::bigint AS source,
- count(*) FILTER (WHERE doc_id % 19 = 5 AND n_chars IS NOT NULL) AS n_chars FROM documents WHERE doc_id % 10 < 7""",
+    "field_diff": """WITH part AS (SELECT doc_id, CASE WHEN doc_id % 17 = 3 THEN 'xx' ELSE lang END AS p_lang, source AS p_source, n_chars + CASE WHEN doc_id % 19 = 5 THEN 1 ELSE 0 END AS p_chars FROM documents WHERE doc_id % 10 < 7)
+SELECT count(*) AS n, count(*) FILTER (WHERE lang IS DISTINCT FROM p_lang) AS lang, count(*) FILTER (WHERE source IS DISTINCT FROM p_source) AS source,
+ count(*) FILTER (WHERE n_chars IS DISTINCT FROM p_chars) AS n_chars FROM part JOIN documents USING (doc_id)""",
 }

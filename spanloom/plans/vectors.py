@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans
 from spanloom.functions.python_udfs import round_half_even_6
+from spanloom.operators import split as splits
 from spanloom.plans.scoring import read
 from spanloom.plans.text import lines, tokens_of
 from spanloom.sources import files
@@ -124,6 +127,25 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.when(F.col("place") <= F.col("quota"), "development").otherwise("train").alias("split"))
 
 
+def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with their label sets and a seeded rank."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    names = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in ("lang", "source", "quality", "toxic")]
+    return rows.select(F.col("doc_id").alias("id"), F.array(*names).alias("labels"), F.md5(F.concat(F.lit("42|"), "doc_id")).alias("rank"))
+
+
+def multilabel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 % of the labelled documents as development, the rarest label first: the fold of each. A sequence of choices has no SQL twin."""
+    items = labelled_items(spark, sf_dir)
+    return splits.multilabel_split(items, items.count() * 15 // 100, random.Random(42)).select(F.col("id").alias("doc_id"), F.col("fold").alias("split"))
+
+
+def multilabel_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each label in all and in either fold."""
+    both = labelled_items(spark, sf_dir).join(multilabel_split(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id")
+    return both.select(F.explode("labels").alias("label"), "split").groupBy("label").agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("split") == f).alias(f) for f in splits.FOLDS])
+
+
 def binary_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long documents predicted good: confusion, precision, recall, F1 and accuracy by language."""
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
@@ -167,7 +189,7 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        softmax_argmax, focal_loss, span_pooling, greedy_span_selection, span_pairs, negative_sampling, stratified_split, binary_label_metrics,
+        softmax_argmax, focal_loss, span_pooling, greedy_span_selection, span_pairs, negative_sampling, stratified_split, multilabel_split, multilabel_split_counts, binary_label_metrics,
         label_threshold_curve, triple_confidence, csv_round_trip, jsonl_round_trip,
     )
 }

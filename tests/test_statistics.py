@@ -19,6 +19,45 @@ def test_wilcoxon(deltas):
     assert found["zero"].p_value == 0.25
 
 
+def test_wilcoxon_of_zeros_and_of_large_families(spark):
+    """A family of zeros alone has p = 1; forty differences are counted exactly, which no list of sign patterns could be."""
+    rows = [("none", 0.0)] * 4 + [("many", (1 if i % 3 else -1) * (i + 1) / 8) for i in range(40)] + [("many", 0.0), ("many", None)]
+    found = {r.arm: r for r in ops.wilcoxon(spark.createDataFrame(rows, "arm string, delta double"), ["arm"]).collect()}
+    assert (found["none"].n_nonzero, found["none"].w_plus, found["none"].p_value) == (0, 0.0, 1.0)
+    ways = {0: 1}
+    for r in range(1, 41):
+        more = dict(ways)
+        for s, n in ways.items():
+            more[s + r] = more.get(s + r, 0) + n
+        ways = more
+    minus = sum(i + 1 for i in range(40) if i % 3 == 0)
+    extreme = sum(n for s, n in ways.items() if min(s, 820 - s) <= min(minus, 820 - minus))
+    assert found["many"].n_nonzero == 40 and found["many"].w_minus == minus and found["many"].p_value == extreme / 2**40
+
+
+#: Recorded counts (tp, fp, fn) of four arms over the seeds 42 to 49, and the recorded intervals of their means.
+RECORDED = {
+    "bert-base-common": ([(242, 196, 344), (234, 230, 352), (237, 227, 349), (239, 209, 347), (237, 230, 349), (237, 212, 349), (238, 203, 348), (237, 243, 349)], (0.45004417853190287, 0.46246381363298317)),
+    "deberta-base-common": ([(257, 223, 329), (246, 202, 340), (256, 201, 330), (258, 230, 328), (261, 215, 325), (256, 227, 330), (265, 214, 321), (267, 229, 319)], (0.48127196311364223, 0.49157776500850014)),
+    "deberta-large-common": ([(285, 194, 301), (278, 222, 308), (268, 220, 318), (270, 205, 316), (279, 201, 307), (275, 209, 311), (273, 230, 313), (262, 216, 324)], (0.5022372297552458, 0.5201968850838088)),
+    "deberta-large-a20-a21-a12": ([(262, 175, 324), (264, 181, 322), (271, 186, 315), (265, 190, 321), (265, 215, 321), (275, 159, 311), (285, 180, 301), (270, 168, 316)], (0.5099482213436233, 0.5302633623583355)),
+}
+
+
+def test_recorded_intervals(spark):
+    """10,000 replicates with the recorded seed give the recorded intervals, of arms and of a contrast, and the recorded p values."""
+    rows = [(arm, 42 + i, 2 * tp / (2 * tp + fp + fn)) for arm, (counts, _) in RECORDED.items() for i, (tp, fp, fn) in enumerate(counts)]
+    f1 = spark.createDataFrame(rows, "arm string, seed int, value double")
+    for r in ops.seed_bootstrap(f1, 10_000, 20260919).collect():
+        assert (r.lower, r.upper) == pytest.approx(RECORDED[r.arm][1], abs=1e-12)
+    pair = spark.createDataFrame([("deberta-base-common", "bert-base-common")], "arm string, reference string")
+    r = ops.contrast_bootstrap(f1, pair, 10_000, 20260919).first()
+    assert (r.lower, r.upper) == pytest.approx((0.02169369177668673, 0.03858455881488659), abs=1e-12)
+    base = f1.where("arm = 'bert-base-common'").select("seed", f1.value.alias("base"))
+    both = f1.where("arm = 'deberta-base-common'").join(base, "seed").selectExpr("arm", "value - base AS delta")
+    assert ops.wilcoxon(both, ["arm"]).first().p_value == 0.0078125
+
+
 def test_paired_t(deltas):
     found = ops.paired_t(deltas, ["arm"]).withColumn("p", student_t_two_sided("t", ops.F.col("df").cast("double")))
     found = {r.arm: r for r in found.collect()}
@@ -55,6 +94,16 @@ def test_hierarchical_bootstrap(spark):
     assert again["x"].lower == pytest.approx(found["x"].lower, abs=1e-12)
 
 
+def test_hierarchical_bootstrap_in_blocks(spark):
+    """Documents dealt to several blocks are still drawn as many as there are, each as often as any other."""
+    rows = [("raw", 1, d, 1, d, 0) for d in range(40)]
+    counts = spark.createDataFrame(rows, "condition string, seed int, doc int, tp int, fp int, fn int")
+    drawn = ops.resampled_documents(counts, 800, 3, block_docs=7).collect()
+    assert len(drawn) == 800 and all(r.tp == 40 for r in drawn)
+    mean = sum(r.fp for r in drawn) / 800
+    assert abs(mean - 780) < 10 and 60 < (sum((r.fp - mean) ** 2 for r in drawn) / 800) ** 0.5 < 85
+
+
 def test_undefined_replicates_withhold_the_interval(spark):
     rows = [("raw", s, d, 0, 0, 0 if d else 1) for s in range(2) for d in range(3)]
     counts = spark.createDataFrame(rows, "condition string, seed int, doc int, tp int, fp int, fn int")

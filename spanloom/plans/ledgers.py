@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import identity
 from spanloom.operators import annotations as marks
 from spanloom.operators import graph as kg
 from spanloom.operators import report
 from spanloom.operators.statistics import holm, wilcoxon
 from spanloom.plans import graph, scoring, statistics
+from spanloom.plans.annotations import ORACLES as annotation_sql
 from spanloom.plans.annotations import ROWS, sentences, tagged_rows
 from spanloom.plans.scoring import read
 from spanloom.plans.text import FOLD, MAX_WIDTH, WORDS, decoded, fold, lines, tokens_of
@@ -102,6 +104,15 @@ def graph_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("graph_id", F.concat(F.lit("graph-"), F.sha2(F.concat_ws("|", "graph", *[f"{n}_sha256" for n in tables]), 256)))
 
 
+def strict_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every strict triple: its candidate (seed 42), itself, and the entities at its ends."""
+    rows = marks.strict_triples(tagged_rows(spark, sf_dir), sentences(spark, sf_dir))
+    example = F.col("example_id").cast("string")
+    head, tail = (tuple(F.col(f"{side}_{x}") for x in ("start", "end", "type")) for side in ("head", "tail"))
+    key = identity.strict_key(example, head, F.col("relation"), tail)
+    return rows.select("example_id", "place", identity.candidate_id(key, F.lit(42)).alias("candidate_id"), identity.triple_id(key).alias("triple_id"), identity.entity_id(example, head).alias("head_id"), identity.entity_id(example, tail).alias("tail_id"))
+
+
 def asked_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose heads are known to the graph or not: every fifth is spelt backwards."""
     rows = graph.question_rows(spark, sf_dir).select("ordinal", "relation", "head", "tail")
@@ -205,7 +216,7 @@ def flattened_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        training_cost, span_labels, pair_labels, endpoint_lookup, evaluator_records, candidate_sentences, graph_chunks, graph_identity, head_tail_fallback, question_ledger, mode_rates,
+        training_cost, span_labels, pair_labels, endpoint_lookup, evaluator_records, candidate_sentences, graph_chunks, graph_identity, strict_identities, head_tail_fallback, question_ledger, mode_rates,
         materialization, generation_plan, cache_prefix, publication_core, publication_report, flattened_report,
     )
 }
@@ -220,6 +231,7 @@ def _digest(source: str, by: str, key: str, row: str, name: str) -> str:
 
 _TRIPLE_ID = "concat('[\"', example_id, '\",\"', head, '\",\"', relation, '\",\"', tail_type, '\",\"', tail, '\"]')"
 _SPLIT = FOLD
+STRICT_GOLD = annotation_sql["strict_gold"]
 ORACLES = {
     "training_cost": """WITH r AS (SELECT user_id % 8 AS seed, CASE WHEN event_type <> 'click' THEN value END AS s FROM events)
 SELECT seed, count(*) AS n, count(s) AS n_measured, round(sum(s) / 3600, 6) AS hours, round(max(s), 6) AS longest FROM r GROUP BY GROUPING SETS ((seed), ())""",
@@ -245,6 +257,10 @@ SELECT doc_id, count(*) AS n_chunks, min(chunk_id) AS first_chunk, max(sha256(co
 rels AS (SELECT DISTINCT graph, relation FROM triples), {_digest("rels", "graph", "relation", "relation", "dr")}
 SELECT de.graph, de.n AS n_entities, de.digest AS entities_sha256, dt.n AS n_triples, dt.digest AS triples_sha256, dr.n AS n_relations, dr.digest AS relations_sha256,
  'graph-' || sha256(concat_ws('|', de.graph, de.digest, dt.digest, dr.digest)) AS graph_id FROM de JOIN dt ON dt.graph = de.graph JOIN dr ON dr.graph = de.graph""",
+    "strict_identities": f"""WITH gold AS ({STRICT_GOLD}), k AS (SELECT example_id, place, concat('["', example_id, '",', head_start, ',', head_end, ',"', head_type, '","', relation, '",', tail_start, ',', tail_end, ',"', tail_type, '"]') AS key,
+ concat('["', example_id, '",', head_start, ',', head_end, ',"', head_type, '"]') AS h, concat('["', example_id, '",', tail_start, ',', tail_end, ',"', tail_type, '"]') AS t FROM gold)
+SELECT example_id, place, 'cand-' || sha256(concat('{{"protocol_id":"{identity.PROTOCOL}","strict_key":', key, ',"training_seed":42}}')) AS candidate_id, 'triple-' || sha256(concat('{{"namespace":"{identity.TRIPLE}","parts":[', key, ']}}')) AS triple_id,
+ 'entity-' || sha256(concat('{{"namespace":"{identity.ENTITY}","parts":[', h, ']}}')) AS head_id, 'entity-' || sha256(concat('{{"namespace":"{identity.ENTITY}","parts":[', t, ']}}')) AS tail_id FROM k""",
     "head_tail_fallback": f"""WITH {graph.KG}, {graph.QUESTIONS}, a AS (SELECT ordinal, relation, CASE WHEN ordinal % 5 = 0 THEN reverse(head) ELSE head END AS head, tail FROM questions),
 q AS (SELECT DISTINCT x AS q, trim(lower(x)) AS k FROM (SELECT head AS x FROM a UNION SELECT tail FROM a)), se AS (SELECT q, k, node FROM q JOIN vertices ON contains(node, k) OR contains(k, node)),
 sw AS (SELECT q, node FROM q CROSS JOIN vertices WHERE q NOT IN (SELECT q FROM se) AND len(list_intersect(list_distinct(string_split(k, ' ')), list_distinct(string_split(node, ' ')))) >= greatest(1, len(list_distinct(string_split(k, ' '))) // 2)),

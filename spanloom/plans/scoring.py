@@ -216,6 +216,18 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tp, fp, fn and duplicates per condition, seed and document: emissions and gold are summed by document before they meet, so
+    the grid of conditions and seeds is laid over documents and not over sentences."""
+    by = ["condition", "seed", "doc"]
+    emitted = emissions(spark, sf_dir).groupBy(*by).agg(F.count_if("is_gold").alias("tp"), F.count_if(~F.col("is_gold")).alias("fp"), F.sum(F.col("n") - 1).alias("duplicates"))
+    grid = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(s).cast("int").alias("seed")) for c in CONDITIONS for s in range(42, 49)]))
+    truth = gold(spark, sf_dir).groupBy((F.col("example_id") % 97).alias("doc")).agg(F.count(F.lit(1)).alias("n_gold")).withColumn("g", grid)
+    zero = F.lit(0)
+    return emitted.join(truth.select("g.condition", "g.seed", "doc", "n_gold"), by, "full").select(
+        *by, *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "duplicates")], (F.coalesce("n_gold", zero) - F.coalesce("tp", zero)).alias("fn"))
+
+
 SENTENCES = f"""{OUTCOMES},
 grid AS (SELECT condition, seed::int AS seed FROM (VALUES ('RAW'), ('VER-CONFIDENCE'), ('VER-SIMPLE'), ('VER-CORRECTIVE')) AS k(condition) CROSS JOIN range(42, 49) AS s(seed)),
 truth AS (SELECT condition, seed, example_id % 97 AS doc, example_id, count(*) AS n_gold FROM gold CROSS JOIN grid GROUP BY ALL),
@@ -233,10 +245,10 @@ def sentence_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and metrics per condition, (condition, seed) and (condition, seed, doc) in one grouping-sets pass."""
-    sentence_counts(spark, sf_dir).createOrReplaceTempView("spanloom_sentences")
+    document_counts(spark, sf_dir).createOrReplaceTempView("spanloom_documents")
     rolled = spark.sql(
         "SELECT condition, seed, doc, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(duplicates) AS duplicates "
-        "FROM spanloom_sentences GROUP BY GROUPING SETS ((condition), (condition, seed), (condition, seed, doc))"
+        "FROM spanloom_documents GROUP BY GROUPING SETS ((condition), (condition, seed), (condition, seed, doc))"
     )
     return triple_metrics(rolled)
 
@@ -350,7 +362,7 @@ def pilot_min_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triple_metrics(sentence_counts(spark, sf_dir).groupBy("condition", "seed").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    return triple_metrics(document_counts(spark, sf_dir).groupBy("condition", "seed").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
 PER_SEED = f"""{SENTENCES},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.python_udfs import student_t_two_sided
 from spanloom.operators import statistics as ops
-from spanloom.plans.scoring import PER_SEED, SENTENCES, per_seed, sentence_counts
+from spanloom.plans.scoring import PER_SEED, SENTENCES, document_counts, per_seed
 
 REPLICATES = 10_000
 SEED = 20260717
@@ -55,14 +55,14 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided p of the paired t test; the beta function has no SQL twin."""
-    found = ops.paired_t(deltas(spark, sf_dir), ["condition"])
-    return found.withColumn("p_value", student_t_two_sided(F.col("t"), F.col("df").cast("double")))
+    """Two-sided p of the paired t test."""
+    found = ops.paired_t(deltas(spark, sf_dir), ["condition"]).withColumn("p_value", student_t_two_sided(F.col("t"), F.col("df").cast("double")))
+    return found.select("condition", "n", "df", F.round("t", 5).alias("t"), F.round("p_value", 9).alias("p_value"), "status")
 
 
 def percentile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linearly interpolated percentiles of the documents' F1 per condition."""
-    docs = sentence_counts(spark, sf_dir).groupBy("condition", "doc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    docs = document_counts(spark, sf_dir).groupBy("condition", "doc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     f1 = docs.select("condition", F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
     return f1.groupBy("condition").agg(*[F.round(F.percentile("f1", F.lit(q)), 9).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
 
@@ -76,8 +76,7 @@ def family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = sentence_counts(spark, sf_dir).groupBy("condition", "seed", "doc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return ops.hierarchical_bootstrap(counts, "RAW", REPLICATES, SEED)
+    return ops.hierarchical_bootstrap(document_counts(spark, sf_dir).drop("duplicates"), "RAW", REPLICATES, SEED)
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +105,10 @@ SELECT condition, p_value, holm_p, mean_delta, holm_p < 0.05::double AS signific
     "paired_t": f"""WITH {DELTAS}, s AS (SELECT condition, count(delta) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd FROM deltas GROUP BY condition)
 SELECT condition, n, n - 1 AS df, round(mean, 8) AS mean, round(sd, 8) AS sd, CASE WHEN n >= 2 AND sd <> 0 THEN round(mean / (sd / sqrt(n)), 5) END AS t,
  CASE WHEN n < 2 THEN 'too_few' WHEN sd = 0 THEN CASE WHEN mean = 0 THEN 'all_zero' ELSE 'zero_variance' END ELSE 'defined' END AS status FROM s""",
+    # six degrees of freedom have a closed form: 1 - sin u (1 + cos^2 u / 2 + 3 cos^4 u / 8), tan u = |t| / sqrt(df)
+    "paired_t_pvalue": f"""WITH {DELTAS}, s AS (SELECT condition, count(delta) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd FROM deltas GROUP BY condition),
+t AS (SELECT condition, n, n - 1 AS df, CASE WHEN n >= 2 AND sd <> 0 THEN mean / (sd / sqrt(n)) END AS t, CASE WHEN n < 2 THEN 'too_few' WHEN sd = 0 THEN CASE WHEN mean = 0 THEN 'all_zero' ELSE 'zero_variance' END ELSE 'defined' END AS status FROM s)
+SELECT condition, n, df, round(t, 5) AS t, CASE WHEN df = 6 THEN round(1 - sin(atan(abs(t) / sqrt(6))) * (1 + cos(atan(abs(t) / sqrt(6))) ** 2 / 2 + 3 * cos(atan(abs(t) / sqrt(6))) ** 4 / 8), 9) END AS p_value, status FROM t""",
     "percentile_ci": f"""WITH {SENTENCES}, d AS (SELECT condition, doc, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM sentences GROUP BY ALL),
 f AS (SELECT condition, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::double / (2 * tp + fp + fn) END AS f1 FROM d)
 SELECT condition, round(quantile_cont(f1, 0.025), 9) AS low, round(quantile_cont(f1, 0.5), 9) AS median, round(quantile_cont(f1, 0.975), 9) AS high FROM f GROUP BY condition""",

@@ -121,7 +121,7 @@ def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that share a canonical surface although they are written differently; normalisation has no SQL twin."""
+    """Lines that share a canonical surface although they are written differently."""
     named = lines(spark, sf_dir).where("content <> ''").select("content", canonical("content").alias("surface"))
     digest = named.groupBy(F.sha2("surface", 256).alias("surface_sha256")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("content").alias("n_written"))
     return digest.where("n > 1")
@@ -312,6 +312,9 @@ s AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line O
 SELECT doc_id, count(*) AS n_words, sum(s)::bigint AS starts, max(s + length(word))::bigint AS last_end FROM s WHERE word <> '' GROUP BY doc_id""",
     "source_text": f"""WITH {WORDS} SELECT type, lower(array_to_string(w[start + 1:"end" + 1], ' ')) AS surface, count(*) AS n
 FROM spans JOIN tokens USING (doc_id, line) GROUP BY ALL HAVING count(*) >= 5""",
+    # what normalisation and case folding do to the letters of these texts
+    "canonical_surface": f"""WITH {WORDS}, c AS (SELECT content, sha256(regexp_replace(replace(lower(content), 'ß', 'ss'), '\\s', '', 'g')) AS surface_sha256 FROM split_lines WHERE content <> '')
+SELECT surface_sha256, count(*) AS n, count(DISTINCT content) AS n_written FROM c GROUP BY surface_sha256 HAVING count(*) > 1""",
     "marker_parse": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, len(regexp_extract_all(coalesce(html, ''), '<b>')) AS opened, len(regexp_extract_all(coalesce(html, ''), '</b>')) AS closed FROM pages)
 SELECT page_id, opened, closed, CASE WHEN opened = 0 THEN 'absent' WHEN opened <> closed THEN 'unbalanced' WHEN opened = 1 THEN 'single' ELSE 'several' END AS status,
  regexp_extract(html, '<b>([^<]*)</b>', 1) AS first FROM p""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans
 from spanloom.functions.python_udfs import round_half_even_6
 from spanloom.operators import split as splits
+from spanloom.operators.sampling import first_by_hash
 from spanloom.plans.scoring import read
 from spanloom.plans.text import lines, tokens_of
 from spanloom.sources import files
@@ -112,9 +113,8 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three negatives for each positive of a source, at least one, in the order of a seeded hash."""
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     hashed = rows.withColumn("h", F.md5(F.concat(F.col("doc_id"), F.lit("|negatives"))))
-    wanted = rows.groupBy("source").agg(F.greatest(3 * F.count_if(F.col("toxic") == 1), F.lit(1)).alias("wanted"))
-    order = Window.partitionBy("source").orderBy("h")
-    return hashed.where("toxic = 0").withColumn("place", F.row_number().over(order)).join(wanted, "source").where("place <= wanted").select("source", "doc_id")
+    wanted = rows.groupBy("source").agg(F.greatest(3 * F.count_if(F.col("toxic") == 1), F.lit(1)).alias("quota"))
+    return first_by_hash(hashed.where("toxic = 0"), ["source"], "h", wanted).where("chosen").select("source", "doc_id")
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.join(read(spark, sf_dir, "labels"), "doc_id").withColumn("h", F.md5(F.concat(F.col("doc_id"), F.lit("|split-42"))))
     stratum = ["lang", "quality", "toxic"]
     sizes = rows.groupBy(*stratum).agg(F.floor((F.count(F.lit(1)) * 15 + 50) / 100).alias("quota"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*stratum).orderBy("h"))).join(sizes, stratum)
-    return placed.select("doc_id", F.when(F.col("place") <= F.col("quota"), "development").otherwise("train").alias("split"))
+    return first_by_hash(rows, stratum, "h", sizes).select("doc_id", F.when(F.col("chosen"), "development").otherwise("train").alias("split"))
 
 
 def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.sources import files
+from spanloom.sources.files import saved
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -26,12 +26,6 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError(f"the closure did not settle in {most} rounds")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    path = files.scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def validated(artifacts: DataFrame) -> DataFrame:
     """(id, n_ancestors, n_broken, valid): artifacts with (id, sha256, parent, parent_sha256). A link is broken where the parent
     is absent or its hash is not the one recorded; an artifact is valid if no link from it upwards is broken."""

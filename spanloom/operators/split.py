@@ -15,7 +15,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.lineage import saved
+from spanloom.sources.files import saved
 
 FOLDS = ("train", "development")
 

@@ -12,7 +12,7 @@ from spanloom.operators import report
 from spanloom.operators.statistics import holm, wilcoxon
 from spanloom.plans import graph, scoring, statistics
 from spanloom.plans.annotations import ORACLES as annotation_sql
-from spanloom.plans.annotations import ROWS, sentences, tagged_rows
+from spanloom.plans.annotations import OF_DOC, ROWS, annotated, sentences
 from spanloom.plans.scoring import read
 from spanloom.plans.text import FOLD, MAX_WIDTH, WORDS, decoded, fold, lines, tokens_of
 from spanloom.sources import files
@@ -37,10 +37,10 @@ def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all ordered pairs of a sentence's spans: a pair's last row names its relation, all others have none."""
-    held = sentences(spark, sf_dir)
-    side = marks.aligned(tagged_rows(spark, sf_dir), held).where("span IS NOT NULL")
+    rows, held = annotated(spark, sf_dir)
+    side = files.saved(marks.aligned(rows, held).where("span IS NOT NULL"))
     head, tail = (side.where(F.col("role") == r).select("row", F.col("span").alias(r)) for r in ("head", "tail"))
-    pairs = tagged_rows(spark, sf_dir).select("row", "example_id", "relation").join(head, "row").join(tail, "row").where("head <> tail")
+    pairs = rows.select("row", "example_id", "relation").join(head, "row").join(tail, "row").where("head <> tail")
     last = pairs.groupBy("example_id", "head", "tail").agg(F.max_by("relation", "row").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     m = F.size("spans").cast("long")
     every = held.agg(F.sum(m * (m - 1)).alias("all")).crossJoin(last.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("labelled")))
@@ -61,8 +61,9 @@ def endpoint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluator_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared sentences, gold triples and the split's ids brought together by document: which of the three lack what another has."""
-    prepared = sentences(spark, sf_dir).select("doc_id").distinct().withColumn("p", F.lit(1))
-    gold = marks.strict_triples(tagged_rows(spark, sf_dir), sentences(spark, sf_dir)).groupBy(F.floor(F.col("example_id") / 100_000).alias("doc_id")).agg(F.count(F.lit(1)).alias("n_triples"))
+    rows, held = annotated(spark, sf_dir)
+    prepared = held.select("doc_id").distinct().withColumn("p", F.lit(1))
+    gold = marks.strict_triples(rows, held).groupBy(F.floor(F.col("example_id") / OF_DOC).alias("doc_id")).agg(F.count(F.lit(1)).alias("n_triples"))
     ids = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("s", F.lit(1))
     both = prepared.join(gold, "doc_id", "full").join(ids, "doc_id", "full")
     present = [F.when(F.col(c).isNotNull(), n) for c, n in (("p", "prepared"), ("n_triples", "gold"), ("s", "split"))]
@@ -106,7 +107,7 @@ def graph_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strict_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every strict triple: its candidate (seed 42), itself, and the entities at its ends."""
-    rows = marks.strict_triples(tagged_rows(spark, sf_dir), sentences(spark, sf_dir))
+    rows = marks.strict_triples(*annotated(spark, sf_dir))
     example = F.col("example_id").cast("string")
     head, tail = (tuple(F.col(f"{side}_{x}") for x in ("start", "end", "type")) for side in ("head", "tail"))
     key = identity.strict_key(example, head, F.col("relation"), tail)
@@ -245,7 +246,7 @@ p AS (SELECT doc_id, line, start AS hs, "end" AS he, start + CASE WHEN start % 3
 SELECT CASE WHEN hs = ts AND he = te THEN 'same_span' WHEN h.start IS NULL THEN 'no_head' WHEN t.start IS NULL THEN 'no_tail' ELSE 'found' END AS state, count(*) AS n FROM p
 LEFT JOIN c h ON h.doc_id = p.doc_id AND h.line = p.line AND h.start = hs AND h."end" = he LEFT JOIN c t ON t.doc_id = p.doc_id AND t.line = p.line AND t.start = ts AND t."end" = te GROUP BY 1""",
     "evaluator_records": f"""WITH {ROWS}, p AS (SELECT DISTINCT doc_id FROM sents), k AS (SELECT DISTINCT r.example_id, h.span AS head, r.relation, t.span AS tail FROM rel r JOIN chosen h ON h.row = r.row AND h.role = 'head' JOIN chosen t ON t.row = r.row AND t.role = 'tail'
- WHERE h.span IS NOT NULL AND t.span IS NOT NULL), g AS (SELECT example_id // 100000 AS doc_id, count(*) AS n FROM k GROUP BY 1), s AS (SELECT DISTINCT doc_id FROM labels),
+ WHERE h.span IS NOT NULL AND t.span IS NOT NULL), g AS (SELECT example_id // {OF_DOC} AS doc_id, count(*) AS n FROM k GROUP BY 1), s AS (SELECT DISTINCT doc_id FROM labels),
 u AS (SELECT doc_id FROM p UNION SELECT doc_id FROM g UNION SELECT doc_id FROM s)
 SELECT concat_ws('+', CASE WHEN p.doc_id IS NOT NULL THEN 'prepared' END, CASE WHEN g.doc_id IS NOT NULL THEN 'gold' END, CASE WHEN s.doc_id IS NOT NULL THEN 'split' END) AS held_by, count(*) AS n, coalesce(sum(g.n), 0)::bigint AS n_triples
 FROM u LEFT JOIN p ON p.doc_id = u.doc_id LEFT JOIN g ON g.doc_id = u.doc_id LEFT JOIN s ON s.doc_id = u.doc_id GROUP BY 1""",

@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The frame as a table of its own in the shared folder, for what several later steps read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strict_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """Header names, their order, every row's arity and type must be as the schema says; anything else fails the scan."""
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")

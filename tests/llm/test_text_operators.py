@@ -401,6 +401,53 @@ def test_passages_with_evenly_spread_edits(spark):
     assert len(found) == len(expect) and all(x.identity >= substring_chain.IDENTITY for x in found)
 
 
+def test_two_passages_with_any_gap_between(spark):
+    """Exact passages that two documents share, with gaps of different words: each is told, whatever the gap and their lengths."""
+    rng = random.Random(41)
+    rows, spans = [], {}
+    for k, (n, gap) in enumerate([(100, 50), (100, 150), (100, 300), (100, 600), (600, 500), (1500, 1200), (60, 5000)]):
+        first, second = cases.sentence(rng, n), cases.sentence(rng, n)
+        for side in (0, 1):
+            middle = " ".join(f"x{k}y{side}z{i}" for i in range(gap + 7 * side))
+            rows.append((2 * k + side, " ".join([first, middle, second])))
+        spans[2 * k + 1] = [(0, n), (n + gap + 7, 2 * n + gap + 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = defaultdict(set)
+    for r in substring_chain.passages(df, run_bytes=9000).collect():
+        assert r.ref_doc_id == r.doc_id - 1
+        told[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert set(told) == set(spans)
+    for doc, parts in spans.items():
+        for a, b in parts:
+            assert len(told[doc] & set(range(a, b))) >= 0.97 * (b - a), (doc, a, b)
+
+
+def test_every_passage_has_a_dense_place():
+    """Whatever words are changed, dropped or added, within the identity: DENSE seeds lie within LEAST words."""
+    rng = random.Random(42)
+    least, seed = substring_chain.LEAST, substring_chain.SEED
+    assert substring_chain.DENSE == 5
+    for _ in range(3000):
+        n = rng.randint(least, 90)
+        edits = math.floor((1 - substring_chain.IDENTITY) * n + 1e-9)
+        hit = set(rng.sample(range(n), edits) if rng.random() < 0.5 else [(i * n // edits + rng.randrange(3)) % n for i in range(edits)])
+        starts = np.array([i for i in range(n - seed + 1) if not hit & set(range(i, i + seed))])
+        assert substring_chain.in_dense_places(np.zeros(len(starts), np.int64), starts).any()
+    doc = np.array([0] * 4 + [1] * 4)
+    assert not substring_chain.in_dense_places(doc, np.array([0, 3, 5, 9, 10, 11, 12, 13])).any()
+
+
+def test_edit_matches_against_a_table():
+    rng = random.Random(43)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        table = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        assert substring_chain.edit_matches(a, b) == (max(len(a), len(b)) - table[len(a), len(b)] if a and b else 0)
+
+
 def test_a_passage_of_sentences_that_others_hold(spark):
     """Three sentences have earlier holders of their own; together they are a passage that only one document holds."""
     rng = random.Random(22)

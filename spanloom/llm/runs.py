@@ -25,7 +25,7 @@ from spanloom.llm.common import NO_ID
 RUN_BYTES = 4 << 20
 HELD_BYTES = 24 << 20
 FANOUT = 64  # buckets that a run sends tags to
-LEVEL_RUNS = 1024  # runs that one level of buckets takes
+LEVEL_RUNS = 512  # runs that one level of buckets takes
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -13,7 +13,7 @@
 4. The covered windows go back to the runs as rows, and are cut out there.
 
 Every exchange is of distinct values per run. A run sends `runs.FANOUT` blocks, however many runs there are; where buckets
-would hold more than `runs.LEVEL_RUNS` runs, teams of runs are merged first, by the same loser trees, and dealt to finer
+would hold more than `runs.LEVEL_RUNS` runs (`MERGED_RUNS` for strings), teams of runs are merged first, by the same loser trees, and dealt to finer
 buckets, level by level. Strings that a smaller document equals in full stop at the first level that sees both. All arrays are
 bounded by a run or a bucket, and nothing passes through the driver but the total of bytes.
 
@@ -36,6 +36,7 @@ from spanloom.llm.textkit import U64
 
 LENGTH = 50
 RUN_BYTES = 8 << 20  # larger runs send fewer distinct strings
+MERGED_RUNS = 256  # runs whose strings one level of buckets takes: strings take more room than tags
 ANCHOR = 16
 BEFORE = LENGTH - ANCHOR
 WIDTH = LENGTH + BEFORE
@@ -341,5 +342,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bundles = runs.bundled(df, n, id_col, text_col)
     shared = runs.exchange(bundles.groupBy("run").applyInArrow(send_tags, runs.TAGS), n, fanout, most)
     suffixes = bundles.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(send_suffixes, SUFFIXES)
-    covered = covered_windows(suffixes, n, fanout, most)
+    covered = covered_windows(suffixes, n, fanout, min(most, MERGED_RUNS))
     return bundles.groupBy("run").cogroup(covered.groupBy("run")).applyInArrow(cut, CUT)

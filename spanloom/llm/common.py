@@ -40,7 +40,8 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def _removed(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -48,7 +49,7 @@ def _removed(spark: SparkSession, path: str) -> None:
 def dropped(*frames: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for path, frame in [t for t in _tables if any(t[1] is f for f in frames)]:
-        _removed(frame.sparkSession, path)
+        removed(frame.sparkSession, path)
     _tables[:] = [t for t in _tables if not any(t[1] is f for f in frames)]
 
 

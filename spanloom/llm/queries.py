@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, merkle, mixing, ngram_join, packing, quality, secrets, substring_chain, suffix_dedup, toxicity
+from spanloom.llm import divergence, exact_dedup, fill_middle, merkle, mixing, neighbours, ngram_join, packing, quality, secrets, substring_chain, suffix_dedup, toxicity
 from spanloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_neighbour_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(documents(spark, sf_dir)).withColumn("output_sha256", F.sha2(F.col("output"), 256))
+    back = fill_middle.restore(made)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("text", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -91,6 +105,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
         "op10_secret_scan": op10_secret_scan,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_neighbour_descent": op12_neighbour_descent,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -251,5 +268,52 @@ FROM texts LEFT JOIN told USING (row)
 """
 
 
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+held AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM kept GROUP BY lang),
+here AS (SELECT lang, source, sum(n) AS here FROM held GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, (1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (coalesce(here, 0) + 2 * v))::hugeint AS p,
+         (1 + (1000000000::hugeint * (n_lang + 2)) // (total + 2 * v))::hugeint AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN here USING (lang, source) LEFT JOIN held USING (lang, source, term)),
+pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(any_value(value), 0)::bigint AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = g.lang AND s.source = g.source AND s.item = h.source GROUP BY ALL),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint FROM shares WHERE n > 0 AND p > q),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank::int AS rank FROM ranks WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::varchar, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2, ('0x' || substr(h, 25, 8))::bigint AS h4 FROM units),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+pieces AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_warc_merkle": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_warc_merkle": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_fill_middle": OP13_SQL}

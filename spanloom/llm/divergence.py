@@ -88,18 +88,17 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def cell(key: tuple, table: pa.Table) -> pa.Table:
     """Partial differences of the pairs of groups of one cell.
 
     Rows with a null term tell the groups of either block: source, side, p of a count of 0, and the number of kept terms of the
     term block; the others tell p of a term that the group holds.
     """
-    lang, first, second = key[0], key[1], key[2]
+    lang, first, second = (k.as_py() for k in key[:3])
+    rows = table.to_pandas()
     told = rows["term"].isna()
     heads, body = rows[told].sort_values(["block", "source"], kind="stable"), rows[~told]
     out = {"lang": [], "a": [], "b": [], "value": []}
-    if heads.empty:
-        return pd.DataFrame(out)
     names, terms = pd.factorize(body["term"])
     known = len(terms)
     at = pd.Series(np.arange(len(heads)), index=pd.MultiIndex.from_arrays([heads["block"], heads["source"]]))
@@ -119,7 +118,7 @@ def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             out["a"] += [source[i]] * len(others)
             out["b"] += [source[k] for k in others]
             out["value"] += partial.tolist()
-    return pd.DataFrame(out)
+    return pa.table({k: pa.array(v, pa.int64() if k == "value" else pa.string()) for k, v in out.items()})
 
 
 def ranked(rows: DataFrame, part: str) -> DataFrame:
@@ -168,7 +167,7 @@ def audit(df: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, groups: i
     other = F.explode(F.sequence(none, F.col("ng") - 1))
     slices = slices.select("lang", "source", "block", "t", "term", "p", "kept", other.alias("other"))
     slices = slices.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
-    partial_sums = slices.groupBy("lang", "first", "second", "t").applyInPandas(cell, "lang string, a string, b string, value long")
+    partial_sums = slices.groupBy("lang", "first", "second", "t").applyInArrow(cell, "lang string, a string, b string, value long")
     sums = partial_sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     pairs = sums.select("lang", both.alias("x"), "value").select("lang", "x.source", "x.item", "value")

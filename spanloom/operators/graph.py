@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import saved
+
 CAP = 15
 GRAM = 4
 QUESTION_CELLS = 1 << 25
@@ -43,7 +45,8 @@ def containing(short: DataFrame, whole: DataFrame, gram: int = GRAM) -> DataFram
     asked = short.where("s <> ''").select("s", own.alias("own")).select("s", F.size("own").alias("n_own"), F.explode("own").alias("g"))
     often = asked.join(grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("s", "n_own").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "g"))["g"].alias("g"))
     met = often.where("found = n_own").select("s", "g").join(grams, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
-    return met.unionByName(whole.crossJoin(F.broadcast(short.where("s = ''"))).select("s", "l"))  # one row at most
+    # the empty string: an equi-join on what every string begins with, against one row at most
+    return met.unionByName(whole.select(F.substring("l", 1, 0).alias("s"), "l").join(F.broadcast(short.where("s = ''")), "s").select("s", "l"))
 
 
 def stripped(text: Column) -> Column:
@@ -57,11 +60,11 @@ def distinct_words(text: Column) -> Column:
 def seeds(queries: DataFrame, vertices: DataFrame) -> DataFrame:
     """(q, node, node_pos, rule): nodes that contain the query or are contained in it; for queries without any, nodes that
     share at least max(1, n // 2) of its n distinct words. Both rules are equi-joins, on grams and on words."""
-    asked = queries.select("q", stripped(F.lower("q")).alias("k"))
+    asked, vertices = saved(queries.select("q", stripped(F.lower("q")).alias("k"))), saved(vertices)
     keys, names = asked.select("k").distinct(), vertices.select("node").distinct()
     inside = containing(keys.toDF("s"), names.toDF("l")).toDF("k", "node")
     around = containing(names.toDF("s"), keys.toDF("l")).toDF("node", "k").select("k", "node")
-    near = inside.unionByName(around).distinct()
+    near = saved(inside.unionByName(around).distinct())
     exact = asked.join(near, "k").join(vertices, "node").select("q", "node", "node_pos", F.lit("substring").alias("rule"))
     open_ = asked.join(near.select("k").distinct(), "k", "left_anti")
     need = F.greatest(F.lit(1), F.floor(F.size(distinct_words(F.col("k"))) / 2))
@@ -84,19 +87,22 @@ def hop(found: DataFrame, edges: DataFrame, queries: DataFrame, hops: int = 1, c
     key = ["head", "relation", "tail"]
     adjacent = adjacency(edges)
     frontier = found.select("q", "node", F.col("node_pos").alias("f_pos"))
+    if hops > 1:  # each is read by every later hop
+        adjacent, frontier = saved(adjacent), saved(frontier)
     visited, seen = frontier.select("q", "node"), None
     for h in range(1, hops + 1):
         met = frontier.join(adjacent, "node").groupBy("q", *key).agg(F.min(F.struct("f_pos", "edge_pos")).alias("o"))
         if seen is not None:
             met = met.join(seen.select("q", *key), ["q", *key], "left_anti")
         fresh = met.select("q", F.lit(h).alias("hop"), "o.f_pos", "o.edge_pos", *key)
+        fresh = saved(fresh) if h < hops else fresh
         seen = fresh if seen is None else seen.unionByName(fresh)
         if h < hops:
             order = Window.partitionBy("q").orderBy("f_pos", "edge_pos")
             placed = fresh.withColumn("nth", F.row_number().over(order))
             ends = F.explode(F.array(F.struct(F.lower("head").alias("node"), F.lit(0).alias("side")), F.struct(F.lower("tail").alias("node"), F.lit(1).alias("side"))))
             following = placed.select("q", "nth", ends.alias("x")).groupBy("q", "x.node").agg(F.min(F.col("nth") * 2 + F.col("x.side")).cast("long").alias("f_pos"))
-            frontier = following.join(visited, ["q", "node"], "left_anti")
+            frontier = saved(following.join(visited, ["q", "node"], "left_anti"))
             visited = visited.unionByName(frontier.select("q", "node"))
     order = Window.partitionBy("q").orderBy("hop", "f_pos", "edge_pos")
     return seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select("q", "place", "hop", *key)

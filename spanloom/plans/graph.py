@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as ops
+from spanloom.sources.files import saved
 from spanloom.plans.scoring import KEY, THRESHOLD, VIEWS, candidates, gold, read
 
 #: Question and answer templates by relation.
@@ -217,7 +218,7 @@ questions AS (SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY quest
 
 
 def word_array(column: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(column)), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != ""))
+    return ops.distinct_words(F.lower(F.col(column)))
 
 
 def sentence_retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,17 +247,19 @@ def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = question_rows(spark, sf_dir)
     edges = kg_edges(spark, sf_dir)
     heads = asked.select(F.col("head").alias("q")).distinct()
-    facts = {}
+    asked = saved(asked)
     fact = F.concat(F.lit("- ("), "head", F.lit(", "), "relation", F.lit(", "), "tail", F.lit(")"))
-    for hops in (1, 2):
-        found = ops.hop(ops.seeds(heads, ops.nodes(edges)), edges, heads, hops)
-        facts[hops] = found.groupBy(F.col("q").alias("head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", fact.alias("f")))), lambda s: s["f"]).alias(f"facts{hops}"))
+    # facts come hop by hop, so those of one hop are the first of two
+    found = ops.hop(ops.seeds(heads, ops.nodes(edges)), edges, heads, 2)
+    told = F.array_sort(F.collect_list(F.struct("place", "hop", fact.alias("f"))))
+    facts = found.groupBy(F.col("q").alias("head")).agg(told.alias("x")).select(
+        "head", F.transform(F.filter("x", lambda s: s["hop"] == 1), lambda s: s["f"]).alias("facts1"), F.transform("x", lambda s: s["f"]).alias("facts2"))
     sentence = read(spark, sf_dir, "part").select(F.concat_ws(" ", F.lit("The"), "p_name", F.lit("is part of"), "p_type", F.lit("by"), "p_brand")).distinct().toDF("s")
     words = asked.select("question", F.explode(ops.distinct_words(F.lower(F.concat_ws(" ", "head", "tail")))).alias("word"))
     hits = words.join(sentence.select("s", F.explode(ops.distinct_words(F.lower("s"))).alias("word")), "word").groupBy("question", "s").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("n").desc(), "s"))
     texts = hits.withColumn("p", place).where("p <= 3").groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: F.substring(x["s"], 1, 200)).alias("excerpts"))
-    full = asked.join(facts[1], "head", "left").join(facts[2], "head", "left").join(texts, "question", "left")
+    full = asked.join(facts, "head", "left").join(texts, "question", "left")
     none = F.array().cast("array<string>")
     one, two, said = (F.coalesce(c, none) for c in ("facts1", "facts2", "excerpts"))
     end = F.concat(F.lit("\n\nAnswer in 1-2 words: "), "question")

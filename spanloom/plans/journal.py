@@ -205,9 +205,29 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of every order within its customer's chain, at any depth."""
-    found = lineage.closure(lineage_edges(spark, sf_dir))
-    return found.groupBy("child").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("depth").alias("depth"), F.min("ancestor").alias("oldest"))
+    """Ancestors of every order within its customer's chain, at any depth: counted on the way up, not listed."""
+    found = lineage.totals(lineage_edges(spark, sf_dir).withColumn("broken", F.lit(False)))
+    return found.select("child", "n_ancestors", F.col("n_ancestors").cast("int").alias("depth"), "oldest")
+
+
+def two_parents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Artifacts (id, sha256), and what they recorded of their parents: the customer's order before, and the last before of the same state
+    and priority. Every 23rd artifact has a stale hash of its parents; the parents of every 41st are of another run, and absent."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_orderpriority", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("sha256"))
+    before = Window.partitionBy("o_custkey").orderBy("id")
+    like = Window.partitionBy("o_custkey", "o_orderstatus", "o_orderpriority").orderBy("id")
+    both = orders.select("id", F.lag("id").over(before).alias("one"), F.lag("id").over(like).alias("two"))
+    both = both.select("id", F.explode(F.array_distinct(F.array("one", "two"))).alias("parent")).where("parent IS NOT NULL")
+    told = both.join(orders.select(F.col("id").alias("parent"), F.col("sha256").alias("now")), "parent")
+    stale = F.when(F.col("id") % 23 == 3, F.sha2("now", 256)).otherwise(F.col("now"))
+    parent = F.when(F.col("id") % 41 == 7, -F.col("parent") - 1).otherwise(F.col("parent"))
+    return orders.select("id", "sha256"), told.select(F.col("id").alias("child"), parent.alias("parent"), stale.alias("parent_sha256"))
+
+
+def lineage_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts with two parents each: generation, own broken links, whether all above is sound, and the oldest they descend from."""
+    artifacts, parents = two_parents(spark, sf_dir)
+    return lineage.judged(lineage.recorded(artifacts, parents), artifacts)
 
 
 def lineage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +264,7 @@ QUERIES = {
     for f in (
         attempt_telemetry, response_statistics, retry_backoff_check, event_sequence_check, attempt_contiguity, first_valid_attempt, invocation_cost, response_parse,
         inventory_diff, tree_digest, storage_account, repeat_mismatch, multiset_equality, coverage_check, idempotent_append, unfinished_occurrences, session_report,
-        lineage_closure, lineage_closure_whole, lineage_validation, gate_checks,
+        lineage_closure, lineage_closure_whole, lineage_validation, lineage_judgement, gate_checks,
     )
 }
 
@@ -299,6 +319,13 @@ SELECT child, n AS n_ancestors, n::int AS depth, oldest FROM c WHERE n > 0""",
     "lineage_validation": """WITH c AS (SELECT o_orderkey AS id, row_number() OVER w - 1 AS n_ancestors, count(*) FILTER (WHERE o_orderkey % 23 = 3 AND NOT head) OVER w AS n_broken
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS head FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT id, n_ancestors, n_broken, n_broken = 0 AS valid FROM c""",
+    "lineage_judgement": """WITH RECURSIVE a AS (
+ SELECT o_orderkey AS id, unnest(list_distinct([lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey)])) AS parent FROM orders),
+links AS (SELECT id AS child, parent, id % 41 = 7 AS absent, id % 23 = 3 OR id % 41 = 7 AS broken FROM a WHERE parent IS NOT NULL),
+walk AS (SELECT o_orderkey AS id, o_orderkey AS up, 0 AS depth FROM orders UNION SELECT w.id, l.parent, depth + 1 FROM walk w JOIN links l ON l.child = w.up AND NOT l.absent),
+own AS (SELECT child, count(*) FILTER (WHERE broken) AS n_broken FROM links GROUP BY child)
+SELECT w.id, max(depth)::int AS generation, coalesce(any_value(n.n_broken), 0)::bigint AS n_broken, count(*) FILTER (WHERE o.n_broken > 0) = 0 AS valid, min(up) AS oldest
+FROM walk w LEFT JOIN own o ON o.child = w.up LEFT JOIN own n ON n.child = w.id GROUP BY w.id""",
     "gate_checks": """WITH f AS (SELECT count(*) = count(DISTINCT o_orderkey) AS unique_ids, count(*) FILTER (WHERE o_custkey IS NULL) = 0 AS complete_keys, min(o_totalprice) >= 0 AS nonnegative,
  count(DISTINCT o_orderstatus) = 3 AS known_states, max(o_orderdate) < TIMESTAMP '1990-01-01' AS before_1990 FROM orders),
 r AS (SELECT unnest(['unique_ids', 'complete_keys', 'nonnegative', 'known_states', 'before_1990']) AS "check", unnest([unique_ids, complete_keys, nonnegative, known_states, before_1990]) AS passed FROM f)

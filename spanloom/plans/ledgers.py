@@ -12,7 +12,7 @@ from spanloom.operators import report
 from spanloom.operators.statistics import holm, wilcoxon
 from spanloom.plans import graph, scoring, statistics
 from spanloom.plans.annotations import ORACLES as annotation_sql
-from spanloom.plans.annotations import OF_DOC, ROWS, annotated, sentences
+from spanloom.plans.annotations import DOCUMENT, ROWS, annotated, document_of, sentences
 from spanloom.plans.scoring import read
 from spanloom.plans.text import FOLD, MAX_WIDTH, WORDS, decoded, fold, lines, tokens_of
 from spanloom.sources import files
@@ -63,7 +63,7 @@ def evaluator_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared sentences, gold triples and the split's ids brought together by document: which of the three lack what another has."""
     rows, held = annotated(spark, sf_dir)
     prepared = held.select("doc_id").distinct().withColumn("p", F.lit(1))
-    gold = marks.strict_triples(rows, held).groupBy(F.floor(F.col("example_id") / OF_DOC).alias("doc_id")).agg(F.count(F.lit(1)).alias("n_triples"))
+    gold = marks.strict_triples(rows, held).groupBy(document_of().alias("doc_id")).agg(F.count(F.lit(1)).alias("n_triples"))
     ids = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("s", F.lit(1))
     both = prepared.join(gold, "doc_id", "full").join(ids, "doc_id", "full")
     present = [F.when(F.col(c).isNotNull(), n) for c, n in (("p", "prepared"), ("n_triples", "gold"), ("s", "split"))]
@@ -159,7 +159,7 @@ def materialization(spark: SparkSession, sf_dir: str) -> DataFrame:
     for dealt in (rows, rows.repartition(5, "example_id")):
         path = files.scratch(spark)
         dealt.write.partitionBy("split").json(path)
-        again = spark.read.schema("example_id long, words array<string>, spans array<struct<start:int,end:int,type:string>>, split string").json(path)
+        again = spark.read.schema("example_id string, words array<string>, spans array<struct<start:int,end:int,type:string>>, split string").json(path)
         trees.append(report.digest(again.withColumn("row", row_text()), ["split"], "example_id", "row"))
     other = trees[1].select("split", F.col("n").alias("n2"), F.col("digest").alias("digest2"))
     return trees[0].join(other, "split", "full").select("split", "n", "digest", (F.col("n").eqNullSafe(F.col("n2")) & F.col("digest").eqNullSafe(F.col("digest2"))).alias("same"))
@@ -246,7 +246,7 @@ p AS (SELECT doc_id, line, start AS hs, "end" AS he, start + CASE WHEN start % 3
 SELECT CASE WHEN hs = ts AND he = te THEN 'same_span' WHEN h.start IS NULL THEN 'no_head' WHEN t.start IS NULL THEN 'no_tail' ELSE 'found' END AS state, count(*) AS n FROM p
 LEFT JOIN c h ON h.doc_id = p.doc_id AND h.line = p.line AND h.start = hs AND h."end" = he LEFT JOIN c t ON t.doc_id = p.doc_id AND t.line = p.line AND t.start = ts AND t."end" = te GROUP BY 1""",
     "evaluator_records": f"""WITH {ROWS}, p AS (SELECT DISTINCT doc_id FROM sents), k AS (SELECT DISTINCT r.example_id, h.span AS head, r.relation, t.span AS tail FROM rel r JOIN chosen h ON h.row = r.row AND h.role = 'head' JOIN chosen t ON t.row = r.row AND t.role = 'tail'
- WHERE h.span IS NOT NULL AND t.span IS NOT NULL), g AS (SELECT example_id // {OF_DOC} AS doc_id, count(*) AS n FROM k GROUP BY 1), s AS (SELECT DISTINCT doc_id FROM labels),
+ WHERE h.span IS NOT NULL AND t.span IS NOT NULL), g AS (SELECT {DOCUMENT} AS doc_id, count(*) AS n FROM k GROUP BY 1), s AS (SELECT DISTINCT doc_id FROM labels),
 u AS (SELECT doc_id FROM p UNION SELECT doc_id FROM g UNION SELECT doc_id FROM s)
 SELECT concat_ws('+', CASE WHEN p.doc_id IS NOT NULL THEN 'prepared' END, CASE WHEN g.doc_id IS NOT NULL THEN 'gold' END, CASE WHEN s.doc_id IS NOT NULL THEN 'split' END) AS held_by, count(*) AS n, coalesce(sum(g.n), 0)::bigint AS n_triples
 FROM u LEFT JOIN p ON p.doc_id = u.doc_id LEFT JOIN g ON g.doc_id = u.doc_id LEFT JOIN s ON s.doc_id = u.doc_id GROUP BY 1""",

@@ -16,8 +16,14 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; of this machine only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-")
+    """A new path in the folder that the cluster shares; of this machine only in local mode, where none is named."""
+    shared, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not shared:
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
+        shared = context.getCheckpointDir()
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -25,7 +31,17 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame as a table of its own in the shared folder, for what several later steps read."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._spanloom_path = path
+    return found
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes saved tables that nothing will read again."""
+    for frame in frames:
+        spark = frame.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(frame._spanloom_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def strict_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import lineage, report
@@ -50,3 +51,27 @@ def test_closure_of_a_graph(spark):
     rows = [(1, "h1", None, None), (2, "h2", 1, "h1"), (3, "h3", 2, "old"), (4, "h4", 3, "h3"), (5, "h5", 9, "h9")]
     judged = {r.id: (r.n_ancestors, r.n_broken, r.valid) for r in lineage.validated(spark.createDataFrame(rows, "id int, sha256 string, parent int, parent_sha256 string")).collect()}
     assert judged == {1: (0, 0, True), 2: (1, 0, True), 3: (2, 1, False), 4: (3, 1, False), 5: (1, 1, False)}
+
+
+def test_totals_without_pairs(spark):
+    """A chain of 300, a tree and a lone artifact: counts, faults and the oldest, each row once; a circle is refused."""
+    links = [(i, i - 1, i % 7 == 0) for i in range(1, 300)] + [(1000 + i, 1000 + i // 2, i == 5) for i in range(2, 60)]
+    found = {r.child: (r.n_ancestors, r.n_broken, r.oldest) for r in lineage.totals(spark.createDataFrame(links, "child int, parent int, broken boolean")).collect()}
+    above = {c: (p, b) for c, p, b in links}
+    for child, told in found.items():
+        seen, at = [], child
+        while at in above:
+            seen.append(above[at])
+            at = above[at][0]
+        assert told == (len(seen), sum(b for _, b in seen), min(p for p, _ in seen))
+    assert len(found) == len(links)
+    with pytest.raises(RuntimeError):
+        lineage.totals(spark.createDataFrame([(1, 2, False), (2, 1, False)], "child int, parent int, broken boolean"), most=5)
+
+
+def test_judged_with_several_parents(spark):
+    """A diamond under a chain, an absent parent, a fault in one arm alone: against a walk from each artifact."""
+    links = [(2, 1, False), (3, 1, True), (4, 2, False), (4, 3, False), (5, 2, False), (6, 5, False), (6, 1, False), (7, 99, True), (8, 7, False), (8, 6, False)]
+    frame = spark.createDataFrame(links, "child int, parent int, broken boolean")
+    found = {r.id: (r.generation, r.n_broken, r.valid, r.oldest) for r in lineage.judged(frame, spark.range(1, 10).selectExpr("cast(id AS int) AS id")).collect()}
+    assert found == {1: (0, 0, True, 1), 2: (1, 0, True, 1), 3: (1, 1, False, 1), 4: (2, 0, False, 1), 5: (2, 0, True, 1), 6: (3, 0, True, 1), 7: (0, 1, False, 7), 8: (4, 0, False, 1), 9: (0, 0, True, 9)}

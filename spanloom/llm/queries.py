@@ -251,7 +251,7 @@ base AS (SELECT row, rank, kind, s, e FROM kept WHERE rank < {len(secrets.PATTER
 rare AS (
   SELECT row, rank, kind, hit, s FROM kept k
   WHERE ({" OR ".join("(kind = '" + c.kind + "' AND " + " AND ".join(f"regexp_matches(hit, {_quoted(n)})" for n in c.needs) + ")" for c in secrets.CLASSES)})
-    AND NOT ({" OR ".join(f"regexp_matches(hit, {_quoted(a)})" for a in secrets.ALLOWED)})
+    AND NOT ({" OR ".join(f"(regexp_matches(hit, {_quoted(a)})" + (f" AND NOT regexp_matches(hit, {_quoted(b)}))" if b else ")") for a, b in secrets.ALLOWED)})
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = k.row AND b.s <= k.s AND k.e <= b.e)),
 windowed AS (
   SELECT r.row, r.rank, r.kind, s, w, i, string_split(substr(hit, i + 1, w), '') AS c

@@ -4,9 +4,9 @@ Positions come from splitting the text at the matches: a match starts where the
 prefix sum of lengths, summed in blocks so that its cost grows with the matches and hardly with their square. Java's lengths
 are of UTF-16 units inside a pattern, but every length here is Spark's length(), in code points.
 
-Entropy: candidate strings of a character class are walked one character at a time. The state holds s = sum n * log2(n) of
-the window, changed only by the counts of the character that enters and the one that leaves; the window's Shannon entropy is
-log2(w) - s / w. The span runs from the first to the last window over the threshold. Allow-listed candidates (identifiers,
+Entropy: candidate strings of a character class are walked one character at a time. The state holds the counts of the window's
+characters and s = sum n * log2(n), changed only for the character that enters and the one that leaves; the window's Shannon
+entropy is log2(w) - s / w. The span runs from the first to the last window over the threshold. Allow-listed candidates (identifiers,
 placeholders, alphabets, plain paths) and those inside a span of a pattern add nothing.
 
 Defined cases: a null text is empty; documents without spans give an empty string and its hash; a null id is passed on;
@@ -45,12 +45,13 @@ CLASSES = (
     EntropyClass("entropy_hex", r"[0-9A-F]{24,}", ("[0-9]", "[A-F]"), 24, 3.0),
 )
 
-#: Candidates that match any of these are not secrets.
+#: Candidates that match any of these are not secrets, unless they match the second of the two. No group repeats without a
+#: bound, so that a match takes no deeper a stack for a longer candidate.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)|xxxx",
-    r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"^/?([A-Za-z]+[/_-])+[A-Za-z]*$",
+    (r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)|xxxx", None),
+    (r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", None),
+    (r"(?i)0123456789|abcdefghij|qwertyuiop", None),
+    (r"^/?[A-Za-z][A-Za-z/_-]*[/_-][A-Za-z]*$", r"[/_-][/_-]"),  # words and single separators: a path
 )
 
 
@@ -104,34 +105,41 @@ def spans_of(kind: str, least: int) -> Column:
     return F.filter(F.transform(hits, span), lambda s: s["n"] >= least)
 
 
+FIRST, LAST = ord("+"), ord("z")  # of the characters that any class has
+
+
 def window_hull(codes: Column, window: int, bits: float) -> Column:
     """(lo, hi) of the windows of an array of characters with at least `bits` of entropy; lo is -1 if there are none.
 
-    s = sum n * log2(n) over the characters of the window changes by the counts of two characters alone, the one that enters
-    and the one that leaves; those are counted in the window.
+    The state holds how often the window has each character, and s = sum n * log2(n); a step changes both by the character that
+    enters and the one that leaves, whatever the width of the window.
     """
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
+    def changed(counts: Column, at: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at), F.array(F.get(counts, at) + by), F.slice(counts, at + 2, F.lit(LAST - FIRST + 1)))
+
     def step(acc: Column, i: Column) -> Column:
-        held = F.slice(codes, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        n_in = F.size(F.filter(held, lambda x: x == enters))
-        n_out = F.size(F.filter(held, lambda x: x == leaves))
-        change = F.when(enters == leaves, F.lit(0.0)).otherwise(
-            weight(n_in + 1) - weight(n_in) + F.when(leaves >= 0, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0))
-        )
+        enters = F.get(codes, i) - FIRST
+        full = i >= window
+        leaves = F.when(full, F.get(codes, i - window) - FIRST).otherwise(F.lit(-1))
+        same = enters == leaves
+        n_in, n_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+        gone = F.when(full & ~same, changed(acc["counts"], leaves, -1)).otherwise(acc["counts"])
+        counts = F.when(same, acc["counts"]).otherwise(changed(gone, enters, 1))
+        change = F.when(same, F.lit(0.0)).otherwise(weight(n_in + 1) - weight(n_in) + F.when(full, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0)))
         s = acc["s"] + change
         over = (i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= bits - 1e-9)
         return F.struct(
+            counts.alias("counts"),
             s.alias("s"),
             F.when(over & (acc["lo"] < 0), i - (window - 1)).otherwise(acc["lo"]).alias("lo"),
             F.when(over, i + 1).otherwise(acc["hi"]).alias("hi"),
         )
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    start = F.struct(F.array_repeat(F.lit(0), LAST - FIRST + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     hull = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)
     return F.struct(hull["lo"].alias("lo"), hull["hi"].alias("hi"))
 
@@ -139,8 +147,9 @@ def window_hull(codes: Column, window: int, bits: float) -> Column:
 def suspicious(s: Column, kind: EntropyClass) -> Column:
     """Whether a candidate has what its class needs, is not allow-listed and lies in no span of a pattern."""
     allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | s["hit"].rlike(pattern)
+    for pattern, unless in ALLOWED:
+        here = s["hit"].rlike(pattern)
+        allowed = allowed | (here & ~s["hit"].rlike(unless) if unless else here)
     covered = F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     needed = F.lit(True)
     for pattern in kind.needs:

@@ -12,7 +12,9 @@ change of the score between a sentence and its counterfactuals, so weight that r
 it earns, and neutral mentions do not look toxic. A score is a sum over features, so a counterfactual is no more than the
 features that the swap adds and removes, and how often the text has that swap.
 
-What the driver holds is bounded: 2 * TRAIN_ROWS rows of at most FEATURES numbers each, and at most `SWAPS` swaps a row.
+Swaps that add and remove the same features are one swap with the sum of their shares, added up in Spark over the sample; none
+is left out. What the driver holds is bounded by the fit: 2 * TRAIN_ROWS rows of at most FEATURES numbers each, and the distinct
+swaps, of which the terms of the axes allow so many. FEATURES bounds the model, as TRAIN_ROWS bounds the sample.
 
 Scoring keeps each distinct word's features in a bounded cache, so the work per word is a lookup. The model is `FEATURES`
 numbers. Labels, lang, source and doc_id never enter a score.
@@ -47,7 +49,7 @@ LEAST_DOCS = 5
 LEAST_G2 = 12.0
 L2 = 2e-4
 PENALTY = 4.0
-SWAPS = 1_000
+ONE = 1 << 40  # a text's swaps come in shares of this, whole numbers, so that no order of adding matters
 SENTENCE = re.compile(r"[.!?…\n]+")
 STEPS = 300
 CACHE = 300_000
@@ -132,36 +134,50 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[1][used]), pa.array(totals[0][used])], ["feature", "n1", "n0"])
 
 
-SAMPLE = "toxic int, features binary, added array<binary>, removed array<binary>, times array<long>"
+def packed(features, place: dict[int, int]) -> bytes:
+    """The places of those features that are kept."""
+    return np.array(sorted(place[f] for f in features if f in place), np.int32).tobytes()
 
 
 def featurise(kept: list[int]):
-    """Arrow map over (text, toxic): SAMPLE of each text, of the kept features alone; features are places in `kept`."""
+    """Arrow map over (text, toxic): (toxic, features) of each text, of the kept features alone; features are places in `kept`."""
     place = {f: i for i, f in enumerate(kept)}
 
-    def packed(features) -> bytes:
-        return np.array(sorted(place[f] for f in features if f in place), np.int32).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [packed(features_of(words_of(text)), place) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(held, pa.binary())], ["toxic", "features"])
+
+    return run
+
+
+def swapped(kept: list[int]):
+    """Arrow map over (text, toxic): (toxic, added, removed, part), every swap of a text and its part of the text's swaps, of ONE in all."""
+    place = {f: i for i, f in enumerate(kept)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, added, removed, times = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                held.append(packed(features_of(words_of(text))))
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 swaps: Counter = Counter()
                 for (more, less), n in swaps_of(text).items():
-                    swaps[packed(more), packed(less)] += n
-                # the commonest ones where a text has too many; swaps that change nothing cost nothing
-                often = sorted(swaps.items(), key=lambda x: (-x[1], x[0]))[:SWAPS]
-                added.append([more for (more, _), _ in often])
-                removed.append([less for (_, less), _ in often])
-                times.append([n for _, n in often])
-            binaries, longs = pa.list_(pa.binary()), pa.list_(pa.int64())
-            columns = [batch.column(1), pa.array(held, pa.binary()), pa.array(added, binaries), pa.array(removed, binaries), pa.array(times, longs)]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SAMPLE.split(", ")])
+                    swaps[packed(more, place), packed(less, place)] += n
+                every = sum(swaps.values())
+                rows += [(toxic, more, less, n * ONE // every) for (more, less), n in swaps.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "added", "removed", "part"])
 
     return run
 
 
+def sampled(sample: DataFrame, kept: list[int]) -> tuple[list, list]:
+    """What the driver fits on: (toxic, features) of every row, and (toxic, added, removed, part) of every distinct swap."""
+    rows = sample.mapInArrow(featurise(kept), "toxic int, features binary").collect()
+    swaps = sample.mapInArrow(swapped(kept), "toxic int, added binary, removed binary, part long")
+    return rows, swaps.groupBy("toxic", "added", "removed").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("part")).collect()
+
+
 def g_squared(n1: Column, n0: Column, t1: int, t0: int) -> Column:
     """Association of a feature (held by n1 of t1 toxic and n0 of t0 other rows) with the label."""
     share = (n1 + n0) / F.lit(float(t1 + t0))
@@ -209,30 +225,28 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     g2 = g_squared(F.col("n1"), F.col("n0"), n[1], n[0])
     usable = counted.withColumn("g2", g2).where((F.col("n1") + F.col("n0") >= LEAST_DOCS) & (F.col("g2") >= LEAST_G2))
     kept = sorted(r.feature for r in usable.orderBy(F.col("g2").desc(), "feature").limit(FEATURES).collect())
-    rows = sample.mapInArrow(featurise(kept), SAMPLE).collect()
     weight = tuple(max(1.0, total.get(label, 0) / train_rows) for label in (0, 1))
-    bias, weights = train(sample_of(rows, weight), len(kept), penalty)
+    bias, weights = train(sample_of(*sampled(sample, kept), weight), len(kept), penalty)
     return Model(bias, dict(zip(kept, weights.tolist(), strict=True)))
 
 
-def sample_of(rows: list, weight: tuple[float, float] = (1.0, 1.0)) -> Sample:
-    """Rows of SAMPLE as arrays; `weight`: how many labelled rows a row of label 0 or 1 stands for."""
-    rows = sorted(rows, key=lambda r: (r.toxic, bytes(r.features), [bytes(x) for x in r.added], [bytes(x) for x in r.removed], list(r.times)))
+def sample_of(rows: list, swaps: list, weight: tuple[float, float] = (1.0, 1.0)) -> Sample:
+    """What `sampled` gives, as arrays; `weight`: how many labelled rows a row of label 0 or 1 stands for. A text that names
+    groups counts once, however often it does."""
+    rows = sorted(rows, key=lambda r: (r.toxic, bytes(r.features)))
+    swaps = sorted(swaps, key=lambda r: (r.toxic, bytes(r.added), bytes(r.removed)))
 
-    def pairs(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        columns = [np.frombuffer(x, np.int32) for x in packed]
+    def pairs(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        columns = [np.frombuffer(x, np.int32) for x in lists]
         return np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate([*columns, np.zeros(0, np.int32)]).astype(int)
 
     y = np.array([r.toxic for r in rows], float)
     share = np.array(weight)[y.astype(int)]
     share /= share.sum()
-    owner = np.repeat(np.arange(len(rows)), [len(r.times) for r in rows]).astype(int)
-    times = np.array([t for r in rows for t in r.times], float)
-    swap_share = np.zeros(0)
-    if len(times):  # a text that names groups counts once, however often it does
-        swap_share = share[owner] * times / np.bincount(owner, times, len(rows))[owner]
+    swap_share = np.array([weight[r.toxic] * int(r.part) / ONE for r in swaps], float)
+    if len(swaps):
         swap_share /= swap_share.sum()
-    return Sample(y, share, pairs([r.features for r in rows]), pairs([x for r in rows for x in r.added]), pairs([x for r in rows for x in r.removed]), swap_share)
+    return Sample(y, share, pairs([r.features for r in rows]), pairs([r.added for r in swaps]), pairs([r.removed for r in swaps]), swap_share)
 
 
 def loss(s: Sample, w: np.ndarray, bias: float, penalty: float) -> tuple[float, np.ndarray, float]:

@@ -214,6 +214,18 @@ def test_secrets_odd_cases(odd, empty):
     assert secrets.scan(odd).count() == len(ROWS) and secrets.scan(empty).count() == 0
 
 
+def test_long_candidates(spark):
+    """A million characters in one candidate, and a path of as many: read whole, on the stack of any task."""
+    rng = random.Random(6)
+    path, key = "Ab/" * 333_333, "".join(rng.choices("ghijkmnopqXYZUVW0123", k=1_000_000))
+    rows = [(1, path), (2, path + "9"), (3, "/" + path + "tail"), (4, path + "/x"), (5, "key " + key)]
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == found[3] == ""
+    hot = [i for i in range(3000) if entropy(key[i : i + 24]) >= 3.9 - 1e-9]
+    start = hot[0] + 4
+    assert found[5].startswith(f"entropy_base64:{start}:") and int(found[5].split(":")[2]) > 990_000
+
+
 # packing
 
 
@@ -292,8 +304,7 @@ def test_toxicity_penalised_loss(spark):
     texts = [(t + " " + rng.choice(["one", "two"]), y) for t, y in texts]
     kept = sorted({f for t, _ in texts for f in toxicity.features_of(toxicity.words_of(t))} | set(toxicity.word_features("hindus")))
     df = spark.createDataFrame(texts, "text string, toxic int")
-    rows = df.mapInArrow(toxicity.featurise(kept), toxicity.SAMPLE).collect()
-    sample = toxicity.sample_of(rows, (2.0, 1.0))
+    sample = toxicity.sample_of(*toxicity.sampled(df, kept), (2.0, 1.0))
     noise = np.random.default_rng(1)
     w, bias, penalty = noise.normal(size=len(kept)), 0.3, 4.0
     weight = dict(zip(kept, w))

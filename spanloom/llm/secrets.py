@@ -106,6 +106,7 @@ def spans_of(kind: str, least: int) -> Column:
 
 
 FIRST, LAST = ord("+"), ord("z")  # of the characters that any class has
+ZERO = 48  # a count is the character so many places after this one, so all counts are one string
 
 
 def window_hull(codes: Column, window: int, bits: float) -> Column:
@@ -118,28 +119,30 @@ def window_hull(codes: Column, window: int, bits: float) -> Column:
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
-    def changed(counts: Column, at: Column, by: int) -> Column:
-        return F.concat(F.slice(counts, F.lit(1), at), F.array(F.get(counts, at) + by), F.slice(counts, at + 2, F.lit(LAST - FIRST + 1)))
+    def count(counts: Column, at: Column) -> Column:
+        return F.ascii(F.substr(counts, at + 1, F.lit(1))) - ZERO
+
+    def put(counts: Column, at: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + ZERO), at + 1, F.lit(1))
 
     def step(acc: Column, i: Column) -> Column:
+        counts = acc["counts"]
         enters = F.get(codes, i) - FIRST
         full = i >= window
         leaves = F.when(full, F.get(codes, i - window) - FIRST).otherwise(F.lit(-1))
-        same = enters == leaves
-        n_in, n_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        gone = F.when(full & ~same, changed(acc["counts"], leaves, -1)).otherwise(acc["counts"])
-        counts = F.when(same, acc["counts"]).otherwise(changed(gone, enters, 1))
-        change = F.when(same, F.lit(0.0)).otherwise(weight(n_in + 1) - weight(n_in) + F.when(full, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0)))
-        s = acc["s"] + change
+        n_in, n_out = count(counts, enters), count(counts, leaves)
+        gone = F.when(full, put(counts, leaves, n_out - 1)).otherwise(counts)
+        change = weight(n_in + 1) - weight(n_in) + F.when(full, weight(n_out - 1) - weight(n_out)).otherwise(F.lit(0.0))
+        s = acc["s"] + F.when(enters == leaves, F.lit(0.0)).otherwise(change)
         over = (i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= bits - 1e-9)
         return F.struct(
-            counts.alias("counts"),
+            F.when(enters == leaves, counts).otherwise(put(gone, enters, n_in + 1)).alias("counts"),
             s.alias("s"),
             F.when(over & (acc["lo"] < 0), i - (window - 1)).otherwise(acc["lo"]).alias("lo"),
             F.when(over, i + 1).otherwise(acc["hi"]).alias("hi"),
         )
 
-    start = F.struct(F.array_repeat(F.lit(0), LAST - FIRST + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    start = F.struct(F.lit(chr(ZERO) * (LAST - FIRST + 1)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     hull = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)
     return F.struct(hull["lo"].alias("lo"), hull["hi"].alias("hi"))
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import annotations, contracts, graph, journal, ledgers, scoring, statistics, text, vectors, verdicts
+from spanloom.plans import annotations, contracts, graph, journal, ledgers, replay, scoring, statistics, text, vectors, verdicts
 from spanloom.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = (scoring, text, annotations, statistics, graph, journal, verdicts, ledgers, contracts, vectors, events)
+MODULES = (scoring, text, annotations, statistics, graph, journal, verdicts, ledgers, replay, contracts, vectors, events)
 
 
 def queries() -> dict[str, Query]:

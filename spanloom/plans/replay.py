@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import checks, hash_tree
+from spanloom.operators import checks, hash_tree, nested
 from spanloom.operators import verdicts as ops
 from spanloom.plans import journal, scoring, verdicts
 from spanloom.plans.scoring import read
@@ -70,7 +70,28 @@ def pilot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (candidate_replay, pilot_gate)}
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_id, own, body): receipts in JSON, two to seven levels deep; some name the run of another receipt somewhere in them."""
+    key = F.col("o_orderkey")
+    run = F.concat(F.lit("run-"), (key % 9).cast("string"))
+    deep = F.concat(F.lit('{"run_id":"run-'), F.when(key % 17 == 3, 9).otherwise(key % 9).cast("string"), F.lit('","status":"'), "o_orderstatus", F.lit('","n":'), "o_custkey", F.lit("}"))
+    for level in range(5):  # a level more for each that the key asks for
+        deep = F.when(key % 6 > level, F.concat(F.lit('{"inputs":[null,{"parent":'), deep, F.lit('}],"note":{}}'))).otherwise(deep)
+    listed = F.when(key % 29 == 5, F.lit('["run-4",{"run_id":["run-x",null]}]')).otherwise(F.lit("[]"))
+    body = F.concat(F.lit('{"run_id":"'), run, F.lit('","lineage":'), deep, F.lit(',"others":'), listed, F.lit("}"))
+    return read(spark, sf_dir, "orders").select(key.alias("order_id"), run.alias("own"), body.alias("body"))
+
+
+def foreign_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where receipts name a run that is not theirs, at any depth; the shape of a receipt is not told."""
+    return nested.foreign(receipts(spark, sf_dir).withColumn("body", F.parse_json("body")), "order_id", "body", "own")
+
+
+QUERIES = {f.__name__: f for f in (candidate_replay, pilot_gate, foreign_runs)}
+
+_DEEP = """concat('{"run_id":"run-', CASE WHEN o_orderkey % 17 = 3 THEN 9 ELSE o_orderkey % 9 END, '","status":"', o_orderstatus, '","n":', o_custkey, '}')"""
+for _level in range(5):
+    _DEEP = f"""CASE WHEN o_orderkey % 6 > {_level} THEN concat('{{"inputs":[null,{{"parent":', {_DEEP}, '}}],"note":{{}}}}') ELSE {_DEEP} END"""
 
 ORACLES = {
     "candidate_replay": f"""WITH {scoring.KEYED}, again AS (SELECT seed, candidate_id, example_id, doc, confidence, pick FROM keyed),
@@ -81,6 +102,10 @@ a AS (SELECT *, count(*) AS n FROM again GROUP BY ALL), b AS (SELECT *, count(*)
 d AS (SELECT coalesce(a.seed, b.seed) AS seed, coalesce(a.candidate_id, b.candidate_id) AS candidate_id, a.n AS n1, b.n AS n2 FROM a FULL JOIN b USING (seed, candidate_id, example_id, doc, confidence, pick) WHERE a.n IS DISTINCT FROM b.n),
 s AS (SELECT seed, candidate_id, coalesce(sum(n1), 0)::bigint AS n_before, coalesce(sum(n2), 0)::bigint AS n_after FROM d GROUP BY ALL)
 SELECT seed, candidate_id, CASE WHEN n_after = 0 THEN 'missing' WHEN n_before = 0 THEN 'added' ELSE 'changed' END AS change, n_before, n_after FROM s""",
+    "foreign_runs": f"""WITH r AS (SELECT o_orderkey AS order_id, 'run-' || (o_orderkey % 9) AS own, concat('{{"run_id":"run-', o_orderkey % 9, '","lineage":', {_DEEP}, ',"others":',
+ CASE WHEN o_orderkey % 29 = 5 THEN '["run-4",{{"run_id":["run-x",null]}}]' ELSE '[]' END, '}}')::json AS body FROM orders),
+t AS (SELECT order_id, own, fullkey, regexp_extract(fullkey, '([A-Za-z_]+)(\\[[0-9]+\\])*$', 1) AS name, CASE WHEN j.type <> 'NULL' THEN j.atom->>'$' END AS value, j.type AS type FROM r, json_tree(r.body) j)
+SELECT order_id, fullkey AS path, value FROM t WHERE name = 'run_id' AND type NOT IN ('OBJECT', 'ARRAY') AND value IS DISTINCT FROM own""",
     "pilot_gate": f"""WITH {verdicts.TRIES}, {journal.ATTEMPTS},
 calls AS (SELECT event_id, attempt, event_type, json_keys(props) AS fields, (epoch_us(ts) - lag(epoch_us(ts) + round(value * 1e6)::bigint) OVER (PARTITION BY user_id, day, request ORDER BY attempt)) / 1e6 AS waited FROM attempts),
 pairs AS (

@@ -22,21 +22,21 @@ def walk(df: DataFrame, key: str, column: str, most: int = 1_000) -> DataFrame:
     for _ in range(most):
         level = saved(level.withColumn("kind", F.schema_of_variant("v")))
         inner = level.where(F.col("kind").rlike(NESTED))
-        told.append(level.where(~F.col("kind").rlike(NESTED) | F.col("kind").isin("OBJECT<>", "ARRAY<>")))
+        told.append(level.where(F.col("kind").isNull() | ~F.col("kind").rlike(NESTED)))
         if inner.isEmpty():
             break
-        opened = inner.alias("t").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("x"))
+        # what is empty opens to one row without a place, which tells it
+        opened = inner.alias("t").lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).alias("x"))
         # a field's name is quoted where a dot or bracket in it would make another path
         plain = F.col("x.key").rlike("^[A-Za-z0-9_]+$")
-        step = F.when(F.col("x.key").isNull(), F.concat(F.lit("["), F.col("x.pos").cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("."), F.col("x.key"))).otherwise(F.concat(F.lit('."'), F.col("x.key"), F.lit('"')))
+        step = F.when(F.col("x.pos").isNull(), "").when(F.col("x.key").isNull(), F.concat(F.lit("["), F.col("x.pos").cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("."), F.col("x.key"))).otherwise(F.concat(F.lit('."'), F.col("x.key"), F.lit('"')))
         level = opened.select(F.col(f"t.{key}"), F.concat("t.path", step).alias("path"), F.coalesce("x.key", "t.name").alias("name"), F.col("x.value").alias("v"))
     else:
         raise ValueError(f"a value is nested more than {most} levels deep")
     rows = told[0]
     for part in told[1:]:
         rows = rows.unionByName(part)
-    scalar = F.when(~F.col("kind").rlike(NESTED), F.try_variant_get("v", "$", "string"))
-    return rows.select(key, "path", "name", scalar.alias("value"))
+    return rows.select(key, "path", "name", F.try_variant_get("v", "$", "string").alias("value"))
 
 
 def foreign(df: DataFrame, key: str, column: str, own: str, field: str = "run_id") -> DataFrame:

@@ -73,13 +73,13 @@ def judged(links: DataFrame, ids: DataFrame) -> DataFrame:
         # a child is told once it has heard of all its links; what it has heard so far waits
         full = named.where("wants IS NOT NULL").select(F.col("id").alias("child"), "wants", "n_broken")
         sums = heard.groupBy("child").agg(F.count(F.lit(1)).alias("got"), F.max("generation").alias("generation"), F.min("valid").alias("valid"), F.min("oldest").alias("oldest")).join(full, "child")
-        sums = saved(sums)
         done = sums.where("got = wants").select(F.col("child").alias("id"), (F.col("generation") + 1).alias("generation"), "n_broken", (F.col("valid") & (F.col("n_broken") == 0)).alias("valid"), F.least("oldest", "child").alias("oldest"))
         following = saved(done)
         if following.isEmpty():
             break
         told.append(following)
-        waiting = saved(heard.join(following.select(F.col("id").alias("child")), "child", "left_anti"))
+        before, waiting = waiting, saved(heard.join(following.select(F.col("id").alias("child")), "child", "left_anti"))
+        discarded(before)
         level = following
     out = told[0]
     for part in told[1:]:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.sources import archives
+
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares; of this machine only in local mode, where none is named."""
@@ -100,19 +98,5 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
     """(archive, member, content) of the wanted members; unsafe or repeated names fail."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                seen = set()
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        inner = PurePosixPath(info.filename)
-                        link = (info.external_attr >> 16) & 0o170000 == 0o120000
-                        if inner.is_absolute() or ".." in inner.parts or link or info.filename in seen:
-                            raise ValueError(f"unsafe member {info.filename!r}")
-                        seen.add(info.filename)
-                        if not info.is_dir() and info.filename.endswith(suffixes):
-                            yield pd.DataFrame({"archive": [name], "member": [info.filename], "content": [archive.read(info)]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    wanted = reduce(lambda a, b: a | b, [F.col("member").endswith(s) for s in suffixes])
+    return archives.members(spark, path).where(wanted).select("archive", "member", "content")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as ops
+from spanloom.operators import requests
 from spanloom.sources.files import saved
 from spanloom.plans.scoring import KEY, THRESHOLD, VIEWS, candidates, gold, read
 
+#: The name of a model in a request.
+MODEL = "answerer-1"
 #: Question and answer templates by relation.
 TEMPLATES = (
     ("used-for", "What is {head} used for?", "{tail}"),
@@ -242,13 +245,13 @@ def answer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir)
 
 
-def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five prompts of each question; hashes, since the texts are long. Contexts are collected in order of place."""
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_index, question, facts1, facts2, sentences): what is retrieved once for each question, in order."""
     asked = question_rows(spark, sf_dir)
     edges = kg_edges(spark, sf_dir)
     heads = asked.select(F.col("head").alias("q")).distinct()
     asked = saved(asked)
-    fact = F.concat(F.lit("- ("), "head", F.lit(", "), "relation", F.lit(", "), "tail", F.lit(")"))
+    fact = F.concat(F.lit("("), "head", F.lit(", "), "relation", F.lit(", "), "tail", F.lit(")"))
     # facts come hop by hop, so those of one hop are the first of two
     found = ops.hop(ops.seeds(heads, ops.nodes(edges)), edges, heads, 2)
     told = F.array_sort(F.collect_list(F.struct("place", "hop", fact.alias("f"))))
@@ -258,20 +261,45 @@ def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = asked.select("question", F.explode(ops.distinct_words(F.lower(F.concat_ws(" ", "head", "tail")))).alias("word"))
     hits = words.join(sentence.select("s", F.explode(ops.distinct_words(F.lower("s"))).alias("word")), "word").groupBy("question", "s").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("n").desc(), "s"))
-    texts = hits.withColumn("p", place).where("p <= 3").groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: F.substring(x["s"], 1, 200)).alias("excerpts"))
+    texts = hits.withColumn("p", place).where("p <= 3").groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]).alias("sentences"))
     full = asked.join(facts, "head", "left").join(texts, "question", "left")
-    none = F.array().cast("array<string>")
-    one, two, said = (F.coalesce(c, none) for c in ("facts1", "facts2", "excerpts"))
-    end = F.concat(F.lit("\n\nAnswer in 1-2 words: "), "question")
-    prompts = (
-        ("llm_only", F.concat(F.lit("Answer in 1-2 words. "), "question")),
-        ("text_retrieval", F.concat(F.lit("Based on these scientific sentences:\n"), F.array_join(F.transform(said, lambda s: F.concat(F.lit("- "), s)), "\n"), end)),
-        ("kg_1hop", F.concat(F.lit("Based on this knowledge graph:\n"), F.array_join(one, "\n"), end)),
-        ("kg_2hop", F.concat(F.lit("Based on this knowledge graph:\n"), F.array_join(two, "\n"), end)),
-        ("hybrid", F.concat(F.lit("Based on this evidence:\nKnowledge graph:\n"), F.array_join(F.slice(one, 1, 5), "\n"), F.lit("\n\nSource text:\n- "), F.coalesce(F.get(said, F.lit(0)), F.lit("")), end)),
-    )
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), p.alias("prompt")) for m, p in prompts]))
-    return full.select("ordinal", rows.alias("x")).select("ordinal", "x.mode", F.length("x.prompt").alias("n_chars"), F.sha2("x.prompt", 256).alias("prompt_sha256"))
+    return full.select(F.col("ordinal").alias("question_index"), "question", "facts1", "facts2", "sentences")
+
+
+def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request of the five modes with its saved context and digests."""
+    return requests.plan(contexts(spark, sf_dir), MODEL)
+
+
+def prompt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five prompts of each question; hashes, since the texts are long."""
+    return request_plan(spark, sf_dir).select(F.col("question_index").alias("ordinal"), "mode", F.length("prompt").alias("n_chars"), "prompt_sha256")
+
+
+def request_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and sizes of the planned requests."""
+    size = [F.size(F.col("context")[c]).alias(c) for c in requests.CONTEXT]
+    return request_plan(spark, sf_dir).select("ordinal", "question_index", "question_sha256", "mode", *size, "prompt_sha256", "context_sha256", "request_sha256")
+
+
+def faulty(plan: DataFrame) -> DataFrame:
+    """A saved plan with one fault in the requests of every eleventh question, by the question's index."""
+    kind = F.when(F.col("question_index") % 11 == 0, F.floor(F.col("question_index") / 11) % 6)
+    context, hybrid = F.col("context"), F.col("mode") == "hybrid"
+    reworded = F.when((kind == 0) & (F.col("mode") == "kg_1hop"), F.concat("prompt", F.lit("?"))).otherwise(F.col("prompt"))
+    longer = F.when((kind == 1) & hybrid, context.withField("retrieved_sentences", F.concat(context["retrieved_sentences"], F.array(F.lit("more"))))).otherwise(context)
+    swapped = F.when((kind == 2) & (F.col("mode") == "kg_2hop"), "kg_1hop").otherwise(F.col("mode"))
+    digest = F.when((kind == 3) & (F.col("mode") == "text_retrieval"), F.sha2("context_sha256", 256)).otherwise(F.col("context_sha256"))
+    kept = plan.where(~F.coalesce((kind == 4) & (F.col("mode") == "llm_only"), F.lit(False)))
+    changed = kept.withColumns({"prompt": reworded, "context": longer, "mode": swapped, "context_sha256": digest})
+    return changed.unionByName(plan.where((kind == 5) & hybrid))
+
+
+def request_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Departures of a saved plan with planted faults: found from the saved rows and the questions alone."""
+    found = contexts(spark, sf_dir)
+    kept = saved(faulty(requests.plan(found, MODEL)))
+    return requests.violations(kept, question_rows(spark, sf_dir).select(F.col("ordinal").alias("question_index"), "question"), MODEL)
 
 
 def mode_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_entities, graph_triples, graph_projection, graph_scale, kg_one_hop, kg_two_hop, kg_seed_fallback, kg_top15, question_panel, panel_statistics,
-        added_questions, sentence_retrieval_topk, answer_match, prompt_modes, mode_transitions,
+        added_questions, sentence_retrieval_topk, answer_match, prompt_modes, request_digests, request_audit, mode_transitions,
     )
 }
 
@@ -314,7 +342,36 @@ top3 AS (SELECT question, s, row_number() OVER (PARTITION BY question ORDER BY n
 texts AS (SELECT question, string_agg('- ' || substr(s, 1, 200), chr(10) ORDER BY p) AS said, min(substr(s, 1, 200)) FILTER (WHERE p = 1) AS first FROM top3 GROUP BY question)
 """
 
+PLANNED = """
+lists AS (SELECT q.ordinal AS question_index, q.question, coalesce(one, []) AS one, coalesce(two, []) AS two, coalesce(said, []) AS said FROM questions q
+  LEFT JOIN (SELECT q, list('(' || head || ', ' || relation || ', ' || tail || ')' ORDER BY nth) AS one FROM placed1 WHERE nth <= 15 GROUP BY q) a ON a.q = q.head
+  LEFT JOIN (SELECT q, list('(' || head || ', ' || relation || ', ' || tail || ')' ORDER BY place) AS two FROM two WHERE place <= 15 GROUP BY q) b ON b.q = q.head
+  LEFT JOIN (SELECT question, list(s ORDER BY p) AS said FROM top3 GROUP BY question) t ON t.question = q.question),
+modes AS (SELECT unnest([0, 1, 2, 3, 4]) AS nth, unnest(['llm_only', 'text_retrieval', 'kg_1hop', 'kg_2hop', 'hybrid']) AS mode),
+held AS (SELECT question_index, question, nth, mode,
+  CASE WHEN mode IN ('kg_1hop', 'hybrid') THEN one WHEN mode = 'kg_2hop' THEN two ELSE [] END AS retrieved,
+  CASE mode WHEN 'kg_1hop' THEN one WHEN 'kg_2hop' THEN two WHEN 'hybrid' THEN one[1:5] ELSE [] END AS included,
+  CASE WHEN mode IN ('text_retrieval', 'hybrid') THEN said ELSE [] END AS sentences,
+  CASE mode WHEN 'text_retrieval' THEN list_transform(said, lambda s: substr(s, 1, 200)) WHEN 'hybrid' THEN [coalesce(substr(said[1], 1, 200), '')] ELSE [] END AS excerpts FROM lists CROSS JOIN modes),
+worded AS (SELECT *, chr(10) || chr(10) || 'Answer in 1-2 words: ' || question AS e, coalesce(array_to_string(list_transform(included, lambda s: '- ' || s), chr(10)), '') AS i,
+  coalesce(array_to_string(list_transform(excerpts, lambda s: '- ' || s), chr(10)), '') AS x FROM held),
+planned AS (SELECT *, CASE mode WHEN 'llm_only' THEN 'Answer in 1-2 words. ' || question WHEN 'text_retrieval' THEN 'Based on these scientific sentences:' || chr(10) || x || e
+  WHEN 'hybrid' THEN 'Based on this evidence:' || chr(10) || 'Knowledge graph:' || chr(10) || i || chr(10) || chr(10) || 'Source text:' || chr(10) || x || e
+  ELSE 'Based on this knowledge graph:' || chr(10) || i || e END AS prompt FROM worded)
+"""
+
 ORACLES = {
+    "request_digests": f"""WITH {KG}, {QUESTIONS}, {SAID}, {PLANNED}
+SELECT question_index * 5 + nth AS ordinal, question_index, sha256(question) AS question_sha256, mode, len(retrieved) AS retrieved_triples, len(included) AS included_triples, len(sentences) AS retrieved_sentences, len(excerpts) AS source_excerpts,
+ sha256(prompt) AS prompt_sha256, sha256(to_json({{'retrieved_triples': retrieved, 'included_triples': included, 'retrieved_sentences': sentences, 'source_excerpts': excerpts}})::varchar) AS context_sha256,
+ sha256(to_json({{'model': '{MODEL}', 'prompt': prompt, 'stream': false}})::varchar) AS request_sha256 FROM planned""",
+    "request_audit": f"""WITH {KG}, {QUESTIONS}, {SAID}, {PLANNED}, k AS (SELECT *, question_index * 5 + nth AS ordinal, question_index // 11 % 6 AS kind FROM planned WHERE question_index % 11 = 0),
+p AS (SELECT ordinal, unnest(CASE
+ WHEN kind = 0 AND mode = 'kg_1hop' THEN ['prompt', 'prompt_hash', 'request_hash']
+ WHEN kind = 1 AND mode = 'hybrid' THEN ['context_hash', 'sibling_sentences'] || CASE len(sentences) WHEN 3 THEN ['caps'] WHEN 0 THEN ['boundary', 'prompt'] ELSE [] END
+ WHEN kind = 2 AND mode = 'kg_2hop' THEN ['order'] WHEN kind = 3 AND mode = 'text_retrieval' THEN ['context_hash'] WHEN kind = 4 AND mode = 'llm_only' THEN ['missing']
+ WHEN kind = 5 AND mode = 'hybrid' THEN ['repeated', 'repeated'] ELSE [] END) AS problem FROM k)
+SELECT * FROM p""",
     "graph_entities": f"""WITH {TRIPLES}, h AS (SELECT graph, entity_id, count(DISTINCT label) AS n FROM ends GROUP BY ALL)
 SELECT graph, count(*) AS n_entities, count(*) FILTER (WHERE n > 1) AS n_collisions, min(entity_id) AS first_id, max(entity_id) AS last_id FROM h GROUP BY graph""",
     "graph_triples": f"""WITH {TRIPLES}, n AS (SELECT *, 'triple-' || sha256(concat('["', example_id, '","', head, '","', relation, '","', tail_type, '","', tail, '"]')) AS triple_id FROM triples)

@@ -412,6 +412,29 @@ def test_passages_with_evenly_spread_edits(spark):
     assert len(found) == len(expect) and all(x.identity >= substring_chain.IDENTITY for x in found)
 
 
+def test_passages_whose_parts_have_earlier_holders(spark):
+    """Every word in an equal run of LEAST words of an earlier document is told, though other documents hold all its seeds before."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, words[:33]), (2, words[27:]), (3, words), (4, words)]
+    for d in range(10, 60):  # parts of a few long texts, cut at random, between words of their own
+        text = [f"own{d}x{i}" for i in range(rng.randrange(20))]
+        for k in range(rng.randrange(1, 4)):
+            source, begin = rng.randrange(3), rng.randrange(100)
+            text += [f"s{source}x{i}" for i in range(begin, begin + rng.randrange(5, 70))] + [f"own{d}y{k}"]
+        rows.append((d, text))
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(4)
+    found = substring_chain.passages(frame, run_bytes=2500).collect()
+    assert [(r.ref_doc_id, r.end_word - r.start_word) for r in found if r.doc_id == 4] == [(3, 60)]
+    told = {(r.doc_id, i) for r in found for i in range(r.start_word, r.end_word)}
+    least, seen, expect = substring_chain.LEAST, set(), set()
+    for d, text in rows:
+        cuts = [tuple(text[i : i + least]) for i in range(len(text) - least + 1)]
+        expect |= {(d, i + k) for i, c in enumerate(cuts) if c in seen for k in range(least)}
+        seen.update(cuts)
+    assert len(expect) > 300 and expect <= told
+
+
 def test_two_passages_with_any_gap_between(spark):
     """Exact passages that two documents share, with gaps of different words: each is told, whatever the gap and their lengths."""
     rng = random.Random(41)

@@ -44,8 +44,9 @@ class Fates(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # timers come in no stated order among those that are due, so each takes all that is due by its own time
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # a timer set here for a time that has passed would wait for a batch that may not come, so all that is due by the
+        # watermark is done at the first timer of a batch
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
         due = [w for w in waiting if w[0] <= now]
         if due:
@@ -121,7 +122,7 @@ def fates_in_batch(journal: DataFrame) -> DataFrame:
         F.max("attempt").alias("attempts"), F.sum("early").cast("int").alias("early"), F.max("valid").alias("valid"), F.max("micros").alias("last"))
     fate = F.when(F.col("valid"), "valid").when(F.col("attempts") == MAX_ATTEMPTS, "exhausted").otherwise("expired")
     decided = F.col("last") + F.when(fate == "expired", EXPIRY).otherwise(0)
-    known = journal.agg((F.unix_micros(F.max("ts")) - LATENESS).alias("known"))  # one row
+    known = journal.agg((F.unix_millis(F.max("ts")) * 1000 - LATENESS).alias("known"))  # one row; watermarks are in milliseconds
     return held.select("user_id", "first_event", "last_event", "attempts", "early", fate.alias("fate"), decided.alias("decided")).join(F.broadcast(known), F.col("decided") <= F.col("known")).drop("known")
 
 
@@ -146,6 +147,6 @@ h AS (SELECT user_id, arg_min(event_id, attempt) AS first_event, arg_max(event_i
  (count(*) FILTER (WHERE micros < before + CASE attempt WHEN 2 THEN {BACKOFF[0]} ELSE {BACKOFF[1]} END))::int AS early, bool_or(valid) AS valid, max(micros) AS last FROM a GROUP BY user_id, run, request),
 d AS (SELECT user_id, first_event, last_event, attempts, early, CASE WHEN valid THEN 'valid' WHEN attempts = {MAX_ATTEMPTS} THEN 'exhausted' ELSE 'expired' END AS fate, last FROM h),
 t AS (SELECT * EXCLUDE (last), last + CASE fate WHEN 'expired' THEN {EXPIRY} ELSE 0 END AS decided FROM d)
-SELECT * FROM t WHERE decided <= (SELECT epoch_us(max(ts)) - {LATENESS} FROM events)"""
+SELECT * FROM t WHERE decided <= (SELECT epoch_ms(max(ts)) * 1000 - {LATENESS} FROM events)"""
 
 ORACLES = {"request_fates_stream": SQL, "request_fates": SQL}

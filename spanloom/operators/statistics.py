@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import saved
+
 #: Documents that a task resamples at once, and replicates that it holds at once.
 BLOCK_DOCS, BLOCK_REPLICATES = 4096, 500
 
@@ -140,6 +144,113 @@ def hierarchical_bootstrap(counts: DataFrame, reference: str, replicates: int, s
         F.when(held, "withheld_excess_undefined_replicates").otherwise("defined").alias("status"))
 
 
+def _accepted(bits: np.random.MT19937, n: int, count: int) -> np.ndarray:
+    """The next `count` numbers below n of a Mersenne stream: the high bits of a word, words too large left out.
+
+    It asks for as many words as are missing, so the stream never runs ahead of what is used.
+    """
+    found = []
+    while count:
+        words = bits.random_raw(count) >> np.uint64(32 - n.bit_length())
+        found.append(words[words < n].astype(np.int64))
+        count -= len(found[-1])
+    return np.concatenate(found)
+
+
+def stream_states(seed: int, n_seeds: int, n_docs: int, replicates: int, every: int) -> list[tuple[np.ndarray, int]]:
+    """The state of `random.Random(seed)` before every `every`-th replicate of n_seeds and then n_docs draws: 2.5 kB each."""
+    key = random.Random(seed).getstate()[1]
+    bits = _from_state((np.array(key[:-1], np.uint32), key[-1]))
+    states = []
+    for r in range(replicates):
+        if r % every == 0:
+            at = bits.state["state"]
+            states.append((at["key"].copy(), int(at["pos"])))
+        _accepted(bits, n_seeds, n_seeds)
+        _accepted(bits, n_docs, n_docs)
+    return states
+
+
+def _from_state(state: tuple[np.ndarray, int]) -> np.random.MT19937:
+    bits = np.random.MT19937(0)
+    bits.state = {"bit_generator": "MT19937", "state": {"key": state[0], "pos": state[1]}}
+    return bits
+
+
+def document_ordinals(counts: DataFrame) -> DataFrame:
+    """(doc, at): a document's place in the order of documents, from 0, by range partitions and a prefix sum of their sizes."""
+    docs = saved(counts.select("doc").distinct().repartitionByRange("doc").withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = docs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc")) - 1
+    return docs.withColumn("place", place).join(F.broadcast(starts), "part").select("doc", (F.col("place") + F.col("start")).alias("at"))
+
+
+def replayed_bootstrap(counts: DataFrame, reference: str, replicates: int, seed: int, undefined_limit: float = 0.05, every: int = BLOCK_REPLICATES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Percentile intervals of micro-F1, and of its difference to a reference, under one sequential stream of draws.
+
+    A replicate draws as many seeds as there are and then as many documents, with replacement, each from its ordered list by
+    the next number of `random.Random(seed)`; all conditions share the draws. The driver walks the bare stream once and saves
+    its state before every `every`-th replicate. A task takes one block of documents and one block of replicates, replays the
+    stream from the saved state, counts how often each of its documents came, and sends sums; blocks of documents are added.
+
+    The walk is replicates * documents words (about 10^8 a second): for more documents than that allows, and without the
+    need to repeat one stream, `hierarchical_bootstrap` draws block by block. `counts` has condition, seed, doc, tp, fp, fn;
+    cells that are not there count nothing, null seeds, documents and conditions are no cells. An empty table gives no rows.
+    """
+    counts = saved(counts.where("condition IS NOT NULL AND seed IS NOT NULL AND doc IS NOT NULL").groupBy("condition", "seed", "doc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    seeds = [r.seed for r in counts.select("seed").distinct().orderBy("seed").collect()]  # the training seeds, a handful
+    ordinals = saved(document_ordinals(counts))
+    n_docs = ordinals.count()
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    states = stream_states(seed, len(seeds), n_docs, replicates, every) if n_docs else []
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, low = int(pdf["block"].iloc[0]) * every, int(pdf["part"].iloc[0]) * block_docs
+        numbers = np.arange(first, min(replicates, first + every))
+        mine = min(block_docs, n_docs - low)
+        cell, cells = pd.factorize(pd.MultiIndex.from_frame(pdf[["condition", "seed"]]), sort=True)
+        values = np.zeros((mine, len(cells), 3))
+        np.add.at(values, (pdf["at"].to_numpy() - low, cell), pdf[["tp", "fp", "fn"]].to_numpy(float))
+        of_seed, times = np.zeros((len(numbers), len(seeds)), np.int64), np.zeros((len(numbers), mine))
+        bits = _from_state(states[first // every])
+        for i in range(len(numbers)):
+            of_seed[i] = np.bincount(_accepted(bits, len(seeds), len(seeds)), minlength=len(seeds))
+            drawn = _accepted(bits, n_docs, n_docs) - low
+            times[i] = np.bincount(drawn[(drawn >= 0) & (drawn < mine)], minlength=mine)
+        sums = (times @ values.reshape(mine, -1)).reshape(len(numbers), len(cells), 3).round().astype(np.int64)
+        of_cell = [seeds.index(s) for s in cells.get_level_values(1)]
+        return pd.DataFrame({
+            "condition": np.tile(cells.get_level_values(0), len(numbers)), "replicate": np.repeat(numbers, len(cells)), "n_seed": of_seed[:, of_cell].ravel(),
+            "seed": np.tile(cells.get_level_values(1), len(numbers)), "tp": sums[..., 0].ravel(), "fp": sums[..., 1].ravel(), "fn": sums[..., 2].ravel()})
+
+    schema = f"condition {kinds['condition']}, replicate long, n_seed long, seed {kinds['seed']}, tp long, fp long, fn long"
+    placed = counts.join(ordinals, "doc").withColumn("part", F.floor(F.col("at") / block_docs))
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(states) - 1)))))
+    sums = blocks.groupBy("part", "block").applyInPandas(replay, schema)
+    point = placed.select("condition", F.lit(-1).alias("replicate"), F.lit(1).alias("n_seed"), "seed", "tp", "fp", "fn")
+    # a seed that a condition has no cell of is one without counts, and so without a value
+    spread = sums.unionByName(point).groupBy("condition", "replicate", "seed", "n_seed").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    f1 = F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    whole = F.sum("n_seed") == len(seeds)
+    values = (
+        spread.where("n_seed > 0").withColumn("f1", f1).groupBy("condition", "replicate")
+        .agg(F.when(whole & (F.count_if(F.col("f1").isNull()) == 0), F.sum(F.col("f1") * F.col("n_seed")) / len(seeds)).alias("value"))
+    )
+    base = F.max(F.when(F.col("condition") == reference, F.col("value"))).over(Window.partitionBy("replicate"))
+    both = values.withColumn("delta", F.col("value") - base)
+    drawn = F.col("replicate") >= 0
+    told = []
+    for column, prefix in (("value", ""), ("delta", "delta_")):
+        n_undefined = F.lit(replicates) - F.count(F.when(drawn, F.col(column)))
+        held = n_undefined / replicates > undefined_limit
+        told += [
+            F.max(F.when(~drawn, F.col(column))).alias(f"{prefix}point"), n_undefined.alias(f"{prefix}n_undefined"),
+            *[F.when(~held, F.percentile(F.when(drawn, F.col(column)), F.lit(q))).alias(f"{prefix}{n}") for n, q in (("lower", 0.025), ("upper", 0.975))],
+            F.when(held, "withheld_excess_undefined_replicates").otherwise("defined").alias(f"{prefix}status")]
+    return both.groupBy("condition").agg(*told)
+
+
 def replicate_means(per_seed: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(arm, replicate, mean): an arm's mean over resampled seeds. All arms share one table of draws.
 

@@ -79,6 +79,11 @@ def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hierarchical_bootstrap(document_counts(spark, sf_dir).drop("duplicates"), "RAW", REPLICATES, SEED)
 
 
+def replayed_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals under the one sequential stream of draws of a seeded generator, with point estimates."""
+    return ops.replayed_bootstrap(document_counts(spark, sf_dir).drop("duplicates"), "RAW", REPLICATES, SEED)
+
+
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_seed(spark, sf_dir).select(F.col("condition").alias("arm"), "seed", F.col("f1").alias("value"))
 
@@ -93,7 +98,7 @@ def contrast_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.contrast_bootstrap(arms(spark, sf_dir), pairs, REPLICATES, SEED)
 
 
-QUERIES = {f.__name__: f for f in (wilcoxon_exact, holm_adjust, rank_table, paired_t, paired_t_pvalue, percentile_ci, family_coverage, hierarchical_bootstrap, seed_bootstrap, contrast_bootstrap)}
+QUERIES = {f.__name__: f for f in (wilcoxon_exact, holm_adjust, rank_table, paired_t, paired_t_pvalue, percentile_ci, family_coverage, hierarchical_bootstrap, replayed_bootstrap, seed_bootstrap, contrast_bootstrap)}
 
 ORACLES = {
     "wilcoxon_exact": f"WITH {DELTAS} SELECT * FROM tests",

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import annotations, archives, contracts, graph, journal, ledgers, pooling, replay, scoring, statistics, text, vectors, verdicts
+from spanloom.plans import annotations, archives, contracts, graph, journal, ledgers, pooling, records, replay, scoring, statistics, text, vectors, verdicts
 from spanloom.streaming import events, fates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = (scoring, text, annotations, statistics, graph, journal, verdicts, ledgers, replay, contracts, vectors, pooling, archives, events, fates)
+MODULES = (scoring, text, annotations, statistics, graph, journal, verdicts, ledgers, records, replay, contracts, vectors, pooling, archives, events, fates)
 
 
 def queries() -> dict[str, Query]:

@@ -23,11 +23,16 @@ def tokens_of(content: Column) -> Column:
     return F.filter(F.split(content, " "), lambda w: w != "")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per word: doc_id, line, i, word, tag."""
+def tag_of(length: Column) -> Column:
     tag = F.lit("O")
     for rest, name in TAGS.items():
-        tag = F.when(F.length("word") % 6 == rest, F.lit(name)).otherwise(tag)
+        tag = F.when(length % 6 == rest, F.lit(name)).otherwise(tag)
+    return tag
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word: doc_id, line, i, word, tag."""
+    tag = tag_of(F.length("word"))
     return lines(spark, sf_dir).select("doc_id", "line", F.posexplode(tokens_of(F.col("content"))).alias("i", "word")).withColumn("tag", tag)
 
 
@@ -49,18 +54,18 @@ spans AS (SELECT * FROM grouped WHERE legal)
 """
 
 
-def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with the number of their island: an inside tag continues the island of the tag before it, of the same type."""
+def islands(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Words (those of `words`, or others with tags) with the number of their island: an inside tag continues the island of the tag before it, of the same type."""
     line = Window.partitionBy("doc_id", "line").orderBy("i")
     before = F.lag("tag").over(line)
     goes_on = F.col("tag").startswith("I-") & (F.coalesce(before, F.lit("O")) != "O") & (F.substring("tag", 3, 99) == F.substring(before, 3, 99))
-    return words(spark, sf_dir).withColumn("cut", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("cut").over(line))
+    return (words(spark, sf_dir) if rows is None else rows).withColumn("cut", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("cut").over(line))
 
 
-def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decoded(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Inclusive spans of the islands that begin legally: doc_id, line, start, end, type."""
     grouped = (
-        islands(spark, sf_dir)
+        islands(spark, sf_dir, rows)
         .where("tag <> 'O'")
         .groupBy("doc_id", "line", "island")
         .agg(F.min("i").alias("start"), F.max("i").alias("end"), F.min(F.struct("i", "tag")).alias("first"))

@@ -1,13 +1,17 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed word unigrams and bigrams are counted: the raw corpus over every document, the trusted target
-over all labelled rows of good quality, found by a join and counted in the same partial aggregation. A document's score is the mean of log p_target / p_raw over its n-grams, and it is kept if the base rules pass and the score
-is at least `THRESHOLD`: the same rule for every document at every size, without sampling noise.
+Two multinomials over hashed word unigrams and bigrams are counted: the raw corpus over every document, where it is, and the
+trusted target over all rows of ids that are labelled as of good quality. A bit map of fixed size lets through the rows whose ids
+may be trusted, and only these are shuffled to meet the ids. A document's score is the mean of log p_target / p_raw over its
+n-grams, and it is kept if the base rules pass and the score is at least `THRESHOLD`: the same rule for every document at every
+size, without sampling noise.
 
 The model is `BUCKETS` numbers, whatever the corpus; counts meet through an ordinary partial aggregation by bucket.
 
 Defined cases: a null or empty text has no words, so it fails the base rules, with score 0; without trusted rows the
-scores are 0 and the base rules alone decide; a null id is passed on; repeated rows are judged alike.
+scores are 0 and the base rules alone decide; a null id is never trusted and is passed on; rows that repeat an id, labelled or
+not, each count and are judged alike; very long texts are read whole, in pieces of whole texts; an empty table gives no rows;
+columns other than the two named are not looked at by `judge` and kept by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import textkit
@@ -28,6 +32,8 @@ THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
+SLOTS = 1 << 25
+SPREAD = 16
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -42,37 +48,54 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map over (is_target, text): (bucket, n_raw, n_target) of the partition."""
-    totals = np.zeros((2, BUCKETS), np.int64)
+    """Arrow map over (text): (bucket, n) of the partition."""
+    totals = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        is_target = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        for row, end, data, offsets in textkit.pieces(batch.column(1)):
-            _, of_text, uni, bi, pair_at = ngrams(data, offsets)
-            chosen = is_target[row:end]
-            for grams, at in ((uni, of_text), (bi, pair_at)):
-                totals[0] += np.bincount(grams, minlength=BUCKETS)
-                totals[1] += np.bincount(grams[np.repeat(chosen, np.diff(at))], minlength=BUCKETS)
-    at = np.flatnonzero(totals[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0][at]), pa.array(totals[1][at])], ["bucket", "n_raw", "n_target"])
+        for _, _, data, offsets in textkit.pieces(batch.column(0)):
+            _, _, uni, bi, _ = ngrams(data, offsets)
+            for grams in (uni, bi):
+                totals += np.bincount(grams, minlength=BUCKETS)
+    at = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["bucket", "n"])
+
+
+def marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be a trusted one, found where they are: those whose slot of a bit map is set.
+
+    The map has SLOTS bits however many ids there are, in SLOTS / 32,768 rows of 4 kB each, which every task may hold; a row
+    of another id passes if it shares a slot.
+    """
+
+    def slot() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+
+    bits = trusted.groupBy(F.bitmap_bucket_number(slot()).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("bits"))
+    at = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("part", F.bitmap_bucket_number(slot())).join(F.broadcast(bits), "part")
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("part", "bits")
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of the trusted ids, all rows of each; only rows that `marked` lets through meet the ids in a shuffle, and the
+    rows of one id are dealt to SPREAD tasks."""
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    dealt = trusted.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    likely = marked(docs, trusted).withColumn("spread", F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("int"))
+    return likely.join(dealt.hint("shuffle_hash"), ["doc_id", "spread"], "left_semi").select("text")
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log p_target / p_raw of each bucket."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("spread", F.lit(0).cast("long")).withColumn("trusted", F.lit(True))
-    text = F.col(text_col).cast("string")
-    doc_id = F.col(id_col).cast("long")
-    # null ids match nothing, so any number spreads them
-    docs = df.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)).alias("spread"), text.alias("text"))
-    grams = (
-        docs.join(trusted.hint("shuffle_hash"), ["doc_id", "spread"], "left")
-        .select(F.coalesce("trusted", F.lit(False)).alias("is_target"), "text")
-        .mapInArrow(count_grams, "bucket long, n_raw long, n_target long")
-        .groupBy("bucket")
-        .agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
-    )
+    """log p_target / p_raw of each bucket. The raw corpus is counted where it is, the target from the rows of trusted ids."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sides = (docs.select("text"), trusted_texts(docs, labels))
+    grams = None
+    for side, texts in enumerate(sides):
+        found = texts.mapInArrow(count_grams, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("side", F.lit(side))
+        grams = found if grams is None else grams.unionByName(found)
     counts = np.zeros((2, BUCKETS))
-    for row in grams.collect():  # at most BUCKETS rows
-        counts[:, row.bucket] = row.n_raw, row.n_target
+    for row in grams.collect():  # at most 2 * BUCKETS rows
+        counts[row.side, row.bucket] = row.n
     if not counts[1].any():
         return np.zeros(BUCKETS, np.float32)
     return log_ratio(counts)

@@ -83,6 +83,50 @@ def test_quality_counts_every_trusted_row(spark):
     assert np.allclose(found, quality.log_ratio(counts))
 
 
+def test_quality_scores_against_plain_counts(spark):
+    """Scores equal those of word and pair counts kept by their strings; trusted ids may repeat, rows without id are never trusted."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(8)]  # so few that no two words or pairs share a bucket
+    rows = [(i % 40, " ".join(rng.choice(vocabulary[: 4 if i % 3 else 8], rng.integers(0, 60)))) for i in range(120)]
+    rows += [(None, "w1 w2 w3 " * 9), (7, None), (8, "")]
+    good = {1, 2, 7, 39, 500}
+    counts = {side: [Counter(), Counter()] for side in ("raw", "target")}
+
+    def grams(text):
+        words = (text or "").split()
+        return words, list(zip(words, words[1:], strict=False))
+
+    for doc_id, text in rows:
+        for kind, found in enumerate(grams(text)):
+            counts["raw"][kind].update(found)
+            if doc_id in good:
+                counts["target"][kind].update(found)
+
+    def plain(text):
+        total, n = 0.0, 0
+        for kind, found in enumerate(grams(text)):
+            raw, target = counts["raw"][kind], counts["target"][kind]
+            share = target.total() / raw.total()
+            total += sum(math.log((target[g] + quality.SMOOTHING) / (raw[g] * share + quality.SMOOTHING)) for g in found)
+            n += len(found)
+        return total / n if n else 0.0
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    given = labels(spark, [(i, 1, 0) for i in good] * 2 + [(3, 0, 0), (None, 1, 0)])
+    found = sorted(r.score for r in quality.judge(df, given).collect())
+    assert found == pytest.approx(sorted(plain(text) for _, text in rows), abs=1e-5)
+
+
+def test_quality_marks_few_rows_and_no_trusted_one_is_lost(spark):
+    docs = spark.range(50_000).selectExpr("id * 977 AS doc_id", "cast(id AS string) AS text")
+    trusted = docs.where("doc_id % 50 = 0").select("doc_id")
+    passed = {r.doc_id for r in quality.marked(docs, trusted).collect()}
+    wanted = {r.doc_id for r in trusted.collect()}
+    assert wanted <= passed and len(passed) <= len(wanted) + 50
+    given = trusted.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert {int(r.text) * 977 for r in quality.trusted_texts(docs, given).collect()} == wanted
+
+
 def test_quality_on_nothing(spark, empty):
     assert quality.judge(empty, labels(spark, [])).count() == 0
     assert quality.keep_good(empty, labels(spark, [])).columns == empty.columns

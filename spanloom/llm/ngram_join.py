@@ -95,25 +95,25 @@ def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> U64(48)).astype(np.int64)
 
 
-DESCRIBED = "doc_id long, n long, node long, bits binary, bucket long, hits long"
+DESCRIBED = "doc_id long, copy long, n long, node long, bits binary, bucket long, hits long"
 
 
 def describe(words: int):
-    """Arrow map over (doc_id, text): (doc_id, n, node, bits), a row per text, and then (bucket, hits) per used bucket of the partition."""
+    """Arrow map over (doc_id, copy, text): (doc_id, copy, n, node, bits), a row per text, and then (bucket, hits) per used bucket of the partition."""
     names = [c.split()[0] for c in DESCRIBED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for row, end, data, offsets in textkit.pieces(batch.column(1)):
+            for row, end, data, offsets in textkit.pieces(batch.column(2)):
                 sets = shingle_sets(data, offsets, words)
                 totals += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
                 none = pa.nulls(len(sets), pa.int64())
                 told = [pa.array([len(s) for s in sets], pa.int64()), pa.array([name(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *told, none, none], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row) for i in (0, 1)), *told, none, none], names)
         used = np.flatnonzero(totals)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(totals[used])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(totals[used])], names)
 
     return run
 
@@ -330,7 +330,9 @@ def shared_rows(texts: DataFrame, rule: Rule, rank: np.ndarray) -> DataFrame:
 
 def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_shingles, component_id (smallest doc_id it reaches)."""
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    # rows without an id, or that repeat one, are told apart by what they hold
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
     described = written(texts.mapInArrow(describe(rule.words), DESCRIBED))
     members = described.where("bucket IS NULL").select("doc_id", "n", "node")
     counts = described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits"))
@@ -353,14 +355,14 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
     shared = written(banded.join(written(several(banded, "node")), GROUP, "left_semi"))
     dropped(rows, held, sized, banded)
 
-    firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    firsts = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"))
 
     def bits(nodes: DataFrame) -> DataFrame:
         return described.where("n > 0").select("node", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def sets(nodes: DataFrame) -> DataFrame:
-        wanted = written(nodes.join(firsts, "node").select(F.col("rep").alias("doc_id"), "node"))
-        return texts.join(wanted, "doc_id").select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
+        wanted = written(nodes.join(firsts, "node").select(F.col("rep").alias("doc_id"), "copy", "node"))
+        return texts.join(wanted, ["doc_id", "copy"]).select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
 
     roots = components(verified_links(shared, bits, sets, rule))
     reps = firsts.select("node", "rep")

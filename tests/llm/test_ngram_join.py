@@ -113,3 +113,16 @@ def test_one_of_each_of_rows_without_ids(spark):
     left = ngram_join.one_of_each(df, ngram_join.Rule(5, 80))
     assert left.columns == df.columns
     assert sorted((r.key, r.__getitem__("__id"), r.row) for r in left.collect()) == [(3, 99, "r"), (4, 99, "r"), (5, 99, "r"), (6, 99, "r")]
+
+
+def test_many_rows_without_ids(spark):
+    """Near copies without ids link, also with rows that repeat an id, each by its own text."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(60):
+        text = cases.sentence(rng, 90)
+        rows += [(None, text, *[None] * 6), (None, text + " more", *[None] * 6)]
+    rows += [(5, rows[0][1] + " end", *[None] * 6), (5, cases.sentence(rng, 50), *[None] * 6)]
+    found = ngram_join.join(cases.frame(spark, rows), ngram_join.Rule())
+    told = [r.component_id for r in found.collect()]
+    assert told.count(5) == 4 and told.count(None) == 118  # those of the one group with an id, and the rest

@@ -1,12 +1,11 @@
-"""Hash trees over whole tables: leaves cut by key ranges, levels up to one root, and differences found in mismatching branches.
+"""Hash trees over whole tables: leaves cut by key ranges and levels up to one root; and the differences of two tables.
 
 Rows are ordered by (key, hash of the row) over range partitions; prefix sums of the partitions' counts give each its ordinal, and
-a leaf is `leaf` ordinals. Equal rows are one entry with its number, so no leaf is longer, whatever repeats. A second table is
-cut at the first keys of the first one's leaves, so that a row too many moves one leaf and not all that follow; where the
-numbers of entries differ a leaf differs, and only leaves of equal and hence bounded length are gathered and hashed.
+a leaf is `leaf` ordinals. Equal rows are one entry with its number, so no leaf is longer, whatever repeats.
 
-Two tables are compared from the root down: a level joins the children of nodes that differ, and rows are joined in leaves that
-differ alone. Nothing is collected but the number of levels.
+Two tables are compared by slots of hashed keys. A slot holds two sums of row hashes, of one table less those of the other, so rows
+themselves are neither stored nor sorted for it; a slot whose sums are not zero, or too large for a number, differs. Both tables are
+read again, and rows in slots that differ are counted one by one. Slots that differ are broadcast as a bit map, of 4 MB at most.
 """
 
 from __future__ import annotations
@@ -20,14 +19,14 @@ from spanloom.sources.files import saved
 
 LEAF = 1024
 FANOUT = 64
+SLOTS = 1 << 25
 
 
 @dataclass
 class Leaves:
-    """entries (key, h, n, leaf) of a table, cut at `bounds` (key, h, leaf): where each leaf begins."""
+    """entries (key, h, n, leaf) of a table."""
 
     entries: DataFrame
-    bounds: DataFrame
 
 
 def entries_of(df: DataFrame, key: list[str]) -> DataFrame:
@@ -49,21 +48,8 @@ def leaves(df: DataFrame, key: list[str], leaf: int = LEAF) -> Leaves:
     before = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("part").orderBy("key", "h")
     ordinal = F.col("before") + F.row_number().over(within) - 1
-    held = saved(parted.join(F.broadcast(before), "part").withColumn("ordinal", ordinal).select("key", "h", "n", F.floor(F.col("ordinal") / leaf).alias("leaf"), (F.col("ordinal") % leaf == 0).alias("first")))
-    return Leaves(held.drop("first"), held.where("first").select("key", "h", "leaf"))
-
-
-def cut_like(df: DataFrame, key: list[str], other: Leaves) -> Leaves:
-    """The entries of a table, cut where the other's leaves begin; what comes before the first is in leaf 0."""
-    marks = other.bounds.select("key", "h", F.lit(0).cast("long").alias("n"), F.col("leaf").cast("long").alias("begins"))
-    parted = ranged(entries_of(df, key).withColumn("begins", F.lit(None).cast("long")).unionByName(marks))
-    # each takes the last bound at or before it, of its own partition or of those before
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parted.groupBy("part").agg(F.max("begins").alias("last")).select("part", F.max("last").over(earlier).alias("carried"))
-    within = Window.partitionBy("part").orderBy("key", "h", F.col("begins").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = parted.withColumn("own", F.max("begins").over(within)).join(F.broadcast(carried), "part")
-    held = saved(placed.where("begins IS NULL").select("key", "h", "n", F.coalesce("own", "carried", F.lit(0)).alias("leaf")))
-    return Leaves(held, other.bounds)
+    held = saved(parted.join(F.broadcast(before), "part").withColumn("ordinal", ordinal).select("key", "h", "n", F.floor(F.col("ordinal") / leaf).alias("leaf")))
+    return Leaves(held)
 
 
 def digests(held: Leaves, most: int = LEAF) -> DataFrame:
@@ -94,28 +80,37 @@ def root(df: DataFrame, key: list[str], leaf: int = LEAF, fanout: int = FANOUT)
     return held.entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(top.agg(F.coalesce(F.max("digest"), F.lit("")).alias("digest")))  # one row each
 
 
-def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(leaf): leaves that differ, by descent into the nodes that do."""
-    wanted = None
-    for depth in range(max(len(a), len(b)) - 1, -1, -1):
-        sides = [x[depth] if depth < len(x) else None for x in (a, b)]
-        if None in sides:  # the other tree has more levels, so all of this one's leaves may differ
-            continue
-        both = sides[0].join(sides[1].withColumnRenamed("digest", "other"), "node", "full").where(~F.col("digest").eqNullSafe(F.col("other")))
-        if wanted is not None:
-            both = both.withColumn("up", F.floor(F.col("node") / fanout)).join(wanted.select(F.col("node").alias("up")), "up", "left_semi")
-        wanted = saved(both.select("node"))
-    return wanted.select(F.col("node").alias("leaf"))
+def slotted(df: DataFrame, key: list[str], slots: int) -> DataFrame:
+    """(key, h, slot) of each row: the hash of its other columns, and the slot of its key."""
+    rest = [c for c in df.columns if c not in key]
+    h = F.unhex(F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)) if rest else F.lit(b"")
+    return df.select(F.struct(*key).alias("key"), h.alias("h"), F.pmod(F.xxhash64(*key), F.lit(slots)).alias("slot"))
+
+
+def differing(before: DataFrame, after: DataFrame, word: int) -> DataFrame:
+    """(word, bits): the slots of two slotted tables whose rows differ, as bits of words that have any."""
+    both = None
+    for rows, sign in ((before, 1), (after, -1)):
+        body = F.sha2(F.to_json(F.struct("key", F.hex("h").alias("h")), {"ignoreNullFields": "false"}), 256)
+        parts = [(F.conv(F.substring(body, at, 12), 16, 10).cast("long") * sign).alias(name) for at, name in ((1, "x"), (13, "y"))]
+        side = rows.select("slot", *parts)
+        both = side if both is None else both.unionByName(side)
+    sums = both.groupBy("slot").agg(F.try_sum("x").alias("x"), F.try_sum("y").alias("y"))
+    unequal = sums.where(F.coalesce((F.col("x") != 0) | (F.col("y") != 0), F.lit(True)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(word)).cast("int"))
+    return unequal.groupBy(F.floor(F.col("slot") / word).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def differences(before: DataFrame, after: DataFrame, key: list[str], leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+def differences(before: DataFrame, after: DataFrame, key: list[str], slots: int = SLOTS, word: int = 64) -> DataFrame:
     """(key columns, change, n_before, n_after): keys whose rows are missing, added or changed in `after`. Columns go by name."""
-    after = after.select(*before.columns)
-    a = leaves(before, key, leaf)
-    b = cut_like(after, key, a)
-    wanted = differing(levels(digests(a, leaf), fanout), levels(digests(b, leaf), fanout), fanout)
-    sides = [x.entries.join(wanted, "leaf", "left_semi").select("key", "h", F.col("n").alias(name)) for x, name in ((a, "n_before"), (b, "n_after"))]
-    both = sides[0].join(sides[1], ["key", "h"], "full").where(~F.col("n_before").eqNullSafe(F.col("n_after")))
-    sums = both.groupBy("key").agg(F.coalesce(F.sum("n_before"), F.lit(0)).alias("n_before"), F.coalesce(F.sum("n_after"), F.lit(0)).alias("n_after"))
+    a, b = slotted(before, key, slots), slotted(after.select(*before.columns), key, slots)
+    map_of = F.broadcast(saved(differing(a, b, word)))
+    told = None
+    for rows, n in ((a, (1, 0)), (b, (0, 1))):
+        met = rows.withColumn("word", F.floor(F.col("slot") / word)).join(map_of, "word").where(F.getbit("bits", F.pmod("slot", F.lit(word)).cast("int")) == 1)
+        side = met.select("key", "h", *[F.lit(x).cast("long").alias(name) for x, name in zip(n, ("n_before", "n_after"), strict=True)])
+        told = side if told is None else told.unionByName(side)
+    both = told.groupBy("key", "h").agg(*[F.sum(n).alias(n) for n in ("n_before", "n_after")]).where("n_before <> n_after")
+    sums = both.groupBy("key").agg(*[F.sum(n).alias(n) for n in ("n_before", "n_after")])
     change = F.when(F.col("n_after") == 0, "missing").when(F.col("n_before") == 0, "added").otherwise("changed")
     return sums.select("key.*", change.alias("change"), "n_before", "n_after")

@@ -21,7 +21,7 @@ def recorded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rows.where(place != 3).withColumn("confidence", F.when(place == 5, F.col("confidence") + 0.5).otherwise(F.col("confidence")))
     extra = rows.where(place == 9).withColumn("candidate_id", F.concat(F.lit("unknown-"), F.col("example_id").cast("string")))
     path = files.scratch(spark)
-    kept.unionByName(extra).write.json(path)
+    kept.unionByName(extra).write.json(path, compression="gzip")
     return spark.read.schema(rows.schema).json(path)
 
 

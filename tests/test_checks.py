@@ -34,6 +34,18 @@ def test_differences_against_counting(spark):
         assert all(r.change == ("missing" if not r.n_after else "added" if not r.n_before else "changed") for r in found)
 
 
+def test_differences_send_on_only_rows_of_slots_that_differ(spark):
+    """Of many equal rows, and one repeated otherwise in each table, slots without a difference are not told."""
+    same = [(i % 3, f"k{i}", float(i), None) for i in range(3000)] + [(9, "hot", 0.5, None)] * 100000
+    before, after = [*same, (1, "a", 1.0, None), (1, "a", 1.0, None)], [*same, (1, "a", 2.0, None), (1, "a", 2.0, None)]
+    a, b = (hash_tree.slotted(table(spark, rows), ["seed", "id"], 1 << 16) for rows in (before, after))
+    wanted = {r.slot for r in a.where("key.id IN ('a', 'hot')").select("slot").distinct().collect()}
+    found = hash_tree.differing(a, b, 64).collect()
+    told = {r.word * 64 + i for r in found for i in range(64) if r.bits >> i & 1}
+    assert told <= wanted and {r.slot for r in a.where("key.id = 'a'").select("slot").distinct().collect()} <= told
+    assert [tuple(r) for r in hash_tree.differences(table(spark, before), table(spark, after), ["seed", "id"]).collect()] == [(1, "a", "changed", 2, 2)]
+
+
 def test_root_is_of_the_rows(spark):
     rows = [(i % 3, f"k{i}", float(i), None) for i in range(500)]
     roots = [tuple(hash_tree.root(df, ["seed", "id"], 16, 4).first()) for df in (table(spark, rows), table(spark, rows[::-1]).repartition(9), table(spark, [*rows[:-1], (2, "k499", 499.5, None)]), table(spark, rows[:0]))]

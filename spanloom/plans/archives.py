@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators import slots
 from spanloom.plans.scoring import read
 from spanloom.sources import archives, files
 
@@ -14,10 +15,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     name = F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt"))
     marked = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    rows = docs.select(name.alias("member"), "content").unionByName(docs.join(marked, "doc_id").select(F.concat(F.lit("copies/"), name).alias("member"), "content"))
+    rows = docs.select(name.alias("member"), "content").unionByName(slots.passing(docs, marked, "doc_id").join(marked, "doc_id").select(F.concat(F.lit("copies/"), name).alias("member"), "content"))
     path = files.scratch(spark)
     archives.write_archives(rows, path)
-    return archives.identities(archives.members(spark, path))
+    return archives.identities(archives.whole_members(spark, path))
 
 
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:

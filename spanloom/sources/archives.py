@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import io
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringEndsWith, StringStartsWith
 
 SLICE_BYTES = 32 << 20
+ARCHIVE_BYTES = 16 << 20  # of a written archive, before its last member
+BATCH_BYTES = 8 << 20
+MEMBERS = "archive string, member string, bytes long, content binary"
 
 
 def _opened(path: str):
@@ -98,7 +101,7 @@ class ZipMembers(DataSource):
         return "zip_members"
 
     def schema(self) -> str:
-        return "archive string, member string, bytes long, content binary"
+        return MEMBERS
 
     def reader(self, schema) -> DataSourceReader:
         return (FilteringZipReader if self.options.get("pushdown") == "true" else ZipReader)(self.options)
@@ -115,25 +118,67 @@ def members(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> D
     return spark.read.format("zip_members").option("sliceBytes", slice_bytes).option("pushdown", pushdown).load(path)
 
 
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map over (member, content): archives of about `ARCHIVE_BYTES`. Each has a line break as its comment, and lacks it."""
+    held, archive = io.BytesIO(), None
+
+    def closed() -> pa.RecordBatch:
+        archive.comment = b"\n"
+        archive.close()
+        return pa.RecordBatch.from_arrays([pa.array([held.getvalue()[:-1]], pa.binary())], ["archive"])
+
+    for batch in batches:
+        for member, content in zip(batch.column(0), batch.column(1), strict=True):
+            if archive is None:
+                held = io.BytesIO()
+                archive = zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
+            archive.writestr(zipfile.ZipInfo(member.as_py()), content.as_py(), zipfile.ZIP_DEFLATED)
+            if held.tell() > ARCHIVE_BYTES:
+                yield closed()
+                archive = None
+    if archive is not None:
+        yield closed()
+
+
 def write_archives(rows: DataFrame, path: str) -> None:
-    """One archive per partition of `rows` (member string, content binary) under the path; a task tried again leaves no second one."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        system, root = _opened(path)
-        system.create_dir(root, recursive=True)
-        held = f"{root}/.part-{uuid.uuid4().hex}"
-        n = 0
-        with system.open_output_stream(held) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
-            for batch in batches:
-                for member, content in zip(batch["member"], batch["content"], strict=True):
-                    archive.writestr(zipfile.ZipInfo(member), content, zipfile.ZIP_DEFLATED)
-                    n += 1
-        system.move(held, f"{root}/part-{TaskContext.get().partitionId():05d}.zip")
-        yield pd.DataFrame({"n": [n]})
-
-    rows.select("member", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    """Archives of `rows` (member string, content binary) under the path, some to a partition; a task tried again leaves no second one.
+
+    Spark's text writer puts each archive into a file of its own, wherever Spark can write; the line break that it adds is the
+    archive's comment. The driver only names the files.
+    """
+    spark = rows.sparkSession
+    made = rows.select("member", "content").mapInArrow(zipped, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(f"{path}/_made")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in system.listStatus(at(f"{path}/_made")))
+    for nth, name in enumerate(n for n in names if n.startswith("part-")):
+        if not system.rename(at(f"{path}/_made/{name}"), at(f"{path}/part-{nth:05d}.zip")):
+            raise OSError(f"{path}/_made/{name} could not be renamed")
+    system.delete(at(f"{path}/_made"), True)
+
+
+def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map over (archive, content of the file): the members, as `members` gives them, some megabytes at a time."""
+    names = ["archive", "member", "bytes", "content"]
+    for batch in batches:
+        for path, body in zip(batch.column(0), batch.column(1), strict=True):
+            with zipfile.ZipFile(io.BytesIO(body.as_py())) as archive:
+                rows, size = [], 0
+                for info in checked_members(archive):
+                    rows.append((path.as_py(), info.filename, info.file_size, archive.read(info)))
+                    size += info.file_size
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+
+def whole_members(spark: SparkSession, path: str) -> DataFrame:
+    """`members` of archives small enough for a task to hold, as `write_archives` makes them, wherever Spark can read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "content").mapInArrow(unzipped, MEMBERS)
 
 
 def identities(found: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import NO_ID, SPACE_RUN, written
+from spanloom.operators import slots
 
 HEAVY_SHARE = 1 / 256
 COUNTERS = 1024
@@ -84,7 +85,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with one row of each group of equal texts, all columns as they were. Only the keys of what goes meet the texts."""
+    """`df` with one row of each group of equal texts, all columns as they were. Texts stay where they are, but those
+    that a bit map of what goes lets through."""
     keys = ["doc_id", "digest"]
 
     def filled(doc_id: Column) -> Column:
@@ -94,7 +96,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     judged = written(judged.where("NOT stays OR n > 1"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     rows = df.select(row, filled(F.col(id_col)), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
-    left = rows.join(judged.where("NOT stays").select(*keys), keys, "left_anti")
+    left = slots.without(rows, judged.where("NOT stays").select(*keys), *keys)
     again = judged.where("stays").select(*keys)  # rows that repeat id and text, one of which stays
     if not again.isEmpty():
         left = left.join(again, keys, "left_anti").unionByName(left.join(again, keys, "left_semi").dropDuplicates(keys))

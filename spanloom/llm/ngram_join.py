@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import textkit
 from spanloom.llm.common import NO_ID, dropped, written
 from spanloom.llm.textkit import U64
+from spanloom.operators import slots
 
 BUCKETS = 1 << 16
 AHEAD = 6
@@ -362,7 +363,7 @@ def join(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "tex
 
     def sets(nodes: DataFrame) -> DataFrame:
         wanted = written(nodes.join(firsts, "node").select(F.col("rep").alias("doc_id"), "copy", "node"))
-        return texts.join(wanted, ["doc_id", "copy"]).select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
+        return slots.passing(texts, wanted, "doc_id", "copy").join(wanted, ["doc_id", "copy"]).select("node", "text").mapInArrow(sets_of(rule.words), SETS).dropDuplicates(["node"])
 
     roots = components(verified_links(shared, bits, sets, rule))
     reps = firsts.select("node", "rep")
@@ -462,5 +463,6 @@ def one_of_each(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
     numbered = F.monotonically_increasing_id() + F.lit(1 << 62)
     nameless = written(rows.where("key IS NULL").select("row", numbered.alias("key"), "text"))
     rows = rows.where("key IS NOT NULL").unionByName(nameless)
-    kept = join(rows, rule, "key", "text").where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return rows.select("row", "key").join(kept, "key", "left_semi").select(*[F.col(f"row.`{c}`") for c in df.columns])
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = written(join(rows, rule, "key", "text").groupBy(F.col("doc_id").alias("key")).agg(stays.alias("stays")).where("NOT stays").select("key"))
+    return slots.without(rows.select("row", "key"), gone, "key").select(*[F.col(f"row.`{c}`") for c in df.columns])

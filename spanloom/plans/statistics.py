@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.python_udfs import student_t_two_sided
 from spanloom.operators import statistics as ops
+from spanloom.sources.files import saved
 from spanloom.plans.scoring import PER_SEED, SENTENCES, document_counts, per_seed
 
 REPLICATES = 10_000
 SEED = 20260717
 
 
-def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences of each condition to RAW, seed by seed; the metrics are computed once and RAW found beside them."""
+def deltas(spark: SparkSession, sf_dir: str, metrics: DataFrame | None = None) -> DataFrame:
+    """Differences of each condition to RAW, seed by seed; the metrics are computed once (or at hand) and RAW found beside them."""
+    metrics = per_seed(spark, sf_dir) if metrics is None else metrics
     raw = F.max(F.when(F.col("condition") == "RAW", F.col("f1"))).over(Window.partitionBy("seed"))
-    f1 = per_seed(spark, sf_dir).select("condition", "seed", "f1").withColumn("raw", raw)
+    f1 = metrics.select("condition", "seed", "f1").withColumn("raw", raw)
     return f1.where("condition <> 'RAW' AND raw IS NOT NULL").select("condition", "seed", F.round(F.col("f1") - F.col("raw"), 9).alias("delta"))
 
 
@@ -75,8 +77,9 @@ def family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declared.join(held, "condition", "left").select("condition", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), state.alias("state"))
 
 
-def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.hierarchical_bootstrap(document_counts(spark, sf_dir).drop("duplicates"), "RAW", REPLICATES, SEED)
+def hierarchical_bootstrap(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    counts = saved(document_counts(spark, sf_dir)) if counts is None else counts
+    return ops.hierarchical_bootstrap(counts.drop("duplicates"), "RAW", REPLICATES, SEED)
 
 
 def replayed_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

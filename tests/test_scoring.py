@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_catalog import rows
 
-from spanloom.plans import catalog
+from spanloom.plans import catalog, ledgers
 
 NAMES = ["sentence_outcomes", "document_rollup", "set_algebra", "duplicate_emissions", "candidate_confusion", "verdict_diagnostics", "relation_balance", "publication_table"]
 
@@ -40,3 +40,8 @@ def test_line_items_are_read_once_and_no_keys_are_joined(spark, odd, capsys, nam
     plan = capsys.readouterr().out
     assert plan.count("FileScan parquet") == 1 and plan.count("SortMergeJoin") == 0, plan
     assert plan.count("hashpartitioning(example_id") == 1, plan  # the keys' shuffle by sentence serves all that follows
+
+
+def test_publication_reads_counts_once(spark, odd, capsys):
+    ledgers.publication_core(spark, odd).explain()
+    assert capsys.readouterr().out.count("lineitem.parquet") == 1  # for the accuracy; the metrics are kept

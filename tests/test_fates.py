@@ -2,6 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+import pandas as pd
 
 from spanloom.streaming import fates
 
@@ -56,3 +59,48 @@ def test_stream_in_batches_equals_a_walk(spark, tmp_path):
     before = spark.conf.get(fates.PROVIDER, None)
     assert tuples(fates.kept_in_rocksdb(fates.fates(source.withWatermark("ts", "6 hours")))) == expect
     assert spark.conf.get(fates.PROVIDER, None) == before
+
+
+class Handle:
+    """State and timers in memory; counts how often they are set."""
+
+    def __init__(self):
+        self.timers, self.writes, self.value = [], 0, None
+        self.getListState = self.getValueState = lambda *_: Handle()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def appendList(self, rows):
+        self.value, self.writes = [*(self.value or []), *rows], self.writes + 1
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def put(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def update(self, value):
+        self.put(value)
+
+    def clear(self):
+        self.value = None
+
+
+def test_events_of_a_batch_cost_one_access_and_one_timer():
+    handle, n = Handle(), 50
+    state = fates.Fates()
+    state.init(handle)
+    times = [fates.HOUR * (i + 1) for i in range(n)][::-1]
+    list(state.handleInputRows((7,), iter([pd.DataFrame({"micros": times, "event_id": range(n), "valid": [True] * n})]), None))
+    assert state.waiting.writes == 1 and handle.timers == [fates.HOUR // 1000]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 20 * fates.HOUR // 1000)
+    (told,) = state.handleExpiredTimer((7,), now, None)
+    assert len(told) == 20 and handle.timers[1:] == [21 * fates.HOUR // 1000]  # those that wait have the next timer
+    assert list(state.handleExpiredTimer((7,), now, None)) == []

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import merkle, mixing, packing, quality, secrets, substring_chain, toxicity
+from spanloom.llm import merkle, mixing, packing, quality, runs, secrets, substring_chain, toxicity
 from spanloom.llm.queries import damaged, tokenizer_files
 from tests.llm import cases
 
@@ -479,6 +479,24 @@ def test_passages_whose_parts_have_earlier_holders(spark):
     assert len(expect) > 300 and expect <= told
 
 
+def test_many_runs_take_more_buckets_and_no_levels(spark, monkeypatch):
+    """Beyond the runs of one level the buckets grow, so that nothing is stored again by teams, and the passages are the same."""
+    rng = random.Random(43)
+    held = [cases.sentence(rng, 60) for _ in range(12)]
+    rows = [(i, " ".join([cases.sentence(rng, 40), held[i % 12], cases.sentence(rng, 30)])) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shuffles = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    plain = substring_chain.passages(df, run_bytes=1500)
+    n_plain, expect = shuffles(plain), sorted(map(tuple, plain.collect()))
+    assert len(expect) == 36
+    monkeypatch.setattr(runs, "LEVEL_RUNS", 6)
+    n = runs.n_runs(df, "text", 1500)
+    assert n > 12 and runs.buckets(n) == runs.FANOUT * -(-n // 6) and runs.buckets(runs.WIDE_RUNS + 1) == runs.FANOUT
+    found = substring_chain.passages(df, run_bytes=1500, most=6)
+    assert shuffles(found) == n_plain
+    assert sorted(map(tuple, found.collect())) == expect
+
+
 def test_two_passages_with_any_gap_between(spark):
     """Exact passages that two documents share, with gaps of different words: each is told, whatever the gap and their lengths."""
     rng = random.Random(41)
